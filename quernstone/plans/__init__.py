@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("keyword",)
+GROUPS = ("keyword", "search")
 
 
 def load_all():
