@@ -28,30 +28,30 @@ def anchor(pattern: Column) -> Column:
 
 def contains_join(
     texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str],
-    limit: int = BROADCAST_ROWS, salt: int = 16,
+    on: tuple[str, ...] = (), limit: int = BROADCAST_ROWS, salt: int = 16,
 ) -> DataFrame:
     """All (text row, pattern row) pairs where ``pattern`` occurs in ``text``.
 
-    Candidates share the pattern's anchor run, so no pair is formed that lacks it; the
-    containment itself is then checked. Up to ``limit`` patterns are broadcast. Beyond
-    that the runs are shuffled without the texts, salted by the text's key because a
-    common run may belong to a third of all texts, and the texts are joined back for the
-    check. Empty patterns match nothing. ``keys`` identify a text row.
+    Candidates share the pattern's anchor run (and the ``on`` columns), so no pair is formed
+    that lacks it; the containment itself is then checked. Up to ``limit`` patterns are
+    broadcast. Beyond that the runs are shuffled without the texts, salted by the text's key
+    because a common run may belong to a third of all texts, and the texts are joined back
+    for the check. Empty patterns match nothing. ``keys`` identify a text row.
     """
     pats = patterns.filter(F.length(pattern) > 0).withColumn("_anchor", anchor(F.col(pattern)))
     if small_enough(patterns, limit):
         return (
             texts.withColumn("_anchor", F.explode(grams(F.col(text))))
-            .join(F.broadcast(pats), "_anchor")
+            .join(F.broadcast(pats), ["_anchor", *on])
             .filter(F.contains(F.col(text), F.col(pattern)))
             .drop("_anchor")
         )
     runs = texts.select(
-        *keys, F.explode(grams(F.col(text))).alias("_anchor"),
+        *{*keys, *on}, F.explode(grams(F.col(text))).alias("_anchor"),
         F.pmod(F.xxhash64(*keys), F.lit(salt)).cast("int").alias("_salt"),
     )
     spread = pats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    pairs = runs.join(spread, ["_anchor", "_salt"]).drop("_anchor", "_salt")
+    pairs = runs.join(spread, ["_anchor", "_salt", *on]).drop("_anchor", "_salt", *(c for c in on if c not in keys))
     return texts.join(pairs, keys).filter(F.contains(F.col(text), F.col(pattern)))
 
 

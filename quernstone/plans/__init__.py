@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("keyword", "search")
+GROUPS = ("keyword", "search", "extract")
 
 
 def load_all():

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import is_blank
+from quernstone.session import settle
 
 FACULTIES = ["science", "arts", "law", "medicine", "economics"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quernstone.operators import fusion as U
 from quernstone.operators import keyword as K
 from quernstone.operators import vector as V
-from quernstone.operators.ranking import top_k
+from quernstone.operators.ranking import number_rows, top_k
 from quernstone.plans import sql_parts as S
 from quernstone.plans.bindings import chunks, queries_table, spread, table
 from quernstone.plans.registry import query
@@ -287,8 +287,9 @@ _EV = """ev AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user
        THEN iteration END) AS stop_round FROM ev GROUP BY ALL""",
 )
 def early_stop(spark, sf):
-    # Numbering a user's events needs them in time order; the numbers are what stop_round reports.
-    ev = top_k(table(spark, sf, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], None, "iteration")
+    ev = number_rows(
+        table(spark, sf, "events"), ["user_id"], F.date_trunc("day", "ts"), [F.col("ts"), F.col("event_id")], "iteration"
+    )
     rounds = ev.select(
         F.col("user_id").alias("query_id"), big("iteration"), F.round(F.col("value") / 20.0, 4).alias("confidence"),
         F.col("event_type").isin("click", "purchase").alias("can_answer"),

@@ -7,6 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# In Spark 4.1 a union of inputs with the same hash partitioning may report that partitioning
+# while its partitions are only appended, which lets a later join or aggregation go wrong.
+SAFE_SETTINGS = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """Apply the settings results depend on to a session made elsewhere."""
+    for key, value in SAFE_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "quernstone", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; ``conf`` overrides them."""
     settings = {
@@ -16,6 +29,7 @@ def build_session(app: str = "quernstone", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        **SAFE_SETTINGS,
         **conf,
     }
     builder = SparkSession.builder.appName(app)
