@@ -391,7 +391,7 @@ def t17(spark, sf):
     arts AS (SELECT l_orderkey AS doc_id, 'dieu_' || l_linenumber AS id, CASE WHEN l_quantity > 25 THEN 'Cập nhật ' || l_partkey ELSE 'Nội dung' END AS full_text, l_linenumber AS ord FROM lineitem),
     main AS (SELECT doc_id, arg_min(id, CASE WHEN regexp_matches(lower(arts.full_text), 'cập nhật|sửa đổi|bổ sung|như sau') THEN 0 ELSE 1000 END + ord) AS source FROM arts JOIN law USING (doc_id)
              WHERE regexp_matches(lower(title), 'sửa đổi|bổ sung|cập nhật|thay thế') GROUP BY ALL),
-    cl AS (SELECT l_orderkey AS doc_id, 'khoan_' || l_linenumber AS id, 'Khoản ' || (l_suppkey % 9) || ' Điều ' || (l_partkey % 40) AS title, l_linenumber AS ord FROM lineitem),
+    cl AS (SELECT l_orderkey AS doc_id, 'khoan_' || l_linenumber AS id, 'Khoản ' || min(l_suppkey % 9) || ' Điều ' || l_linenumber AS title, l_linenumber AS ord FROM lineitem GROUP BY l_orderkey, l_linenumber),
     held AS (SELECT DISTINCT l_orderkey AS doc_id, 'khoan_' || (l_linenumber + 1) AS id FROM lineitem WHERE l_discount > 0.05)
     SELECT c.doc_id, source, c.id AS target, 'CONTAINS' AS type, ord, title AS modifies FROM cl c JOIN main USING (doc_id) LEFT JOIN held h USING (doc_id, id) WHERE h.id IS NULL""",
 )
@@ -400,8 +400,8 @@ def t18(spark, sf):
     num = F.col("l_linenumber").cast("string")
     arts = l.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("dieu_"), num).alias("id"),
                     F.when(F.col("l_quantity") > 25, F.concat(F.lit("Cập nhật "), F.col("l_partkey").cast("string"))).otherwise("Nội dung").alias("full_text"), big("l_linenumber").alias("ord"))
-    clauses = l.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("khoan_"), num).alias("id"),
-                       F.concat(F.lit("Khoản "), (F.col("l_suppkey") % 9).cast("string"), F.lit(" Điều "), (F.col("l_partkey") % 40).cast("string")).alias("title"), big("l_linenumber").alias("ord"))
+    clauses = l.groupBy(F.col("l_orderkey").alias("doc_id"), "l_linenumber").agg(F.min(F.col("l_suppkey") % 9).alias("no")).select(
+        "doc_id", F.concat(F.lit("khoan_"), num).alias("id"), F.concat(F.lit("Khoản "), F.col("no").cast("string"), F.lit(" Điều "), num).alias("title"), big("l_linenumber").alias("ord"))
     edges = l.filter("l_discount > 0.05").select(F.col("l_orderkey").alias("doc_id"), F.lit("x").alias("source"),
                                                 F.concat(F.lit("khoan_"), (F.col("l_linenumber") + 1).cast("string")).alias("target"), F.lit("CONTAINS").alias("type"), big("l_linenumber").alias("ord"))
     return X.link_orphan_clauses(law_documents(spark, sf), arts, clauses, edges)
