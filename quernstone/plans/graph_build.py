@@ -20,7 +20,7 @@ KINDS = ["MON_HOC", "KHOA", "QUY_DINH", "TIN_CHI"]
 
 RAW = """raw AS MATERIALIZED (SELECT l_orderkey AS doc_id, 'ent_' || l_orderkey || '_' || l_linenumber AS id, ['MON_HOC','KHOA','QUY_DINH','TIN_CHI'][l_suppkey % 4 + 1] AS type,
   CASE WHEN l_linenumber = 7 THEN '  ' ELSE ' Entity  ' || (l_partkey % 300) || ['.', ' ', '!?', ''][l_quantity::INTEGER % 4 + 1] END AS text,
-  round(0.5 + l_discount * 5, 4) AS confidence, 'dieu_' || l_orderkey AS source_article_id, (l_orderkey * 10 + l_linenumber) * 10000 + l_partkey AS ord, l_partkey AS start, l_partkey + l_suppkey AS "end", l_suppkey FROM lineitem)"""
+  round(0.5 + l_discount * 5, 4) AS confidence, 'dieu_' || l_orderkey AS source_article_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_partkey AS start, l_partkey + l_suppkey AS "end", l_suppkey FROM lineitem)"""
 NORMED = f"""norm AS MATERIALIZED (SELECT *, lower(regexp_replace({S.strip("regexp_replace(text, '\\s+', ' ', 'g')")}, '^[.,;:!?]+|[.,;:!?]+$', '', 'g')) AS normalized FROM raw)"""
 
 
@@ -33,7 +33,7 @@ def raw_mentions(spark, sf):
         F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("type"),
         F.when(F.col("l_linenumber") == 7, "  ").otherwise(F.concat(F.lit(" Entity  "), s("l_partkey % 300"), tail)).alias("text"),
         F.round(0.5 + F.col("l_discount") * 5, 4).alias("confidence"), F.concat(F.lit("dieu_"), s("l_orderkey")).alias("source_article_id"),
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000 + F.col("l_partkey")).alias("ord"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("ord"),
         F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_suppkey")).alias("end"),
         F.create_map(F.lit("code"), s("l_suppkey"), F.concat(F.lit("k"), s("l_linenumber")), s("l_partkey")).alias("metadata"),
     )
