@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("keyword", "search", "extract", "graph", "graph_build", "query_log", "context")
+GROUPS = ("keyword", "search", "extract", "graph", "graph_build", "query_log", "context", "sources", "filters", "memory")
 
 
 def load_all():

@@ -24,7 +24,7 @@ def keyword_rows(chunks: DataFrame, now: Column | None = None) -> tuple[DataFram
     year = F.coalesce(own("year").cast("int"), _meta(chunks, "year").cast("int"))
     extra = {}
     if "metadata" in chunks.columns:
-        whole = lambda k, v: F.when(k.isin("char_start", "char_end"), v.cast("int").cast("string")).otherwise(v)
+        whole = lambda k, v: F.when(k.isin("char_start", "char_end"), v.try_cast("double").cast("int").cast("string")).otherwise(v)
         extra["metadata"] = F.transform_values("metadata", whole)
     rows = chunks.filter(good).withColumns({
         "index_id": F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")), **fields, "year": year, **extra,

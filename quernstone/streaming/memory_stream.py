@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "session_id long, version long, seq long, role string, content string"
-STATE = "version long, seqs array<long>, roles array<string>, contents array<string>"
+STATE = "version long, last_ms long, seqs array<long>, roles array<string>, contents array<string>"
 
 
 def keep(rows: list[tuple], limit: int) -> list[tuple]:
@@ -26,28 +26,31 @@ def keep(rows: list[tuple], limit: int) -> list[tuple]:
 def stream_session_memory(messages: DataFrame, limit: int = 20, hours: int = 24) -> DataFrame:
     """Every session's window after each micro-batch that touched it.
 
-    ``messages``: streaming (session_id, seq, role, content). ``version`` counts the messages
-    a session has seen; its highest version is the current window. State holds one window,
-    and is dropped ``hours`` after a session's last message.
+    ``messages``: streaming (session_id, seq, role, content, ts). ``version`` counts the
+    messages a session has seen; its highest version is the current window. State holds one
+    window, and is dropped once the stream is ``hours`` past a session's last message. The
+    clock is the watermark, so an idle stream does nothing and a replay gives the same.
     """
+    ttl_ms = hours * 3600 * 1000
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        version, seqs, roles, contents = state.get if state.exists else (0, [], [], [])
+        version, last_ms, seqs, roles, contents = state.get if state.exists else (0, 0, [], [], [])
         rows = list(zip(seqs, roles, contents))
         for pdf in batches:
             rows += list(pdf[["seq", "role", "content"]].itertuples(index=False, name=None))
             version += len(pdf)
+            last_ms = max(last_ms, int(pdf["ts"].max().timestamp() * 1000))
             # Cut as rows arrive, so a burst never piles up beyond a batch and a window.
             rows = keep(rows, limit)
-        state.update((version, [int(r[0]) for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
-        state.setTimeoutDuration(hours * 3600 * 1000)
+        state.update((version, last_ms, [int(r[0]) for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+        state.setTimeoutTimestamp(max(last_ms + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             [(key[0], version, int(r[0]), r[1], r[2]) for r in rows], columns=["session_id", "version", "seq", "role", "content"]
         )
 
-    return messages.groupBy("session_id").applyInPandasWithState(
-        update, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+    return messages.withWatermark("ts", f"{hours} hours").groupBy("session_id").applyInPandasWithState(
+        update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
