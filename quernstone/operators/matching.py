@@ -14,6 +14,11 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if its size allows, else as it is."""
+    return F.broadcast(df) if small_enough(df, limit) else df
+
+
 def grams(text: Column) -> Column:
     """Distinct character runs of length 1, 2 and 3."""
     runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]

@@ -44,21 +44,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size > 0, size, 1.0)
+
+
 def hash_embedding(df: DataFrame, keys: list[str], text: str, dim: int = DIM, out: str = "embedding") -> DataFrame:
-    """(keys, embedding): signed term counts in ``dim`` hash buckets, L2-normalised; no model needed."""
-    digest = F.md5("term")
-    bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dim
-    sign = F.lit(1) - (F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") % 2) * 2
-    counts = (
-        df.select(*keys, F.explode(analyze(F.col(text))).alias("term"))
-        .select(*keys, bucket.alias("b"), sign.alias("s"))
-        .groupBy(*keys, "b")
-        .agg(F.sum("s").cast("double").alias("v"))
-    )
-    # At most ``dim`` entries per row are gathered.
-    packed = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return packed.select(*keys, l2_normalize(dense).alias(out))
+    """(keys, embedding): signed term counts in ``dim`` hash buckets, L2-normalised; no model needed.
+
+    Terms are hashed in the JVM; the tasks only add up bucket numbers, batch by batch, so
+    nothing is shuffled. Rows without a term have no vector.
+    """
+
+    def slot(term: Column) -> Column:
+        digest = F.md5(term)
+        bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dim
+        sign = F.lit(1) - (F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") % 2) * 2
+        return (bucket + 1) * sign
+
+    slots = df.select(*keys, F.transform(analyze(F.col(text)), slot).alias("_slots"))
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("_slots"))
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            sums = np.bincount(row * dim + np.abs(flat) - 1, weights=np.sign(flat), minlength=batch.num_rows * dim)
+            unit = _unit_rows(sums.reshape(batch.num_rows, dim))
+            vecs = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), dim).cast(pa.list_(pa.float64()))
+            made = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keys), vecs], names=[*keys, out])
+            yield made.filter(pa.array(sizes > 0))
+
+    return slots.mapInArrow(count, schema)
 
 
 def embed_batch(
@@ -80,11 +99,6 @@ def embed_batch(
     return df.select(*keys, text).mapInPandas(run, schema)
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(size > 0, size, 1.0)
-
-
 def _best(frame: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
     frame = frame.sort_values(["query_id", "score", *keys], ascending=[True, False, *([True] * len(keys))])
     return frame.groupby("query_id", sort=False).head(k)
@@ -179,10 +193,11 @@ def knn_exact(
 
 def knn_ann(
     queries: DataFrame, vectors: DataFrame, k: int, keys: list[str], vec: str = "embedding",
-    cells: int = 16, probes: int = 6, salt: int = 16, seed: int = 7,
+    cells: int = 16, probes: int = 12, salt: int = 16, seed: int = 7,
 ) -> DataFrame:
     """Approximate form of ``knn_exact``: k-means cells, the nearest ``probes`` of them searched.
 
+    Fewer probes scan less and miss more: vectors without clusters need most of the cells.
     A cell may be large, so its vectors are spread over ``salt`` slices by key.
     """
     unit = vectors.select(*keys, l2_normalize(F.col(vec)).alias("v"))

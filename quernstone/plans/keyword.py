@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.operators import keyword as K
 from quernstone.plans import sql_parts as S
-from quernstone.plans.bindings import chunks, queries_table, table
+from quernstone.plans.bindings import chunks, queries_table, spread, table
 from quernstone.plans.registry import query
 
 
@@ -24,7 +24,7 @@ from quernstone.plans.registry import query
 )
 def analyze(spark, sf):
     docs = table(spark, sf, "documents")
-    terms = docs.select("doc_id", F.explode(T.analyze(F.col("text"))).alias("term"))
+    terms = spread(docs, "doc_id").select("doc_id", F.explode_outer(T.analyze(F.col("text"))).alias("term")).filter("term is not null")
     return terms.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.countDistinct("term").alias("n_distinct"),
         F.min("term").alias("first_term"), F.max("term").alias("last_term"),
@@ -89,7 +89,7 @@ _BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[: len(_LETTERS)]
 )
 def fuzzy(spark, sf):
     docs = table(spark, sf, "documents")
-    vocab = docs.select(F.explode(F.array_distinct(T.analyze(F.col("text")))).alias("term")).distinct()
+    vocab = spread(docs, "doc_id").select(F.explode_outer(T.analyze(F.col("text"))).alias("term")).filter("term is not null").distinct()
     terms = K.query_terms(queries_table(spark, sf))
     return K.fuzzy_expand(terms, vocab).select(
         "query_id", "word", "term", F.col("edits").cast("bigint").alias("edits"), F.round("weight", 6).alias("weight")
@@ -105,7 +105,7 @@ _DOC_CHUNKS = "chunks AS (SELECT doc_id, doc_id AS chunk_id, text, '' AS title F
     SELECT query_id, doc_id, freq, round(phrase_score, 6) AS phrase_score FROM phrase_scores""",
 )
 def phrase(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     index = K.build_index(docs, ("text",), ("doc_id",))
     found = K.phrase_matches(queries_table(spark, sf), docs, index)
     return found.join(K.phrase_scores(found, ("doc_id",)), ["query_id", "doc_id"]).select(

@@ -9,7 +9,7 @@ from quernstone.operators import keyword as K
 from quernstone.operators import lookup as P
 from quernstone.operators import query_log as Q
 from quernstone.plans import sql_parts as S
-from quernstone.plans.bindings import table
+from quernstone.plans.bindings import spread, table
 from quernstone.plans.graph import AMENDS, COMM, NET, TREE, amended_articles, communities, courses, tree
 from quernstone.plans.registry import query
 
@@ -50,7 +50,7 @@ ASKED = "asked AS MATERIALIZED (SELECT o_orderkey AS query_id, CASE o_orderkey %
 
 
 def asked(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     parts = {"{k}": "o_orderkey", "{c}": "o_custkey", "{d}": "10 + o_orderkey % 90", "{e}": "100 + o_custkey % 900", "{f}": "o_custkey % 40"}
 
     def made(t: str):

@@ -66,3 +66,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet to the shared folder and read back: survives lost executors, columns still prune."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
