@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import py_strip
 from quernstone.operators.query_log import any_of
-from quernstone.operators.ranking import top_k
+from quernstone.operators.ranking import number_rows, top_k
 
 # Wording superseded by an amendment.
 OLD_WORDING = ["ĐTBC ≥ 7", "ĐTBC >= 7", "học vượt chỉ dành cho sinh viên có ĐTBC"]
@@ -72,7 +72,8 @@ def prefer_amended(context: DataFrame) -> DataFrame:
     kept = best.join(place, ["query_id", "article_no"]).withColumn("_group", F.lit(0)).unionByName(
         marked.filter("article_no is null").withColumns({"_place": F.col("rank"), "_group": F.lit(1)})
     )
-    return top_k(kept, ["query_id"], [F.col("_group"), F.col("_place")], None, "position").drop("_group", "_place")
+    bucket = F.struct("_group", F.floor(F.col("_place") / 1000))
+    return number_rows(kept, ["query_id"], bucket, [F.col("_group"), F.col("_place")], "position").drop("_group", "_place")
 
 
 def merge_graph_context(context: DataFrame, graph: DataFrame) -> DataFrame:

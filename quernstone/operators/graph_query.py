@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators.keyword import fulltext_nodes
 from quernstone.operators.matching import contains_join
-from quernstone.operators.ranking import top_k
+from quernstone.operators.ranking import number_rows, top_k
 from quernstone.session import cut_lineage
 
 # Properties tried, in order, for a node's display name.
@@ -207,7 +207,7 @@ def subgraph(centers: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int
 def prerequisite_chains(courses: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """Every upstream path of each course with a rank, the longest first."""
     paths = expand_paths(courses, edges, depth)
-    return top_k(paths, ["start"], [F.col("hops").desc(), F.col("path")], None)
+    return number_rows(paths, ["start"], -F.col("hops"), [F.col("hops").desc(), F.col("path")], "rank")
 
 
 def dependent_chains(courses: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
@@ -216,7 +216,7 @@ def dependent_chains(courses: DataFrame, edges: DataFrame, depth: int = 5) -> Da
         F.col("start").alias("source"), F.reverse("path").alias("path"), "hops"
     )
     distinct = back.dropDuplicates(["source", "path"])
-    return top_k(distinct, ["source"], [F.col("hops"), F.col("path")], None)
+    return number_rows(distinct, ["source"], F.col("hops"), [F.col("hops"), F.col("path")], "rank")
 
 
 def filter_paths_by_concept(paths: DataFrame, concepts: DataFrame, fallback: int = 10) -> DataFrame:

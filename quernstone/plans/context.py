@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.operators import context as C
-from quernstone.operators.ranking import top_k
+from quernstone.operators.ranking import number_rows, top_k
 from quernstone.plans import sql_parts as S
 from quernstone.plans.bindings import table
 from quernstone.plans.query_log import has
@@ -21,8 +21,9 @@ CTX = """ctx AS MATERIALIZED (SELECT l_orderkey AS query_id, row_number() OVER (
 
 
 def contexts(spark, sf):
-    l = top_k(
-        table(spark, sf, "lineitem"), ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")], None)
+    l = number_rows(
+        table(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_linenumber"),
+        [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")], "rank")
     s = lambda e: F.expr(f"cast({e} as string)")
     c = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     m, k = F.col("l_linenumber") % 4, F.col("l_suppkey") % 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,21 +10,33 @@ from quernstone.sources.writers import keyword_rows, upsert_chunks
 
 
 class ChunkTable:
-    """A chunk table kept as one parquet folder per version; readers take the latest finished one."""
+    """A chunk table kept as one parquet folder per version, and a log of finished versions.
+
+    The log is written after the data, so a restarted query goes on from the last finished
+    version and a replayed batch starts from the one before it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.version = spark, folder, None
+        self.spark, self.folder = spark, folder
+
+    def version(self, before: int | None = None) -> int | None:
+        try:
+            log = self.spark.read.schema("version long").json(f"{self.folder}/log")
+        except AnalysisException:
+            return None
+        return log.filter(F.lit(True) if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
 
-    def read(self) -> DataFrame | None:
-        return None if self.version is None else self.spark.read.parquet(f"{self.folder}/v{self.version}")
+    def read(self, before: int | None = None) -> DataFrame | None:
+        v = self.version(before)
+        return None if v is None else self.spark.read.parquet(f"{self.folder}/v{v}")
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch. A batch replayed after a failure rewrites its own version."""
+        """Merge one micro-batch as version ``batch_id``."""
         rows, _ = keyword_rows(batch)
-        old = self.read()
+        old = self.read(before=batch_id)
         merged = rows.withColumn("state", F.lit("created")) if old is None else upsert_chunks(old.drop("state"), rows)
         merged.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
-        self.version = batch_id
+        self.spark.range(batch_id, batch_id + 1).toDF("version").coalesce(1).write.mode("append").json(f"{self.folder}/log")
 
 
 def latest_rows(batch: DataFrame) -> DataFrame:

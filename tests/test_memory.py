@@ -66,3 +66,6 @@ def test_stream_upserts(spark):
     got = {(r.doc_id, r.chunk_id): (r.text, r.state) for r in store.read().collect()}
     assert {k: v[0] for k, v in got.items()} == {(1, "a"): "v3", (2, "b"): "x", (4, "d"): "y"}
     assert sorted(c[1:] for c in counts) == [(2, 1), (3, 0)] and got[1, "a"][1] == "updated"
+    again = ChunkTable(spark, f"{folder}/table")
+    again.upsert(spark.createDataFrame([(9, "z", "late")], "doc_id long, chunk_id string, text string"), 7)
+    assert ChunkTable(spark, f"{folder}/table").read().count() == 4
