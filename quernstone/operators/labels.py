@@ -24,6 +24,9 @@ PROPERTY_KEYS = {
     "DIEU_KIEN": ("ma_dieu_kien", "mo_ta", ["ma_dieu_kien", "mo_ta"]),
 }
 
+# Required properties that are numbers, where zero counts as missing.
+COUNT_PROPERTIES = ["so_tin_chi"]
+
 # Node categories of the graph.
 CATEGORIES = [
     "MON_HOC", "KHOA", "NGANH", "CHUONG_TRINH_DAO_TAO", "SINH_VIEN", "KY_HOC", "GIANG_VIEN", "QUY_DINH", "DIEU_KIEN",
@@ -115,14 +118,14 @@ def standardize_entities(entities: DataFrame, default_credits: str = "4") -> Dat
 
 
 def validate_props(nodes: DataFrame) -> DataFrame:
-    """Adds ``missing`` (required properties absent or empty) and ``is_valid``."""
+    """Adds ``missing`` (required properties absent, empty, or a zero count) and ``is_valid``."""
     required = F.element_at(
         F.create_map(*[x for k, v in PROPERTY_KEYS.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in v[2]]))]),
         standardize_label(F.col("label")),
     )
     missing = F.filter(
         F.coalesce(required, F.expr("cast(array() as array<string>)")),
-        lambda r: F.coalesce(F.element_at("props", r), F.lit("")).isin("", "0", "false"),
+        lambda r: (F.coalesce(F.element_at("props", r), F.lit("")) == "") | (r.isin(COUNT_PROPERTIES) & (F.element_at("props", r) == "0")),
     )
     return nodes.withColumn("missing", missing).withColumn("is_valid", F.size("missing") == 0)
 

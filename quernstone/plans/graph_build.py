@@ -20,7 +20,7 @@ KINDS = ["MON_HOC", "KHOA", "QUY_DINH", "TIN_CHI"]
 
 RAW = """raw AS MATERIALIZED (SELECT l_orderkey AS doc_id, 'ent_' || l_orderkey || '_' || l_linenumber AS id, ['MON_HOC','KHOA','QUY_DINH','TIN_CHI'][l_suppkey % 4 + 1] AS type,
   CASE WHEN l_linenumber = 7 THEN '  ' ELSE ' Entity  ' || (l_partkey % 300) || ['.', ' ', '!?', ''][l_quantity::INTEGER % 4 + 1] END AS text,
-  round(0.5 + l_discount * 5, 4) AS confidence, 'dieu_' || l_orderkey AS source_article_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_partkey AS start, l_partkey + l_suppkey AS "end", l_suppkey FROM lineitem)"""
+  round(0.5 + l_discount * 5, 4) AS confidence, 'dieu_' || l_orderkey AS source_article_id, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::BIGINT AS ord, l_partkey AS start, l_partkey + l_suppkey AS "end", l_suppkey FROM lineitem)"""
 NORMED = f"""norm AS MATERIALIZED (SELECT *, lower(regexp_replace({S.strip("regexp_replace(text, '\\s+', ' ', 'g')")}, '^[.,;:!?]+|[.,;:!?]+$', '', 'g')) AS normalized FROM raw)"""
 
 
@@ -33,7 +33,7 @@ def raw_mentions(spark, sf):
         F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("type"),
         F.when(F.col("l_linenumber") == 7, "  ").otherwise(F.concat(F.lit(" Entity  "), s("l_partkey % 300"), tail)).alias("text"),
         F.round(0.5 + F.col("l_discount") * 5, 4).alias("confidence"), F.concat(F.lit("dieu_"), s("l_orderkey")).alias("source_article_id"),
-        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("ord"),
+        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("bigint")).alias("ord"),
         F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_suppkey")).alias("end"),
         F.create_map(F.lit("code"), s("l_suppkey"), F.concat(F.lit("k"), s("l_linenumber")), s("l_partkey")).alias("metadata"),
     )
@@ -74,12 +74,28 @@ def similar_names(spark, sf):
     )
 
 
-@query("g04_dedupe_fuzzy")
+_NEAR = """pr AS MATERIALIZED (SELECT a.type, a.w AS a, b.w AS b FROM names a JOIN names b ON a.type = b.type AND abs(length(a.w) - length(b.w)) <= 0.1 * greatest(length(a.w), length(b.w)) + 1e-9
+  WHERE a.w <> b.w AND 1 - levenshtein(a.w, b.w) / greatest(length(a.w), length(b.w)) >= 0.9 - 1e-9),
+reach AS (SELECT type, w AS n, w AS m FROM names UNION SELECT r.type, r.n, p.b FROM reach r JOIN pr p ON p.type = r.type AND p.a = r.m),
+clu AS MATERIALIZED (SELECT type, n AS w, min(m) AS cluster FROM reach GROUP BY ALL)"""
+
+
+@query(
+    "g04_dedupe_fuzzy",
+    f"""WITH RECURSIVE names AS MATERIALIZED (SELECT DISTINCT 'WORD' AS type, w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{10,}}')) AS w FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{12,}}')) FROM documents)), {_NEAR}
+    SELECT type, cluster, count(*) AS n_merged FROM clu GROUP BY ALL""",
+)
 def g04(spark, sf):
     return B.dedupe_fuzzy(similar_names(spark, sf)).select("type", "cluster", "n_merged")
 
 
-@query("g05_dedupe_hybrid")
+@query(
+    "g05_dedupe_hybrid",
+    f"""WITH RECURSIVE {RAW}, {NORMED}, ex AS MATERIALIZED (SELECT type, normalized, text, confidence, ord FROM (SELECT *, row_number() OVER (PARTITION BY type, normalized ORDER BY confidence DESC, ord) AS n FROM norm) WHERE n = 1),
+    names AS MATERIALIZED (SELECT type, normalized AS w FROM ex), {_NEAR},
+    r AS (SELECT e.type, cluster, text, confidence, row_number() OVER (PARTITION BY e.type, cluster ORDER BY confidence DESC, ord) AS n, count(*) OVER (PARTITION BY e.type, cluster) AS n_merged FROM ex e JOIN clu c ON c.type = e.type AND c.w = e.normalized)
+    SELECT type, cluster, text, confidence, n_merged FROM r WHERE n = 1""",
+)
 def g05(spark, sf):
     return B.dedupe_hybrid(mentions(spark, sf), 0.9).select("type", "cluster", "text", "confidence", "n_merged")
 
