@@ -165,7 +165,7 @@ def highlight(spark, sf):
     SELECT doc_id, start, start + length(p) AS "end", {S.strip('p')} AS text, 'sentence' AS type FROM o WHERE length({S.strip('p')}) > 10""",
 )
 def char_spans(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return docs.select("doc_id", F.explode(T.sentence_spans(F.col("text"))).alias("s")).select(
         "doc_id", F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"), "s.text", "s.type"
     )
@@ -196,7 +196,7 @@ def keywords_table(spark, sf):
     SELECT query_id, rank, id, title, substr(full_text, 1, 500) AS content, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 10""",
 )
 def score_articles(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60).alias("title"), F.col("text").alias("full_text"),
     )

@@ -333,7 +333,7 @@ def quality(spark, sf):
 
     rows, q = chunks(spark, sf), queries_table(spark, sf)
     head = F.regexp_extract("text", r"^(\S+\s+){7}\S+", 0)
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+    docs = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", F.col("text").alias("body"))
     relevant = contains_join(docs, q.select("query_id", head.alias("needle")), "body", "needle", ["doc_id"]).select("query_id", "doc_id")
     dv = V.embed_batch(rows, list(K.KEYS), "text")
     qv = V.embed_batch(q, ["query_id"], "text")
