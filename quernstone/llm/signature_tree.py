@@ -97,23 +97,35 @@ def _dealt(keys, owner, values, parts: int) -> pa.RecordBatch:
     return packed.pack(part, np.concatenate(owner), np.array(keys, np.int64), (tokens >> np.uint64(32)).astype(np.uint32))
 
 
-def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a class's tokens in this part another class has as well."""
-    part, key, token = packed.unpack(batches, np.dtype("<u4"))
-    if not len(key):
-        return
+def _shared_counts(parts: int):
+    """How many of a class's tokens in this part another class has as well, dealt by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, token = packed.unpack(batches, np.dtype("<u4"))
+        if not len(key):
+            return
+        nodes, place = np.unique(key, return_inverse=True)
+        full = (part << np.uint64(32)) | token
+        order = np.lexsort((place, full))
+        full, place = full[order], place[order]
+        new = np.r_[True, (full[1:] != full[:-1]) | (place[1:] != place[:-1])]
+        full, place = full[new], place[new]
+        same = full[1:] == full[:-1]
+        shared = np.r_[same, False] | np.r_[False, same]
+        counts = np.bincount(place[shared], minlength=len(nodes)).astype(np.uint32)
+        nodes, counts = nodes[counts > 0], counts[counts > 0]
+        if len(nodes):
+            yield packed.pack((nodes.view(np.uint64) % np.uint64(parts)).astype(np.int32), np.arange(len(nodes)), nodes, counts)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _, key, count = packed.unpack(batches, np.dtype("<u4"))
     nodes, place = np.unique(key, return_inverse=True)
-    full = (part << np.uint64(32)) | token
-    order = np.lexsort((place, full))
-    full, place = full[order], place[order]
-    new = np.r_[True, (full[1:] != full[:-1]) | (place[1:] != place[:-1])]
-    full, place = full[new], place[new]
-    same = full[1:] == full[:-1]
-    shared = np.r_[same, False] | np.r_[False, same]
-    counts = np.bincount(place[shared], minlength=len(nodes))
-    some = counts > 0
-    for a in range(0, int(some.sum()), 100_000):
-        yield pa.record_batch([pa.array(nodes[some][a : a + 100_000]), pa.array(counts[some][a : a + 100_000])], ["node", "shared"])
+    total = np.bincount(place, weights=count, minlength=len(nodes)).astype(np.int64)
+    for a in range(0, len(nodes), 100_000):
+        yield pa.record_batch([pa.array(nodes[a : a + 100_000]), pa.array(total[a : a + 100_000])], ["node", "shared"])
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -193,16 +205,17 @@ def _rarest(threshold: int):
         if not len(key):
             return
         order = np.lexsort((value["token"], value["df"], key))
-        key, token = key[order], value["token"][order]
+        key, token, df = key[order], value["token"][order], value["df"][order].astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[cuts, len(key)])
         place = np.arange(len(key)) - np.repeat(cuts, sizes)
         shared = np.repeat(sizes, sizes)
+        weight = np.repeat(np.add.reduceat(df, cuts), sizes)
         for a in range(0, len(key), 200_000):
             b = a + 200_000
             yield pa.record_batch(
-                [pa.array(key[a:b]), pa.array(token[a:b].view(np.int64)), pa.array(place[a:b]), pa.array(shared[a:b])],
-                ["node", "token", "place", "shared"],
+                [pa.array(key[a:b]), pa.array(token[a:b].view(np.int64)), pa.array(place[a:b]), pa.array(shared[a:b]), pa.array(weight[a:b])],
+                ["node", "token", "place", "shared", "weight"],
             )
 
     return run
@@ -308,8 +321,8 @@ def candidate_classes(docs: DataFrame, signed: DataFrame, threshold: int) -> Dat
     parts = hash_parts(docs)
     counts = (
         docs.select("text").mapInArrow(_first_tokens(parts, threshold), packed.SCHEMA)
-        .repartition(parts, "part").mapInArrow(_shared_counts, "node long, shared long")
-        .groupBy("node").agg(F.sum("shared").alias("shared"))
+        .repartition(parts, "part").mapInArrow(_shared_counts(parts), packed.SCHEMA)
+        .repartition(parts, "part").mapInArrow(_summed, "node long, shared long")
     )
     classes = signed.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
     least = F.floor((F.lit(threshold) * F.col("n") + 99) / 100)
@@ -335,22 +348,22 @@ def link_documents(docs: DataFrame, threshold: int = 75, block: int = BLOCK) ->
     ranked = (
         sets.select("node", "tokens").mapInArrow(_all_tokens(parts), packed.SCHEMA)
         .repartition(parts, "part").mapInArrow(_frequencies(parts), packed.SCHEMA)
-        .repartition(parts, "part").mapInArrow(_rarest(threshold), "node long, token long, place long, shared long")
+        .repartition(parts, "part").mapInArrow(_rarest(threshold), "node long, token long, place long, shared long, weight long")
     )
     least = F.floor((F.lit(threshold) * F.col("n") + 99) / 100)
     # Shingles of no other class come first in the order, and need no group.
-    rows = stored(ranked.join(chosen, "node").filter(F.col("place") <= F.col("shared") - least).select("token", "node", "n"), "groups")
+    rows = stored(ranked.join(chosen, "node").filter(F.col("place") <= F.col("shared") - least).select("token", "node", "n", "weight"), "groups")
     groups = (
         rows.groupBy("token")
         .agg(
-            F.count("*").alias("c"), F.min("node").alias("hub"),
+            F.count("*").alias("c"), F.max(F.struct("weight", "node")).alias("hub"),
             F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("s2"),
         )
         .filter("c > 1").groupBy("c", "s1", "s2", "hub").agg(F.min("token").alias("token"))
         .select("token", "hub", "c")
     )
     members = stored(rows.join(groups, "token"), "members")
-    first = members.groupBy("node").agg(F.min("hub").alias("hub")).filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = members.groupBy("node").agg(F.max("hub")["node"].alias("hub")).filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     seeds = stored(_linked(first, sets, threshold), "seeds")
     labels = seeds.select(F.col("b").alias("node"), F.col("a").alias("label"))
     told = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
