@@ -21,6 +21,7 @@ similarity of at least ``threshold`` percent and gives each document the smalles
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ LEAF = 16
 FANOUT = 8
 BLOCK = 2048
 #: A rank within the shingle order: how often, then which.
-SHARED = np.dtype([("token", "<u8"), ("df", "<u4"), ("n", "<u4")])
+SHARED = np.dtype([("token", "<u8"), ("df", "<u4")])
 
 
 def needed(n, threshold: int):
@@ -169,7 +170,7 @@ def _all_tokens(parts: int):
             sizes = np.diff(lists.offsets.to_numpy())
             if len(tokens):
                 owner = np.repeat(np.arange(len(nodes)), sizes)
-                yield packed.pack((mix(tokens) % np.uint64(parts)).astype(np.int32), owner, nodes, tokens)
+                yield packed.pack((mix(tokens) % np.uint64(parts)).astype(np.int32), owner, nodes, tokens, sizes)
 
     return run
 
@@ -178,45 +179,44 @@ def _frequencies(parts: int):
     """Tokens with their class counts, those of one class left out, dealt by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, key, token = packed.unpack(batches, np.dtype("<u8"))
+        _, key, token, size = packed.unpack(batches, np.dtype("<u8"), sized=True)
         if not len(key):
             return
         order = np.argsort(token, kind="stable")
-        key, token = key[order], token[order]
+        key, token, size = key[order], token[order], size[order]
         cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         runs = np.diff(np.r_[cuts, len(token)])
         df = np.repeat(runs, runs)
-        key, token, df = key[df > 1], token[df > 1], df[df > 1]
+        key, token, size, df = key[df > 1], token[df > 1], size[df > 1], df[df > 1]
         order = np.argsort(key, kind="stable")
-        nodes, owner = np.unique(key[order], return_inverse=True)
+        nodes, first, owner = np.unique(key[order], return_index=True, return_inverse=True)
         values = np.zeros(len(order), SHARED)
         values["token"], values["df"] = token[order], df[order]
         if len(order):
-            yield packed.pack((nodes.view(np.uint64) % np.uint64(parts)).astype(np.int32)[owner], owner, nodes, values)
+            yield packed.pack((nodes.view(np.uint64) % np.uint64(parts)).astype(np.int32)[owner], owner, nodes, values, size[order][first])
 
     return run
 
 
 def _rarest(threshold: int):
-    """The rarest shared shingles of each class: as many as any partner may lack, and one."""
+    """The rarest shared shingles of each class: as many as any partner may lack, and one. Shingles of no other class
+    come first in that order; they count, but need no group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, key, value = packed.unpack(batches, SHARED)
+        _, key, value, size = packed.unpack(batches, SHARED, sized=True)
         if not len(key):
             return
         order = np.lexsort((value["token"], value["df"], key))
-        key, token, df = key[order], value["token"][order], value["df"][order].astype(np.int64)
+        key, token, df, size = key[order], value["token"][order], value["df"][order].astype(np.int64), size[order].astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[cuts, len(key)])
-        place = np.arange(len(key)) - np.repeat(cuts, sizes)
-        shared = np.repeat(sizes, sizes)
-        weight = np.repeat(np.add.reduceat(df, cuts), sizes)
+        shared = np.diff(np.r_[cuts, len(key)])
+        place = np.arange(len(key)) - np.repeat(cuts, shared)
+        weight = np.repeat(np.add.reduceat(df, cuts), shared)
+        kept = place <= np.repeat(shared, shared) - needed(size, threshold)
+        key, token, size, weight = key[kept], token[kept], size[kept], weight[kept]
         for a in range(0, len(key), 200_000):
             b = a + 200_000
-            yield pa.record_batch(
-                [pa.array(key[a:b]), pa.array(token[a:b].view(np.int64)), pa.array(place[a:b]), pa.array(shared[a:b]), pa.array(weight[a:b])],
-                ["node", "token", "place", "shared", "weight"],
-            )
+            yield pa.record_batch([pa.array(token[a:b].view(np.int64)), pa.array(key[a:b]), pa.array(size[a:b]), pa.array(weight[a:b])], ["token", "node", "n", "weight"])
 
     return run
 
@@ -305,7 +305,7 @@ def _group_pairs(threshold: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared exactly."""
+    """The pairs (a, b) whose sets are similar enough, compared exactly; only the pairs are moved."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_s"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_t"))
     both = F.size(F.array_intersect("_s", "_t"))
@@ -329,30 +329,14 @@ def candidate_classes(docs: DataFrame, signed: DataFrame, threshold: int) -> Dat
     return classes.join(counts, "node").filter(F.col("shared") >= F.greatest(F.lit(1), F.ceil(least / 8))).select("node", "n", "rep")
 
 
-def link_documents(docs: DataFrame, threshold: int = 75, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
-
-    Two documents link when ``100 * intersection >= threshold * union`` of their five-word shingle sets
-    (A-Z lower-cased; a shorter text is one shingle). A text that is null, empty or without words has the size 0, links
-    with nothing and is its own component. Rows without an id take part, but never name a component that holds an id; a
-    component of such rows alone is null. Rows that repeat an id are taken one by one, each by its own text.
-    Columns other than the two are ignored; an empty table gives no rows. ``threshold`` is a percentage of 1 or more.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = hash_parts(docs)
-    signed = stored(docs.mapInArrow(_signatures, "doc_id long, n long, node long, check long"), "signed")
-    chosen = stored(candidate_classes(docs, signed, threshold), "classes")
-    texts = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.rep)).select("node", "text")
-    sets = stored(texts.mapInArrow(_sets, "node long, n long, tokens array<long>, bits binary").dropDuplicates(["node"]), "sets")
-
-    ranked = (
+def _links(sets: DataFrame, parts: int, threshold: int, block: int) -> DataFrame:
+    """(a, b): links between classes whose components are those of all links."""
+    rows = stored(
         sets.select("node", "tokens").mapInArrow(_all_tokens(parts), packed.SCHEMA)
         .repartition(parts, "part").mapInArrow(_frequencies(parts), packed.SCHEMA)
-        .repartition(parts, "part").mapInArrow(_rarest(threshold), "node long, token long, place long, shared long, weight long")
+        .repartition(parts, "part").mapInArrow(_rarest(threshold), "token long, node long, n long, weight long"),
+        "groups",
     )
-    least = F.floor((F.lit(threshold) * F.col("n") + 99) / 100)
-    # Shingles of no other class come first in the order, and need no group.
-    rows = stored(ranked.join(chosen, "node").filter(F.col("place") <= F.col("shared") - least).select("token", "node", "n", "weight"), "groups")
     groups = (
         rows.groupBy("token")
         .agg(
@@ -385,7 +369,31 @@ def link_documents(docs: DataFrame, threshold: int = 75, block: int = BLOCK) ->
         .distinct()
     )
     found = stored(_linked(pairs, sets, threshold), "links")
-    reached = components(seeds.union(found))
+    return seeds.union(found)
+
+
+def link_documents(docs: DataFrame, threshold: int = 75, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
+
+    Two documents link when ``100 * intersection >= threshold * union`` of their five-word shingle sets
+    (A-Z lower-cased; a shorter text is one shingle). A text that is null, empty or without words has the size 0, links
+    with nothing and is its own component. Rows without an id take part, but never name a component that holds an id; a
+    component of such rows alone is null. Rows that repeat an id are taken one by one, each by its own text.
+    Columns other than the two are ignored; an empty table gives no rows. ``threshold`` is a percentage of 1 or more.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = stored(docs.mapInArrow(_signatures, "doc_id long, n long, node long, check long"), "signed")
+    chosen = stored(candidate_classes(docs, signed, threshold), "classes")
+    # The candidates' sets are kept by class in a bucketed table, so that no later join moves them.
+    parts, name = hash_parts(docs), f"shingle_sets_{uuid.uuid4().hex}"
+    # The classes have no proven bound: they are never broadcast, whatever their size seems to be.
+    texts = docs.join(chosen.hint("merge"), docs.doc_id.eqNullSafe(chosen.rep)).select("node", "text")
+    sets = texts.mapInArrow(_sets, "node long, n long, tokens array<long>, bits binary").repartition(parts, "node").dropDuplicates(["node"])
+    try:
+        sets.write.bucketBy(parts, "node").format("parquet").saveAsTable(name)
+        reached = components(_links(docs.sparkSession.table(name), parts, threshold, block))
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     named = signed.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(names, "root", "left")
