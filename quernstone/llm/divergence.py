@@ -3,7 +3,8 @@
 Each document's histogram of character classes and its histogram of a language's common words are compared to the references
 of that language, counted over the whole corpus, by Jensen-Shannon distance (the square root of the divergence to
 base 2, from 0 to 1). A document is kept if one language is near enough in both. Short texts say too little about a
-distribution: a comparison counts only from a minimum length on.
+distribution: a comparison counts only from a minimum length on, and the divergence of words is taken less what ``n`` words drawn from
+the reference itself would show on average, which is ``(classes - 1) / (8 n ln 2)``.
 """
 
 from __future__ import annotations
@@ -180,13 +181,13 @@ def _row(own, chars, n, runs, low, refs: References, min_chars: int, min_words:
                 place = np.minimum(np.searchsorted(words, low), len(words) - 1)
                 hit = words[place] == low
                 counts = np.bincount(np.where(hit, place, len(words)), minlength=len(words) + 1)
-                by_word = distance(counts / n, shares)
+                by_word = float(np.sqrt(max(0.0, distance(counts / n, shares) ** 2 - len(words) / (8 * n * np.log(2)))))
             found.append((by_class + by_word, by_class, by_word))
         best = min(found)[1:]
     return n, chars, int(SYMBOLS[own].sum()), len(lines) - len(np.unique(lines)), _repeated(runs) if len(runs) > 1 else 0, *best
 
 
-def judge(docs: DataFrame, refs: References, min_chars: int = 300, min_words: int = 50, far_classes: float = 0.28, far_words: float = 0.42) -> DataFrame:
+def judge(docs: DataFrame, refs: References, min_chars: int = 120, min_words: int = 30, far_classes: float = 0.29, far_words: float = 0.2) -> DataFrame:
     """(doc_id, the base statistics, base_failed, kept, class_distance, word_distance) of every row of ``docs(doc_id, text)``.
 
     Of the languages the nearest by the sum of both distances counts. A distance is 0 where the text has fewer

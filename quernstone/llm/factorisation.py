@@ -90,14 +90,14 @@ def _sums(v: np.ndarray, x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(v * x[:, None], cuts, axis=0)
 
 
-def train(rows: list[tuple[float, np.ndarray, np.ndarray]], rank: int = 8, epochs: int = 6, rate: float = 0.1, decay: float = 1e-5, batch: int = 128) -> QualityModel:
-    """AdaGrad on the logistic loss over (label, ids, values), in a fixed shuffled order."""
+def train(rows: list[tuple[float, np.ndarray, np.ndarray]], rank: int = 8, epochs: int = 6, steps: int = 600, rate: float = 0.1, decay: float = 1e-5, batch: int = 128) -> QualityModel:
+    """AdaGrad on the logistic loss over (label, ids, values), in a fixed shuffled order: ``epochs`` times, and ``steps`` batches at least."""
     rng = np.random.default_rng(7)
     w, v = np.zeros(DIM), rng.normal(0, 0.01, (DIM, rank))
     gw, gv, g0 = np.full(DIM, 1e-2), np.full((DIM, rank), 1e-2), 1e-2
     share = np.clip(np.mean([r[0] for r in rows]), 0.01, 0.99) if rows else 0.5
     bias = float(np.log(share / (1 - share)))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // max(1, len(rows))))):
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), batch):
             own = [rows[i] for i in order[a : a + batch]]
@@ -125,14 +125,25 @@ def train(rows: list[tuple[float, np.ndarray, np.ndarray]], rank: int = 8, epoch
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> QualityModel:
     """A model of ``labels(doc_id, quality)`` over ``docs(doc_id, text, n_chars)``.
 
-    At most ``max_rows`` labelled ids, chosen by a hash, are joined to their texts and fitted on the driver; that number bounds what is
-    gathered (about 3 KB each). Null labels and ids teach nothing; without any label the score is the same for every text.
+    At most ``max_rows`` labelled ids, chosen by a hash, are joined to their texts and fitted in one task; that number bounds what the task
+    gathers (about 3 KB each). Null labels and ids teach nothing; without any label the score is the same for every text.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label")).dropna().distinct()
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("label", "text", "meta").mapInArrow(_sample, "label double, ids binary, values binary").limit(2 * max_rows).toArrow()
-    made = sorted(zip(rows["label"].to_pylist(), rows["ids"].to_pylist(), rows["values"].to_pylist()))
-    return train([(y, np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for y, i, x in made])
+    rows = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("label", "text", "meta").mapInArrow(_sample, "label double, ids binary, values binary")
+    [fitted] = rows.repartition(1).mapInArrow(_train, "bias double, weights binary, factors binary, n long").collect()
+    factors = np.frombuffer(fitted.factors, np.float64).reshape(DIM, -1)
+    return QualityModel(fitted.bias, np.frombuffer(fitted.weights, np.float64), factors, fitted.n)
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of one task's rows, which are the bounded sample; in a fixed order, so that reruns agree."""
+    made = sorted(x for b in batches for x in zip(*(b.column(k).to_pylist() for k in range(3))))
+    model = train([(y, np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for y, i, x in made])
+    yield pa.record_batch(
+        [pa.array([model.bias]), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.factors.tobytes()], pa.binary()), pa.array([model.rows])],
+        ["bias", "weights", "factors", "n"],
+    )
 
 
 def _meta(docs: DataFrame):

@@ -85,7 +85,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fan_in:
     base = docs.select(whole_row(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
     base = base.withColumn("text_hash", F.xxhash64("text"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc"))
-    cuts = sorted(set(ids.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01)))
+    cuts = sorted(set(ids.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     batch = sum([(F.col("doc") >= F.lit(int(c))).cast("int") for c in cuts], F.lit(0))
     lined = base.select("doc", "text_hash", F.split("text", "\n", -1).alias("lines"))
     path = shared_folder(spark, "line_keys")

@@ -1,0 +1,244 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quernstone.llm import decontaminate as D
+from quernstone.llm import divergence as J
+from quernstone.llm import factorisation as Q
+from quernstone.llm import language_id as L
+from quernstone.llm import line_dedup, pseudonyms
+from quernstone.llm import token_counts as T
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def best_match(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item):
+        new = [i + 1]
+        for j, b in enumerate(text):
+            new.append(min(row[j + 1] + 1, new[-1] + 1, row[j] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(3)
+    for _ in range(500):
+        item = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 12)))
+        text = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 30)))
+        want = best_match(item, text)
+        hit = D.myers(item, text, len(item) - 1)
+        assert (hit[0] if hit else len(item)) == min(want, len(item))
+
+
+def test_contaminations_equal_brute_force(spark):
+    rng = random.Random(8)
+    letters = "abcdefgh"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 6)))
+    items = [(k, " ".join(word() for _ in range(rng.randint(8, 20)))) for k in range(12)] + [(90, "too short"), (91, None), (92, "")]
+    docs = []
+    for k in range(60):
+        text = " ".join(word() for _ in range(40))
+        if k % 2:
+            copy = list(items[k % 12][1])
+            for _ in range(rng.randint(0, 7)):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([[], [rng.choice(letters)], [copy[at], rng.choice(letters)]])
+            text = f"{text}.\n{''.join(copy).upper()}!! {text}"
+        docs.append((k, text, "x"))
+    docs += [(100, None, "x"), (101, "", "x"), (None, items[0][1], "x"), (1, docs[1][1], "x")]
+    want = []
+    for i, text, _ in docs:
+        plain = D.normalise(text)
+        for n, t in items:
+            p = D.normalise(t).strip()
+            if t and p.count(" ") >= 7 and best_match(p, plain) <= int(len(p) * 0.05):
+                want.append((str(i), n, best_match(p, plain)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    tests = spark.createDataFrame(items + items[:2], "item_id long, text string")
+    got = D.contaminations(frame, tests).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.distance) for r in got) == sorted(want) and want
+    assert all(r.distance <= r.budget and r.start_word < r.end_word for r in got)
+    dirty = {w[0] for w in want}
+    assert sorted(str(r.doc_id) for r in D.clean_documents(frame, tests).collect()) == sorted(str(d[0]) for d in docs if str(d[0]) not in dirty)
+    assert D.contaminations(frame.limit(0), tests).collect() == [] and D.contaminations(frame, tests.limit(0)).collect() == []
+
+
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    items = [(k, " ".join(f"t{k}{j}" for j in range(10))) for k in range(20)]
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items], "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(D.blocks(tests, 0.05, 8, block_bytes=100))) > 3
+    monkeypatch.setattr(D.blocks, "__defaults__", (100,))
+    assert {(r.doc_id, r.item_id) for r in D.contaminations(docs, tests).collect()} == {(k, k) for k in range(20)}
+
+
+@pytest.mark.parametrize("head", [1_000_000, 5, 0])
+def test_token_counts_equal_the_library(spark, head):
+    rng = random.Random(2)
+    bits = ["the", "'", "s", "t", "re", "ll", " ", "\n", "7", "²", "é", "Σ", "İ", "!", "IT'S", "<|endoftext|>", "<|ENDOFTEXT|>", "日本", "\xa0", "_", "😀", "\x1c"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(150)] + [None, "", " ", "the " * 3000, "the " * 3000]
+    t = T.tokenizer(TOKENIZER)
+    rows = [(None if k == 3 else k // 2, x, 1) for k, x in enumerate(texts)]
+    want = sorted((str(i), len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 2048) for i, x, _ in rows)
+    got = T.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, hash int"), TOKENIZER, head=head).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
+
+
+def test_token_counts_of_nothing(spark):
+    assert T.count_tokens(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).collect() == []
+    with pytest.raises((ValueError, KeyError)):
+        T.specials(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def dedup(rows):
+    owner, out = {}, []
+    key = lambda line: re.sub("[A-Z]", lambda m: m.group().lower(), line.strip(" \t\n\x0b\x0c\r"))
+    last = float("inf")
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            owner[key(line)] = min(owner.get(key(line), last), last if i is None else i)
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or owner[key(x)] == (last if i is None else i)]
+        out.append((str(i), "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batches,fan_in", [(4, 2), (7, 3), (1, 2)])
+def test_line_dedup_equals_brute_force(spark, batches, fan_in):
+    rng = random.Random(batches)
+    pool = [f"{'A common line' if k % 2 else 'a common LINE '} number {k // 2}" for k in range(30)] + ["short", "", " \t", "Été de l'année \x0b"]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 8)))) for k in range(80)]
+    rows += [(None, pool[0]), (None, "only without an id"), (500, None), (501, ""), (5, pool[3] + "\n" + pool[3]), (5, pool[3] + "\n" + pool[3])]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, 9, "z") for i, t in rows], "doc_id long, text string, n_lines int, `doc` string")
+    got = line_dedup.dedup_lines(docs, batches=batches, fan_in=fan_in)
+    assert got.columns == ["doc_id", "text", "n_lines", "doc", "n_dropped"]
+    assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got.collect()) == dedup(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
+def test_line_dedup_of_nothing_and_of_long_texts(spark):
+    assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    long = "\n".join(f"a rather long line {k}" for k in range(20_000))
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame([(2, long), (1, long), (3, " " * 100_000)], "doc_id long, text string")).collect()}
+    assert rows[1].text == long and rows[2].text == "" and rows[2].n_dropped == 20_000 and rows[3].n_dropped == 0
+
+
+def test_pseudonyms(spark):
+    texts = [
+        "a 4111111111111111 b 4111-1111-1111-1111 4111111111111112 x.68@mail7.example.com +1 (017) 555-7713, 10.1.2.3. 2023-02-30 2023-02-28",
+        "born 01.03.1999, 2000/12/31 or 31/12/2000; 300.1.1.1 and 1.2.3.4.5 and 3.14", None, "", "4111111111111111", "+44 (123) 456-7890!",
+    ]
+    docs = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id long, text string, n_values int")
+    done = pseudonyms.pseudonymise(docs, "secret")
+    rows = {r.doc_id: r for r in done.collect()}
+    assert [r.text for r in sorted(pseudonyms.restore(done, "secret").collect(), key=lambda r: r.doc_id)] == texts
+    plain, dashed, wrong, mail = rows[0].text.split()[1], rows[0].text.split()[3], rows[0].text.split()[4], rows[0].text.split()[5]
+    assert plain == dashed.replace("-", "") == rows[4].text != "4111111111111111" and wrong == "4111111111111112"
+    digits = [int(d) for d in plain]
+    assert sum(d if k % 2 else (2 * d - 9 * (d > 4)) for k, d in enumerate(digits)) % 10 == 0
+    assert re.fullmatch(r"[a-z]\.\d\d@mail7\.example\.com", mail) and "2023-02-30" in rows[0].text and "2023-02-28" not in rows[0].text
+    assert (rows[0].n_card, rows[0].n_email, rows[0].n_phone, rows[0].n_ipv4, rows[0].n_date, rows[0].n_values) == (2, 1, 1, 1, 1, 6)
+    assert rows[1].n_date == 3 and "300.1.1.1 and 1.2.3.4.5 and 3.14" in rows[1].text
+    assert rows[2].text is None and rows[2].n_values == 0 and rows[3].text == "" and rows[5].text.startswith("+44 (")
+    other = {r.doc_id: r.text for r in pseudonyms.pseudonymise(docs, "other").collect()}
+    assert other[4] != rows[4].text
+    assert pseudonyms.pseudonymise(docs.limit(0), "k").collect() == []
+
+
+def test_the_permutation_is_one(spark):
+    numbers = spark.range(256).select(F.concat(F.lit("9.8.7."), F.col("id").cast("string")).alias("text"), F.col("id").alias("doc_id"))
+    assert pseudonyms.pseudonymise(numbers, "k").select("text").distinct().count() == 256
+    days = spark.range(2000).select(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"), F.col("id").alias("doc_id"))
+    made = pseudonyms.pseudonymise(days, "k")
+    assert made.select("text").distinct().count() == 2000 and made.filter("try_to_timestamp(text) is null").count() == 0
+
+
+def test_language_accuracy(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = L.fit_languages(docs.filter(~held))
+    found = L.identify_languages(docs.filter(held), model).join(docs, "doc_id")
+    assert found.filter("lang_pred = lang").count() >= 0.97 * found.count()
+    assert found.filter("score < 0 or score > 1").count() == 0
+    odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "12 !?", 1), (4, "x", 1), (None, "the and of " * 50_000, 1)], "doc_id long, text string, score int")
+    rows = {r.doc_id: r for r in L.identify_languages(odd, model).collect()}
+    assert [rows[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and rows[4].lang_pred != "und" and rows[None].lang_pred == "en"
+    nothing = L.fit_languages(docs.limit(0))
+    assert {r.lang_pred for r in L.identify_languages(odd, nothing).collect()} == {"und"}
+    assert L.identify_languages(odd.limit(0), model).collect() == []
+
+
+def test_quality_accuracy_and_identity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = Q.fit_quality(docs, labels.filter(~held))
+    scored = Q.score_quality(docs, model).join(labels.filter(held), "doc_id").collect()
+    assert sum((r.score >= 0.3) == (r.quality == 1) for r in scored) >= 0.95 * len(scored)
+    kept = Q.accepted(docs.withColumn("_n", F.lit(1)), model)
+    assert kept.columns == [*docs.columns, "_n"] and kept.count() == Q.score_quality(docs, model).filter("score >= 0.3").count()
+    import pyarrow as pa
+
+    column, meta = pa.array(["The and of it. THE!! $$$ word"]), pa.array([3], pa.int32())
+    [(_, ids, x)] = list(Q.features(column, meta))
+    pairs = sum(model.factors[ids[a]] @ model.factors[ids[b]] * x[a] * x[b] for a in range(len(ids)) for b in range(a))
+    z = model.bias + model.weights[ids] @ x + pairs
+    assert abs(Q.scores(model, column, meta)[0] - 1 / (1 + np.exp(-z))) < 1e-9
+    odd = spark.createDataFrame([(1, None, None), (None, "", -5), (3, " \n ", 0), (3, "a" * 2_000_000, 7)], "doc_id long, text string, n_chars long")
+    assert all(0 <= r.score <= 1 for r in Q.score_quality(odd, model).collect())
+    unlearnt = Q.fit_quality(docs, labels.limit(0))
+    assert len({round(r.score, 6) for r in Q.score_quality(odd.drop("n_chars"), unlearnt).collect()}) >= 1
+    assert Q.score_quality(odd.limit(0), model).collect() == []
+
+
+def base_statistics(text):
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    at = {}
+    for k in range(len(w) - 7):
+        at.setdefault(tuple(w[k : k + 8]), []).append(k)
+    covered = {j for ks in at.values() if len(ks) > 1 for k in ks for j in range(k, k + 8)}
+    n = len(w)
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n
+
+
+def test_base_statistics_and_verdicts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "été # $ " * 30), (-4, "same line\n" * 9), (-5, "a b c d e f g h a b c d e f g h a"), (None, "x\x0by")], "doc_id long, text string")
+    every = docs.select("doc_id", "text").union(odd)
+    refs = J.fit_references(docs)
+    got = J.judge(every.withColumn("kept", F.lit(1)), refs).collect()
+    want = {r.doc_id: base_statistics(r.text) for r in every.collect()}
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got} == want
+    assert not any(r.kept and r.base_failed for r in got)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    judged = [(labels[r.doc_id], r.kept) for r in got if r.doc_id in labels and not r.base_failed]
+    assert sum(k for q, k in judged if q) >= 0.98 * sum(1 for q, _ in judged if q)
+    assert sum(not k for q, k in judged if not q) >= 0.9 * sum(1 for q, _ in judged if not q)
+    assert J.judge(every.limit(0), refs).collect() == []
+    assert all(r.class_distance == 0 for r in J.judge(odd, J.fit_references(docs.limit(0))).collect())
+
+
+def test_references_count_the_whole_corpus(spark):
+    docs = spark.createDataFrame([("aa", "the the cat"), ("aa", "THE dog 9"), ("bb", "le"), (None, "the"), ("aa", None)], "lang string, text string")
+    refs = J.fit_references(docs, common=1)
+    assert refs.languages == ["aa", "bb"] and refs.shares[0].tolist() == [0.5, 0.5] and refs.shares[1].tolist() == [1.0, 0.0]
+    p, q = np.array([0.5, 0.5, 0]), np.array([0, 0.5, 0.5])
+    assert J.distance(p, p) == 0 and abs(J.distance(p, q) ** 2 - 0.5) < 1e-12
+
+
+def test_kept_text_digest(spark):
+    rows = spark.createDataFrame([(1, "a line that repeats\né"), (2, "a line that repeats\nb")], "doc_id long, text string")
+    got = {r.doc_id: r.d for r in line_dedup.dedup_lines(rows).select("doc_id", F.sha2("text", 256).alias("d")).collect()}
+    assert got == {1: hashlib.sha256("a line that repeats\né".encode()).hexdigest(), 2: hashlib.sha256(b"b").hexdigest()}
