@@ -150,16 +150,16 @@ def similar_pairs(names: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataF
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable; ``edges``: (a, b).
 
     Alternating large-star and small-star steps: each only takes minima per node and joins
     them back, so a node with very many edges is combined map-side, and the number of
-    rounds grows with the logarithm of the diameter.
+    rounds grows with the logarithm of the diameter. It ends when nothing changes.
     """
     e = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -6,6 +6,8 @@ pattern matching over a property graph; nodes may repeat.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,10 +135,12 @@ def expand_paths(
 
 
 def shortest_path(
-    pairs: DataFrame, edges: DataFrame, types: list[str] | None = None, max_hops: int = 5, direction: str = "out"
+    pairs: DataFrame, edges: DataFrame, types: list[str] | None = None, max_hops: int | None = 5, direction: str = "out"
 ) -> DataFrame:
     """(src, dst, path, hops): one shortest path per pair, the smallest by node order among equals.
 
+    Without ``max_hops`` the search goes on until every pair has met or cannot.
+
     Searched from both ends by turns. Each end keeps one best path per node and pair, and
     pairs that have met leave the search, so neither side spreads further than half the way.
     """
@@ -146,7 +150,7 @@ def shortest_path(
     bwd = todo.select("src", "dst", F.col("dst").alias("at"), F.array("dst").alias("p"))
     fwd_seen, bwd_seen = fwd.select("src", "dst", "at"), bwd.select("src", "dst", "at")
     found = []
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         if hop % 2:
             nxt = (
                 fwd.withColumnRenamed("at", "_at").join(walk, F.col("_at") == F.col("at"))
@@ -168,7 +172,7 @@ def shortest_path(
             bwd_seen = bwd_seen.unionByName(bwd.select("src", "dst", "at"))
         met = (
             fwd.join(bwd.withColumnRenamed("p", "q"), ["src", "dst", "at"])
-            .select("src", "dst", F.concat("p", F.slice("q", 2, 100000)).alias("path"))
+            .select("src", "dst", F.concat("p", F.expr("slice(q, 2, size(q))")).alias("path"))
             .groupBy("src", "dst").agg(F.min("path").alias("path"))
             .withColumn("hops", F.lit(hop))
         )
@@ -402,9 +406,11 @@ def communities_overview(communities: DataFrame, members: DataFrame, k: int = 5)
     return communities.join(packed, "community_id", "left")
 
 
-def score_communities(queries: DataFrame, communities: DataFrame, k: int = 3, top: int = 10) -> DataFrame:
-    """The ``k`` best of the ``top`` largest communities per query: 2 per summary word, 3 per label word shared."""
-    large = communities.filter(F.coalesce("full_summary", F.lit("")) != "").orderBy(F.col("size").desc(), "community_id").limit(top)
+def score_communities(queries: DataFrame, communities: DataFrame, k: int = 3, top: int | None = None) -> DataFrame:
+    """The ``k`` best communities per query, of all or the ``top`` largest: 2 per summary word, 3 per label word shared."""
+    large = communities.filter(F.coalesce("full_summary", F.lit("")) != "")
+    if top is not None:
+        large = large.orderBy(F.col("size").desc(), "community_id").limit(top)
     w = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != ""))
     words = large.select("community_id", "size", F.explode(F.concat(
         F.transform(w("full_summary"), lambda x: F.struct(x.alias("word"), F.lit(2).alias("points"))),

@@ -420,7 +420,7 @@ def p21(spark, sf):
     return G.communities_overview(communities(spark, sf), members).select("community_id", "size", F.array_join("articles", "|").alias("articles"))
 
 
-_SCORED = f"""{COMM}, big AS (SELECT * FROM comm ORDER BY size DESC, community_id LIMIT 10),
+_SCORED = f"""{COMM}, big AS (SELECT * FROM comm),
 w AS (SELECT community_id, size, unnest(list_distinct(list_filter(regexp_split_to_array(lower(full_summary), '\\s+'), lambda x: x <> ''))) AS word, 2 AS points FROM big
   UNION ALL SELECT community_id, size, unnest(list_distinct(regexp_split_to_array(lower(label), '\\s+'))), 3 FROM big),
 q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS word FROM benchmark),
@@ -463,7 +463,7 @@ def a03(spark, sf):
 )
 def a04(spark, sf):
     # The reference sets no bound; the search ends when every pair has met.
-    return _text_path(G.shortest_path(nation_pairs(spark, sf), network(spark, sf), None, 64, "both"))
+    return _text_path(G.shortest_path(nation_pairs(spark, sf), network(spark, sf), None, None, "both"))
 
 
 @query("a05_orphans", "WITH e AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' UNION SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R') SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey NOT IN (SELECT k FROM e)")

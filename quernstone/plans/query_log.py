@@ -338,7 +338,7 @@ def p24(spark, sf):
 
 @query(
     "p25_global_graph_lookup",
-    f"""WITH {COMM}, big AS (SELECT * FROM comm ORDER BY size DESC, community_id LIMIT 10),
+    f"""WITH {COMM}, big AS (SELECT * FROM comm),
     docs AS (SELECT doc_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS ws FROM documents),
     w AS (SELECT community_id, size, unnest(list_distinct(list_filter(regexp_split_to_array(lower(full_summary), '\\s+'), lambda x: x <> ''))) AS word, 2 AS points FROM big
       UNION ALL SELECT community_id, size, unnest(list_distinct(regexp_split_to_array(lower(label), '\\s+'))), 3 FROM big),

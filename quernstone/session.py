@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,29 +41,21 @@ def build_session(app: str = "quernstone", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder every executor can reach: below ``spark.checkpoint.dir``, or local in tests."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", "")
+    """A new folder every executor can reach, below ``spark.checkpoint.dir``."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="quernstone-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master without that
-    setting falls back to a temporary folder: on a cluster such a folder would not be
-    shared, so the call is refused there.
+    The folder comes from ``spark.checkpoint.dir``; without one the call is refused.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-ckpt-"))
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return df.checkpoint(eager=True)
 
 
