@@ -32,7 +32,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
         docs.withColumn("lines", F.split("text", "\n"))
         .select(
             "doc_id",
-            F.substring(F.element_at("lines", 1), 1, 60).alias("title"),
+            F.element_at("lines", 1).alias("title"),
             F.col("source").alias("doc_type"),
             F.col("lang").alias("language"),
             (F.lit(2018) + F.col("doc_id") % 8).cast("int").alias("year"),

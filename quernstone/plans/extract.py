@@ -25,7 +25,7 @@ snodes AS MATERIALIZED (SELECT doc_id,
              WHEN 4 THEN CASE WHEN i % 10 = 9 THEN 'bang_' || i ELSE 'bang_dieu_' || (i // 10) || '_' || lang || '_1_t' END
              ELSE 'dieu_' || (i // 10) || '_' || lang || '_' || (i % 5) END AS id,
   CASE i % 5 WHEN 0 THEN 'Chapter' WHEN 3 THEN 'Clause' WHEN 4 THEN 'Table' ELSE 'Article' END AS type,
-  substr(line, 1, 40) AS title, line AS full_text, i // 3 + 1 AS page, i AS ord FROM lines),
+  line AS title, line AS full_text, i // 3 + 1 AS page, i AS ord FROM lines),
 sedges AS MATERIALIZED (
   SELECT doc_id, 'dieu_' || (i // 10) || '_' || lang || '_1' AS source, 'khoan_' || (i % 5) || '_dieu_' || (i // 10) || '_' || lang AS target, 'CONTAINS' AS type, i AS ord FROM lines WHERE i % 5 = 3
   UNION ALL SELECT doc_id, 'dieu_' || (i // 10) || '_' || lang || '_2', 'bang_' || i, 'CONTAINS', i FROM lines WHERE i % 10 = 9
@@ -58,7 +58,7 @@ def structure_nodes(spark, sf):
         "doc_id",
         F.when(m == 0, chapter).when(m == 3, clause).when(m == 4, F.when(F.col("i") % 10 == 9, loose).otherwise(held)).otherwise(article).alias("id"),
         F.when(m == 0, "Chapter").when(m == 3, "Clause").when(m == 4, "Table").otherwise("Article").alias("type"),
-        F.substring("line", 1, 40).alias("title"), F.col("line").alias("full_text"),
+        F.col("line").alias("title"), F.col("line").alias("full_text"),
         F.expr("cast(i div 3 + 1 as bigint)").alias("page"), F.col("i").cast("bigint").alias("ord"),
     )
 
@@ -101,14 +101,14 @@ _JOIN = f"""CASE WHEN regexp_replace(a, '{_WS}+$', '') = '' OR regexp_replace(x,
   ELSE regexp_replace(a, '{_WS}+$', '') || ' ' || regexp_replace(x, '^{_WS}+', '') END"""
 _FOLD = f"list_reduce(list(full_text ORDER BY page, ord), lambda a, x: CASE WHEN contains(a, {S.strip('x')}) THEN a ELSE {_JOIN} END)"
 _FRAGS = """frags AS (SELECT conv_id // 5 AS doc_id, role || '_' || (conv_id % 5) AS id, CASE WHEN role = 'system' THEN 'Chapter' ELSE 'Article' END AS type,
-  substr(text, 1, 30) AS title, text AS full_text, turn + 1 AS page, turn AS ord FROM conversations)"""
+  string_split(text, chr(10))[1] AS title, text AS full_text, turn + 1 AS page, turn AS ord FROM conversations)"""
 
 
 def fragments(spark, sf):
     return table(spark, sf, "conversations").select(
         F.expr("conv_id div 5").alias("doc_id"), F.concat_ws("_", "role", F.expr("cast(conv_id % 5 as string)")).alias("id"),
         F.when(F.col("role") == "system", "Chapter").otherwise("Article").alias("type"),
-        F.substring("text", 1, 30).alias("title"), F.col("text").alias("full_text"), (F.col("turn") + 1).alias("page"), F.col("turn").alias("ord"),
+        F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("full_text"), (F.col("turn") + 1).alias("page"), F.col("turn").alias("ord"),
     )
 
 
@@ -333,9 +333,9 @@ def _bleed_sql(src: str) -> str:
     bleed AS (SELECT doc_id, id, expected_topic, detected_topic, CASE WHEN {nd} >= 3 THEN 'high' ELSE 'medium' END AS severity FROM bl2 WHERE detected_topic IS NOT NULL)"""
 
 
-@query("t15_detect_content_bleed", f"WITH arts AS (SELECT doc_id, 'd' AS id, substr(text, 1, 40) AS title, text AS full_text FROM documents), {_bleed_sql('arts')} SELECT * FROM bleed")
+@query("t15_detect_content_bleed", f"WITH arts AS (SELECT doc_id, 'd' AS id, string_split(text, chr(10))[1] AS title, text AS full_text FROM documents), {_bleed_sql('arts')} SELECT * FROM bleed")
 def t15(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.lit("d").alias("id"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("full_text"))
+    docs = table(spark, sf, "documents").select("doc_id", F.lit("d").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("full_text"))
     return X.detect_content_bleed(docs, WORD_TOPICS)
 
 
@@ -361,7 +361,7 @@ def t16(spark, sf):
 @query(
     "t17_clean_extraction",
     f"""WITH {SNODES}, {DEDUP}, {FIXED},
-    docs AS (SELECT doc_id, regexp_matches(lower(substr(text, 1, 60) || ' ' || text || ' ' || source || '-' || doc_id || '-qd-abc'), '(?i)the|sch') AS is_amendment, doc_id || '/QĐ-ABC' AS signature FROM documents),
+    docs AS (SELECT doc_id, regexp_matches(lower(string_split(text, chr(10))[1] || ' ' || text || ' ' || source || '-' || doc_id || '-qd-abc'), '(?i)the|sch') AS is_amendment, doc_id || '/QĐ-ABC' AS signature FROM documents),
     arts AS (SELECT * FROM best WHERE type = 'Article'), {_bleed_sql('arts')},
     mods AS (SELECT doc_id, CASE WHEN quality = 1 THEN (doc_id * (1 + toxic)) || '/QĐ-ABC' ELSE '' END AS target FROM labels),
     mr AS (SELECT doc_id, count(*) FILTER (NOT (is_amendment AND target <> '' AND target <> signature)) AS n FROM mods JOIN docs USING (doc_id) GROUP BY ALL),
@@ -374,7 +374,7 @@ def t16(spark, sf):
 )
 def t17(spark, sf):
     d = table(spark, sf, "documents").select(
-        "doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("full_text"),
+        "doc_id", F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("full_text"),
         F.concat_ws("-", "source", F.col("doc_id").cast("string"), F.lit("qd-abc")).alias("source_file"),
     )
     mods = table(spark, sf, "labels").select(

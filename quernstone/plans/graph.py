@@ -259,13 +259,13 @@ def word_mentions(spark, sf):
 
 @query(
     "p13_article_with_entities",
-    f"WITH {MENTIONS} SELECT doc_id AS id, substr(text, 1, 40) AS title, entity_id AS name, CASE WHEN entity_id IS NOT NULL THEN lang END AS type FROM documents LEFT JOIN ment ON article_id = doc_id",
+    f"WITH {MENTIONS} SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, entity_id AS name, CASE WHEN entity_id IS NOT NULL THEN lang END AS type FROM documents LEFT JOIN ment ON article_id = doc_id",
 )
 def p13(spark, sf):
     docs = table(spark, sf, "documents")
     lang = docs.select(F.col("doc_id").alias("article_id"), F.col("lang").alias("type"))
     m = word_mentions(spark, sf).join(lang, "article_id").select(F.col("article_id").alias("src"), F.col("entity_id").alias("name"), "type")
-    return G.article_with_entities(docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title")), m)
+    return G.article_with_entities(docs.select(F.col("doc_id").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title")), m)
 
 
 @query(
@@ -411,12 +411,12 @@ def communities(spark, sf):
 
 @query(
     "p21_communities_overview",
-    f"""WITH {COMM}, t AS (SELECT DISTINCT source || '_' || lang AS community_id, substr(text, 1, 30) AS title FROM documents),
+    f"""WITH {COMM}, t AS (SELECT DISTINCT source || '_' || lang AS community_id, string_split(text, chr(10))[1] AS title FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY title) AS n FROM t)
     SELECT c.community_id, size, string_agg(title, '|' ORDER BY title) AS articles FROM comm c JOIN r USING (community_id) WHERE n <= 5 GROUP BY ALL""",
 )
 def p21(spark, sf):
-    members = table(spark, sf, "documents").select(F.concat_ws("_", "source", "lang").alias("community_id"), F.substring("text", 1, 30).alias("title"))
+    members = table(spark, sf, "documents").select(F.concat_ws("_", "source", "lang").alias("community_id"), F.element_at(F.split("text", "\n"), 1).alias("title"))
     return G.communities_overview(communities(spark, sf), members).select("community_id", "size", F.array_join("articles", "|").alias("articles"))
 
 

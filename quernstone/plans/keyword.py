@@ -135,26 +135,28 @@ def facets(spark, sf):
 
 @query(
     "k08_highlight",
-    f"""WITH {S.CHUNKS}, {S.QUERIES}, {S.QUERY_FORMS},
+    f"""WITH {S.SEARCH}, {S.BM25_RANKED},
     q AS (SELECT query_id, list(DISTINCT term) AS terms FROM q_forms GROUP BY ALL),
-    h AS (SELECT b.item_id AS query_id, d.doc_id, d.text FROM documents d JOIN benchmark b ON d.doc_id = b.item_id),
-    p AS (SELECT query_id, doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS idx
-          FROM (SELECT query_id, doc_id, regexp_extract_all(text, '(?s).{{1,200}}(?:\\s|$)|.{{200}}') AS ps FROM h)),
-    w AS (SELECT query_id, doc_id, idx, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS wpos
+    h AS (SELECT query_id, doc_id, chunk_id, c.text FROM bm25 JOIN chunks c USING (doc_id, chunk_id) WHERE rank <= 10),
+    p AS (SELECT query_id, doc_id, chunk_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS idx
+          FROM (SELECT query_id, doc_id, chunk_id, regexp_extract_all(text, '(?s).{{1,200}}(?:\\s|$)|.{{200}}') AS ps FROM h)),
+    w AS (SELECT query_id, doc_id, chunk_id, idx, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS wpos
           FROM (SELECT *, regexp_extract_all(piece, '{S.T.TOKEN}|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS ws FROM p)),
     m AS (SELECT w.*, (list_contains(q.terms, {S.mapped_lower('w')}) OR list_contains(q.terms, {S.fold(S.mapped_lower('w'))})) AS hit
           FROM w JOIN q USING (query_id)),
-    f AS (SELECT query_id, doc_id, idx, count(*) FILTER (hit) AS hits,
+    f AS (SELECT query_id, doc_id, chunk_id, idx, count(*) FILTER (hit) AS hits,
                  string_agg(CASE WHEN hit THEN '<mark>' || w || '</mark>' ELSE w END, '' ORDER BY wpos) AS piece
           FROM m GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY hits DESC, idx) AS rn FROM f WHERE hits > 0)
-    SELECT query_id, doc_id, string_agg(piece, '|' ORDER BY idx) AS highlights FROM r WHERE rn <= 2 GROUP BY ALL""",
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, chunk_id ORDER BY hits DESC, idx) AS rn FROM f WHERE hits > 0)
+    SELECT query_id, doc_id, chunk_id, string_agg(piece, '|' ORDER BY idx) AS highlights FROM r WHERE rn <= 2 GROUP BY ALL""",
 )
 def highlight(spark, sf):
-    # Each query against the document of its own number: whole texts, no ranking needed.
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "doc_id", "text")
-    return K.highlight(docs, queries_table(spark, sf)).filter(F.size("highlights") > 0).select(
-        "query_id", "doc_id", F.concat_ws("|", "highlights").alias("highlights")
+    # Every hit of the search; the texts of the hits come back by key.
+    rows = chunks(spark, sf)
+    hits = K.bm25_search(queries_table(spark, sf), rows, k=10).select("query_id", *K.KEYS)
+    found = hits.join(rows.select(*K.KEYS, "text"), list(K.KEYS))
+    return K.highlight(found, queries_table(spark, sf)).filter(F.size("highlights") > 0).select(
+        "query_id", *K.KEYS, F.concat_ws("|", "highlights").alias("highlights")
     )
 
 
@@ -187,7 +189,7 @@ def keywords_table(spark, sf):
 @query(
     "k10_keyword_score_articles",
     f"""WITH {_KEYWORDS_SQL},
-    articles AS (SELECT doc_id AS id, substr(string_split(text, chr(10))[1], 1, 60) AS title, text AS full_text FROM documents),
+    articles AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text AS full_text FROM documents),
     s AS (SELECT query_id, id, title, full_text,
         sum((CASE WHEN contains(lower(title), keyword) THEN CASE WHEN contains(keyword, ' ') THEN 3.0 ELSE 1.0 END ELSE 0 END)
           + (CASE WHEN contains(lower(full_text), keyword) THEN CASE WHEN contains(keyword, ' ') THEN 2.0 ELSE 0.5 END ELSE 0 END)) AS score
@@ -198,7 +200,7 @@ def keywords_table(spark, sf):
 def score_articles(spark, sf):
     docs = spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
-        F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60).alias("title"), F.col("text").alias("full_text"),
+        F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("full_text"),
     )
     return K.keyword_score_articles(keywords_table(spark, sf), docs).withColumn("rank", F.col("rank").cast("bigint"))
 

@@ -38,7 +38,7 @@ chunks AS (
          title, doc_type, language, year, faculty
   FROM (SELECT doc_id, source AS doc_type, lang AS language, CAST(2018 + doc_id % 8 AS INTEGER) AS year,
                ['science','arts','law','medicine','economics'][CAST(doc_id % 5 + 1 AS INTEGER)] AS faculty,
-               substr(lines[1], 1, 60) AS title, unnest(lines) AS text,
+               lines[1] AS title, unnest(lines) AS text,
                generate_subscripts(lines, 1) - 1 AS chunk_index
         FROM (SELECT *, string_split(text, chr(10)) AS lines FROM documents))
   WHERE {strip('text')} <> ''
