@@ -179,9 +179,46 @@ def page_tables(spark, sf):
     )
 
 
-@query("t06_merge_split_tables")
+_T06_SQL = f"""WITH RECURSIVE src AS (
+    SELECT l_orderkey AS doc_id, 'n_' || l_linenumber || '_' || l_suppkey AS id, CASE WHEN l_returnflag IN ('A', 'R') THEN 'Table' ELSE 'Article' END AS type,
+      CASE WHEN l_quantity > 25 THEN '' ELSE 'Bảng ' || l_linestatus END AS title,
+      CASE WHEN l_returnflag IN ('A', 'R') OR l_tax > 0.04 THEN '| part | qty |' || chr(10) || '|---|---|' || chr(10) || '| ' || l_partkey || ' | ' || l_quantity || ' |'
+        ELSE l_returnflag END AS full_text,
+      CAST(l_linenumber AS BIGINT) AS page, l_partkey AS ord FROM lineitem),
+  nodes AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord, id) AS n FROM src),
+  pages AS (SELECT doc_id, page, list({{'n': n, 'type': type, 'title': title, 'text': full_text}} ORDER BY n) AS ns,
+      row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM nodes GROUP BY doc_id, page),
+  walk AS (
+    SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS at, CAST(NULL AS BIGINT) AS moved,
+      CAST(NULL AS STRUCT(page BIGINT, n BIGINT, title VARCHAR, body VARCHAR, pages VARCHAR)) AS grown,
+      CAST(NULL AS STRUCT(page BIGINT, n BIGINT, title VARCHAR, body VARCHAR, pages VARCHAR)) AS o FROM pages WHERE k = 1
+    UNION ALL
+    SELECT doc_id, k, page, f.n, CASE WHEN f IS NOT NULL THEN u END, CASE WHEN len(tables) > 0
+        THEN {{'page': page, 'n': tables[-1].n, 'title': tables[-1].title, 'body': tables[-1].text, 'pages': CAST(page AS VARCHAR)}}
+        WHEN len(rest) = 0 THEN u END
+    FROM (
+      SELECT *, list_filter(rest, lambda c: c.type = 'Table') AS tables,
+        CASE WHEN f IS NULL THEN o ELSE {{'page': o.page, 'n': o.n, 'title': o.title, 'pages': o.pages || ',' || page,
+          'body': o.body || chr(10) || array_to_string(CASE WHEN NOT list_contains(above[1:10], ls[1]) THEN ls
+            WHEN starts_with({S.strip("array_to_string(ls[2:], chr(10))")}, '|-') THEN ls[3:] ELSE ls[2:] END, chr(10))}} END AS u
+      FROM (
+        SELECT *, string_split({S.strip("f.text")}, chr(10)) AS ls, string_split({S.strip("o.body")}, chr(10)) AS above,
+          CASE WHEN f IS NULL THEN ns ELSE list_filter(ns, lambda c: c.n <> f.n) END AS rest
+        FROM (
+          SELECT p.doc_id, p.k, p.page, p.ns, w.o, CASE WHEN w.o IS NOT NULL THEN list_filter(p.ns[1:3], lambda c: CASE WHEN c.type = 'Table'
+              THEN c.title IN ('', w.o.title) OR contains(lower(c.title), 'tiếp') OR contains(lower(c.title), 'cont')
+              ELSE starts_with({S.strip("c.text")}, '|') END)[1] END AS f
+          FROM walk w JOIN pages p ON p.doc_id = w.doc_id AND p.k = w.k + 1)))),
+  parts AS (SELECT doc_id, grown.page AS page, grown.n AS n, arg_max(grown.body, k) AS body, arg_max(grown.pages, k) AS pages
+      FROM walk WHERE grown IS NOT NULL GROUP BY ALL)
+  SELECT x.doc_id, id, type, title, coalesce(body, full_text) AS full_text, x.page, ord, coalesce(pages, CAST(x.page AS VARCHAR)) AS page_range
+  FROM nodes x LEFT JOIN parts USING (doc_id, page, n)
+  WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.doc_id = x.doc_id AND w.at = x.page AND w.moved = x.n)"""
+
+
+@query("t06_merge_split_tables", _T06_SQL)
 def t06(spark, sf):
-    return _page_text(X.merge_split_tables(page_tables(spark, sf)))
+    return _page_text(X.merge_split_tables(page_tables(spark, sf), first_nodes=3, header_lines=10))
 
 
 @query(

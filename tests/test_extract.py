@@ -1,6 +1,8 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quernstone.functions.json_repair import repair_json
@@ -60,17 +62,17 @@ def test_merge_equals_plain_fold(spark):
     assert got == want
 
 
-def plain_tables(rows):
+def plain_tables(rows, first=3, header=10):
     """The rule, walked page by page over a whole document."""
     out, last, pages = [], None, sorted({r["page"] for r in rows})
     for p in pages:
         here = [dict(r, pages=[p]) for r in sorted((r for r in rows if r["page"] == p), key=lambda r: r["ord"])]
         if last is not None:
-            for n in here[:3]:
+            for n in here[:first]:
                 cont = (n["title"] in ("", last["title"]) or "tiếp" in n["title"].lower()) if n["type"] == "Table" else n["full_text"].strip().startswith("|")
                 if cont:
                     new, old = n["full_text"].strip().split("\n"), last["full_text"].strip().split("\n")
-                    if new[0] in old[:10]:
+                    if new[0] in old[:header]:
                         new = new[1:]
                         if new and new[0].strip().startswith("|-"):
                             new = new[1:]
@@ -87,21 +89,22 @@ def plain_tables(rows):
     return out
 
 
-def test_split_tables_equal_plain_walk(spark):
+@pytest.mark.parametrize("first,header", [(3, 10), (None, None), (1, 2)])
+def test_split_tables_equal_plain_walk(spark, first, header):
     rnd = random.Random(8)
     rows = []
     for d in range(12):
         for p in range(1, 25):
-            for o in range(rnd.choice([0, 1, 1, 2, 4])):
+            for o in range(rnd.choice([0, 1, 1, 2, 5])):
                 table = rnd.random() < 0.5
                 head = rnd.choice(["| a | b |", "| c |"])
                 text = f"{head}\n|---|\n| {rnd.randint(0, 9)} |" if table or rnd.random() < 0.2 else "văn bản"
                 rows.append((d, f"{p}_{o}", "Table" if table else "Article", rnd.choice(["", "B1", "B2", "B1 (tiếp)"]), text, p, o))
-    got = {(r.doc_id, r.id): (r.full_text, r.page_range) for r in X.merge_split_tables(spark.createDataFrame(rows, NODES), bucket=5).collect()}
+    got = {(r.doc_id, r.id): (r.full_text, r.page_range) for r in X.merge_split_tables(spark.createDataFrame(rows, NODES), bucket=5, first_nodes=first, header_lines=header).collect()}
     want = {}
     names = ["doc_id", "id", "type", "title", "full_text", "page", "ord"]
     for d in range(12):
-        for n in plain_tables([dict(zip(names, r)) for r in rows if r[0] == d]):
+        for n in plain_tables([dict(zip(names, r)) for r in rows if r[0] == d], first, header):
             want[d, n["id"]] = (n["full_text"], n["pages"])
     assert got == want
 
