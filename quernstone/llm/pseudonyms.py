@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation, in DataFrame functions only.
 
-Card numbers (checked by their check digit), phone numbers, IPv4 addresses, e-mail names and calendar dates are found by
-pattern, validated, written as digits of mixed radix, permuted by an alternating Feistel network whose round function is a
+Card numbers (checked by their check digit), phone numbers, IPv4 addresses, e-mail names, calendar dates and secrets (access key
+ids, and values with a digit that are assigned to the name of a secret) are found by pattern, validated, written as digits of mixed radix, permuted by an alternating Feistel network whose round function is a
 keyed SHA-256, and written back in the format they had. The permutation of a format is a bijection: equal values
 get equal pseudonyms in every document, different values different ones, and ``restore`` with the key undoes it.
 A pseudonym depends on its value and the key alone, so nothing is shuffled.
@@ -20,10 +20,17 @@ PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4})(?![0-9A-Za-z])"
+SECRET = r"[A-Za-z0-9_/=-]"
+#: A cheap test of what stands before comes first, since the second one is tried at every place that passes it.
+ASSIGNED = (
+    r"(?<=[=:\"']|[=:] )(?<=(?i:token|secret|api_?key|access_?key|password|passwd|pwd)[\"']? ?[=:] ?[\"']?)"
+    rf"(?={SECRET}{{0,127}}[0-9]){SECRET}{{8,128}}+"
+)
+KEY_ID = r"(?<=(?<![0-9A-Za-z])AKIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
 #: The groups in DATE are its only ones, and they stand first.
-ANY = "|".join((DATE, EMAIL, PHONE, IPV4, CARD))
+ANY = "|".join((DATE, EMAIL, PHONE, IPV4, CARD, KEY_ID, ASSIGNED))
 
-KINDS = ("date", "email", "phone", "ipv4", "card")
+KINDS = ("date", "email", "phone", "ipv4", "card", "secret")
 ROUNDS = 10
 #: Dates are days 0 to SIDE * SIDE - 1 after DAY_0; others are not taken for dates.
 DAY_0 = "1900-01-01"
@@ -69,13 +76,24 @@ def kind_of(text: Column) -> Column:
         F.when(F.contains(text, F.lit("@")), "email").when(F.startswith(text, F.lit("+")), "phone")
         .when(text.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"), "ipv4")
         .when(text.rlike(r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}$|^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), F.when(_days(text).between(0, SIDE * SIDE - 1), "date"))
-        .when(let(_chars(_only_digits(text)), luhn) % 10 == 0, "card")
+        .when(text.rlike("^(?:[0-9]{4}[ -]){3}[0-9]{4}$|^[0-9]{13,19}$"), F.when(let(_chars(_only_digits(text)), luhn) % 10 == 0, "card"))
+        .otherwise("secret")
     )
 
 
-def _low(c: Column) -> Column:
-    """The first code of the class of digits, small or capital letters that a code is in, or itself."""
-    return F.when(c.between(48, 57), 48).when(c.between(97, 122), 97).when(c.between(65, 90), 65).otherwise(c)
+def _low(c: Column, kind: Column) -> Column:
+    """The first code of the class that a code is in, or itself: digits, small and capital letters.
+
+    In secrets the letters that may be hexadecimal digits are classes of their own, so that such numbers stay what they are.
+    """
+    plain = F.when(c.between(48, 57), 48).when(c.between(97, 122), 97).when(c.between(65, 90), 65).otherwise(c)
+    return F.when((kind == "secret") & (c.between(103, 122) | c.between(71, 90)), F.when(c > 90, 103).otherwise(71)).otherwise(plain)
+
+
+def _radix(c: Column, kind: Column) -> Column:
+    """How many codes the class of a code has."""
+    letter = F.when(kind != "secret", 26).when(c.between(97, 102) | c.between(65, 70), 6).otherwise(20)
+    return F.when(c.between(48, 57), 10).when(c.between(97, 122) | c.between(65, 90), letter).otherwise(1)
 
 
 def _open_part(h: Column) -> Column:
@@ -83,6 +101,7 @@ def _open_part(h: Column) -> Column:
     return (
         F.when(h["kind"] == "email", F.substring_index(h["value"], "@", 1))
         .when(h["kind"] == "phone", F.substring_index(h["value"], " ", -2))
+        .when(h["kind"] == "secret", h["value"])
         .otherwise(let(_only_digits(h["value"]), lambda d: F.substring(d, F.lit(1), F.length(d) - 1)))
     )
 
@@ -93,7 +112,7 @@ def _coded(h: Column) -> Column:
     octets = F.transform(F.split(h["value"], r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("m")))
     signs = F.transform(
         F.transform(_chars(_open_part(h)), lambda c: F.ascii(c)),
-        lambda c: F.struct((c - _low(c)).alias("v"), F.when(c.between(48, 57), 10).when(c.between(97, 122) | c.between(65, 90), 26).otherwise(1).alias("m")),
+        lambda c: F.struct((c - _low(c, h["kind"])).alias("v"), _radix(c, h["kind"]).alias("m")),
     )
     digits = F.when(h["kind"] == "date", let(_days(h["value"]), two)).when(h["kind"] == "ipv4", octets).when(h["kind"].isNotNull(), signs)
     return let(digits, lambda d: F.struct(h["value"].alias("value"), h["kind"].alias("kind"), F.floor(F.size(d) / 2).cast("int").alias("h"), d.alias("d")))
@@ -130,7 +149,7 @@ def _spelt(h: Column) -> Column:
     """A value's new digits in the old format."""
     value, kind = h["value"], h["kind"]
     new = F.transform(F.concat(h["l"], h["r"]), lambda x: x["v"])
-    signs = lambda old: F.array_join(F.zip_with(new, F.transform(_chars(old), lambda c: F.ascii(c)), lambda v, c: F.char(v + _low(c))), "")
+    signs = lambda old: F.array_join(F.zip_with(new, F.transform(_chars(old), lambda c: F.ascii(c)), lambda v, c: F.char(v + _low(c, kind))), "")
 
     def card(body: Column) -> Column:
         check = F.pmod(-luhn(F.concat(body, F.array(F.lit("0")))), F.lit(10)).cast("string")
@@ -151,6 +170,7 @@ def _spelt(h: Column) -> Column:
         F.when(kind == "card", let(F.transform(new, lambda v: v.cast("string")), card))
         .when(kind == "date", let(day, date))
         .when(kind == "ipv4", F.array_join(F.transform(new, lambda v: v.cast("string")), "."))
+        .when(kind == "secret", signs(value))
         .when(kind == "phone", F.concat(F.substring_index(value, " ", 1), F.lit(" "), signs(_open_part(h))))
         .when(kind == "email", F.concat(signs(_open_part(h)), F.lit("@"), F.substring_index(value, "@", -1)))
         .otherwise(value)
@@ -162,7 +182,7 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """``docs`` with the validated values in ``text`` replaced by pseudonyms, ``n_values`` and ``n_<kind>`` (long).
 
     ``key`` is the secret. A null text stays null and an empty one empty, with no values; a text without values is unchanged.
-    Values that only look valid (a wrong check digit, the 30th of February, an octet of 300) stay. Other columns pass;
+    Values that only look valid (a wrong check digit, the 30th of February, an octet of 300) stay, as do the names of secrets. Other columns pass;
     the counts replace columns of their names. Repeated rows get the same result each; an empty table stays empty.
     ``back=True`` undoes the permutation in texts that it made.
     """
