@@ -72,20 +72,40 @@ _LETTERS = "àâäæçèéêëîïñôöùûüÿœßáíóú¿"
 _BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[: len(_LETTERS)]
 
 
+def _near(vocab: str) -> str:
+    """CTE fuzzy_terms (query_id, word, term, edits, weight): the terms of ``vocab`` near a query term."""
+    return f"""
+    vocab AS MATERIALIZED (SELECT term, length(term) AS n, translate(term, '{_LETTERS}', '{_BYTES}') AS bytes FROM ({vocab})),
+    w AS MATERIALIZED (SELECT term AS word, n, bytes, CASE WHEN n <= 2 THEN 0 WHEN n <= 5 THEN 1 ELSE 2 END AS allowed
+          FROM (SELECT DISTINCT term, length(term) AS n, translate(term, '{_LETTERS}', '{_BYTES}') AS bytes FROM q_terms)),
+    near AS MATERIALIZED (SELECT word, term, levenshtein(w.bytes, vocab.bytes) AS edits, allowed
+             FROM w JOIN vocab ON abs(vocab.n - w.n) <= allowed),
+    fuzzy_terms AS MATERIALIZED (SELECT q.query_id, n.word, n.term, n.edits, q.weight * (1 - n.edits / least(length(n.word), length(n.term))) AS weight
+             FROM q_terms q JOIN near n ON q.term = n.word WHERE n.edits <= n.allowed)"""
+
+
+_FUZZY_BM25 = S.BM25.replace("FROM q_terms", "FROM best_terms")
+
+
+@query(
+    "k04_bm25_fuzzy",
+    f"""WITH {S.CHUNKS}, {S.QUERIES}, {S.positions('chunks', 'doc_id, chunk_id')}, {S.QUERY_FORMS}, {_near('SELECT DISTINCT term FROM postings')},
+    best_terms AS MATERIALIZED (SELECT query_id, term, max(weight) AS weight FROM fuzzy_terms GROUP BY ALL), {_FUZZY_BM25}, {S.PHRASE}, {S.BM25_RANKED}
+    SELECT query_id, doc_id, chunk_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10""",
+)
+def bm25_fuzzy(spark, sf):
+    return K.bm25_search(queries_table(spark, sf), chunks(spark, sf), k=10, fuzzy=True).select(
+        "query_id", "doc_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score")
+    )
+
+
 @query(
     "k05_fuzzy_expand",
     f"""WITH {S.QUERIES}, {S.QUERY_FORMS},
     d0 AS MATERIALIZED (SELECT DISTINCT unnest({S.tokens('text')}) AS tok FROM documents),
     d AS MATERIALIZED (SELECT tok, {S.fold('tok')} AS folded FROM d0),
-    vocab0 AS MATERIALIZED (SELECT folded AS term FROM d WHERE folded NOT IN {S.STOPS}
-              UNION SELECT tok FROM d WHERE tok <> folded AND tok NOT IN {S.STOPS}),
-    vocab AS MATERIALIZED (SELECT term, length(term) AS n, translate(term, '{_LETTERS}', '{_BYTES}') AS bytes FROM vocab0),
-    w AS MATERIALIZED (SELECT term AS word, n, bytes, CASE WHEN n <= 2 THEN 0 WHEN n <= 5 THEN 1 ELSE 2 END AS allowed
-          FROM (SELECT DISTINCT term, length(term) AS n, translate(term, '{_LETTERS}', '{_BYTES}') AS bytes FROM q_terms)),
-    near AS MATERIALIZED (SELECT word, term, levenshtein(w.bytes, vocab.bytes) AS edits, allowed
-             FROM w JOIN vocab ON abs(vocab.n - w.n) <= allowed)
-    SELECT q.query_id, n.word, n.term, n.edits, round(q.weight * (1 - n.edits / least(length(n.word), length(n.term))), 6) AS weight
-    FROM q_terms q JOIN near n ON q.term = n.word WHERE n.edits <= n.allowed""",
+    {_near(f"""SELECT folded AS term FROM d WHERE folded NOT IN {S.STOPS} UNION SELECT tok FROM d WHERE tok <> folded AND tok NOT IN {S.STOPS}""")}
+    SELECT query_id, word, term, edits, round(weight, 6) AS weight FROM fuzzy_terms""",
 )
 def fuzzy(spark, sf):
     docs = table(spark, sf, "documents")

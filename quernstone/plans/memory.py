@@ -8,7 +8,7 @@ from quernstone.operators import memory as M
 from quernstone.plans.bindings import table
 from quernstone.plans.registry import query
 from quernstone.session import shared_folder
-from quernstone.streaming.index_stream import ChunkTable, stream_index_upserts
+from quernstone.streaming.index_stream import ChunkTable, stream_index_deletes, stream_index_upserts
 from quernstone.streaming.memory_stream import stream_session_memory
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
@@ -96,15 +96,27 @@ def w07(spark, sf):
     return out.join(last, ["session_id", "version"]).select("session_id", "seq", "role")
 
 
+# Two feeds of chunks, one after the other, and the documents that are deleted between them.
+_LATE = "TIMESTAMP '2024-01-16 00:00:00'"
+
+
 @query(
     "w08_stream_index_upserts",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events WHERE value > 1)
-    SELECT user_id AS doc_id, event_type AS chunk_id, props AS text, 'general' AS faculty FROM r WHERE n = 1""",
+    f"""WITH gone AS (SELECT DISTINCT user_id FROM events WHERE ts < {_LATE} AND value > 200),
+    live AS (SELECT *, ts >= {_LATE} AS late FROM events WHERE value > 1 AND (ts >= {_LATE} OR user_id NOT IN (SELECT user_id FROM gone))),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY late DESC, event_id DESC) AS n,
+        count(*) FILTER (late) OVER (PARTITION BY user_id, event_type) AS n_late, count(*) OVER (PARTITION BY user_id, event_type) AS n_all FROM live)
+    SELECT user_id AS doc_id, event_type AS chunk_id, props AS text, 'general' AS faculty,
+      CASE WHEN n_late > 0 AND n_late < n_all THEN 'updated' ELSE 'created' END AS state FROM r WHERE n = 1""",
 )
 def w08(spark, sf):
     folder = shared_folder(spark, "index")
-    rows = _stream(spark, sf, "events").select(
-        F.col("user_id").alias("doc_id"), F.col("event_type").alias("chunk_id"), F.when(F.col("value") > 1, F.col("props")).alias("text"), F.col("event_id").alias("ord"))
     store = ChunkTable(spark, f"{folder}/table")
-    stream_index_upserts(rows, store, f"{folder}/ckpt").awaitTermination()
-    return store.read().select("doc_id", "chunk_id", "text", "faculty")
+    late = F.expr(f"ts >= {_LATE}")
+    events = lambda: _stream(spark, sf, "events")
+    rows = lambda part: events().filter(part).select(
+        F.col("user_id").alias("doc_id"), F.col("event_type").alias("chunk_id"), F.when(F.col("value") > 1, F.col("props")).alias("text"), F.col("event_id").alias("ord"))
+    stream_index_upserts(rows(~late), store, f"{folder}/early").awaitTermination()
+    stream_index_deletes(events().filter(~late & (F.col("value") > 200)).select(F.col("user_id").alias("doc_id")), store, f"{folder}/deletes").awaitTermination()
+    stream_index_upserts(rows(late), store, f"{folder}/late").awaitTermination()
+    return store.read().select("doc_id", "chunk_id", "text", "faculty", "state")

@@ -1,48 +1,70 @@
-"""Streaming upserts into a chunk table."""
+"""Streaming upserts and deletes of chunks."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.sources.writers import keyword_rows, upsert_chunks
+from quernstone.sources.writers import keyword_rows
+
+KEYS = ["doc_id", "chunk_id"]
 
 
 class ChunkTable:
-    """A chunk table kept as one parquet folder per version, and a log of finished versions.
+    """A chunk table kept as the changes of each micro-batch; the newest change of a chunk counts.
 
-    The log is written after the data, so a restarted query goes on from the last finished
-    version and a replayed batch starts from the one before it.
+    A batch writes its own rows only, to a folder named after the query and the batch. A replayed batch replaces its own folder; a
+    query with a new checkpoint has a new name, so nothing is lost. A log grown long is cut by writing ``read()`` to a new table.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def version(self, before: int | None = None) -> int | None:
-        try:
-            log = self.spark.read.schema("version long").json(f"{self.folder}/log")
-        except AnalysisException:
-            return None
-        return log.filter(F.lit(True) if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
+    def _write(self, rows: DataFrame, kind: str, source: str, batch_id: int) -> None:
+        if not rows.isEmpty():
+            rows.withColumn("changed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{self.folder}/{kind}/source={source}/batch={batch_id}")
+
+    def upsert(self, batch: DataFrame, batch_id: int, source: str) -> None:
+        """Add one micro-batch of chunks, one row per key."""
+        self._write(keyword_rows(batch)[0].drop("created_at", "updated_at"), "rows", source, batch_id)
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        v = self.version(before)
-        return None if v is None else self.spark.read.parquet(f"{self.folder}/v{v}")
+    def delete(self, docs: DataFrame, batch_id: int, source: str) -> None:
+        """Add one micro-batch of documents whose chunks of until now go."""
+        self._write(docs.select("doc_id").distinct(), "deletes", source, batch_id)
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch as version ``batch_id``."""
-        rows, _ = keyword_rows(batch)
-        old = self.read(before=batch_id)
-        merged = rows.withColumn("state", F.lit("created")) if old is None else upsert_chunks(old.drop("state"), rows)
-        merged.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
-        self.spark.range(batch_id, batch_id + 1).toDF("version").coalesce(1).write.mode("append").json(f"{self.folder}/log")
+    def _changes(self, kind: str) -> DataFrame | None:
+        path = f"{self.folder}/{kind}"
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+            return None
+        # Later batches may have more columns.
+        changes = self.spark.read.option("mergeSchema", "true").parquet(path)
+        return changes.withColumn("at", F.struct("changed_at", "batch")).drop("source", "batch", "changed_at")
+
+    def read(self) -> DataFrame | None:
+        """The newest row of every chunk, ``created_at`` and ``updated_at``, and whether the chunk was written once or more; None without any batch."""
+        rows, deletes = self._changes("rows"), self._changes("deletes")
+        if rows is None:
+            return None
+        if deletes is not None:
+            gone = deletes.groupBy("doc_id").agg(F.max("at").alias("gone"))
+            rows = rows.join(gone, "doc_id", "left").filter(F.col("gone").isNull() | (F.col("at") > F.col("gone"))).drop("gone")
+        rest = [c for c in rows.columns if c not in {*KEYS, "at"}]
+        newest = rows.groupBy(*KEYS).agg(
+            F.max_by(F.struct(*rest), "at").alias("r"), F.min("at.changed_at").alias("created_at"), F.max("at.changed_at").alias("updated_at"), F.count("*").alias("n"))
+        state = F.when(F.col("n") > 1, "updated").otherwise("created").alias("state")
+        return newest.select(*KEYS, "r.*", "created_at", "updated_at", state)
 
 
 def latest_rows(batch: DataFrame) -> DataFrame:
     """The last row per chunk of a batch, by ``ord``."""
-    rest = [c for c in batch.columns if c not in {"doc_id", "chunk_id"}]
-    return batch.groupBy("doc_id", "chunk_id").agg(F.max_by(F.struct(*rest), "ord").alias("r")).select("doc_id", "chunk_id", "r.*")
+    rest = [c for c in batch.columns if c not in KEYS]
+    return batch.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "ord").alias("r")).select(*KEYS, "r.*")
+
+
+def _name(batch: DataFrame) -> str:
+    """The name a query keeps for as long as its checkpoint lives."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
 def stream_index_upserts(chunks: DataFrame, table: ChunkTable, checkpoint: str, counts: list | None = None):
@@ -56,6 +78,15 @@ def stream_index_upserts(chunks: DataFrame, table: ChunkTable, checkpoint: str,
         if counts is not None:
             row = batch.agg(F.count(F.when(good, 1)), F.count(F.when(~good, 1))).first()
             counts.append((batch_id, row[0], row[1]))
-        table.upsert(latest_rows(batch.filter(good)).drop("ord"), batch_id)
+        table.upsert(latest_rows(batch.filter(good)).drop("ord"), batch_id, _name(batch))
 
     return chunks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_index_deletes(docs: DataFrame, table: ChunkTable, checkpoint: str):
+    """Start the query that deletes the chunks of a stream of documents; later upserts of a document stay."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.delete(batch.filter("doc_id IS NOT NULL"), batch_id, _name(batch))
+
+    return docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import memory as M
 from quernstone.session import shared_folder
-from quernstone.streaming.index_stream import ChunkTable, stream_index_upserts
+from quernstone.streaming.index_stream import ChunkTable, stream_index_deletes, stream_index_upserts
 from quernstone.streaming.memory_stream import stream_session_memory
 
 T0 = datetime(2024, 1, 1)
@@ -66,6 +66,16 @@ def test_stream_upserts(spark):
     got = {(r.doc_id, r.chunk_id): (r.text, r.state) for r in store.read().collect()}
     assert {k: v[0] for k, v in got.items()} == {(1, "a"): "v3", (2, "b"): "x", (4, "d"): "y"}
     assert sorted(c[1:] for c in counts) == [(2, 1), (3, 0)] and got[1, "a"][1] == "updated"
-    again = ChunkTable(spark, f"{folder}/table")
-    again.upsert(spark.createDataFrame([(9, "z", "late")], "doc_id long, chunk_id string, text string"), 7)
-    assert ChunkTable(spark, f"{folder}/table").read().count() == 4
+    # A new checkpoint over the same table, here of deletes and then of chunks, loses nothing.
+    spark.createDataFrame([(1, None, None, 1), (None, "a", "x", 2)], schema).write.parquet(f"{folder}/gone")
+    docs = spark.readStream.schema(schema).parquet(f"{folder}/gone")
+    assert stream_index_deletes(docs, store, f"{folder}/deletes").awaitTermination(120)
+    assert {r.doc_id for r in ChunkTable(spark, f"{folder}/table").read().collect()} == {2, 4}
+    spark.createDataFrame([(9, "z", "late", 1, "law"), (1, "a", "back", 2, None)], schema + ", faculty string").coalesce(1).write.parquet(f"{folder}/more")
+    more = spark.readStream.schema(schema + ", faculty string").parquet(f"{folder}/more")
+    assert stream_index_upserts(more, store, f"{folder}/ckpt2").awaitTermination(120)
+    left = {(r.doc_id, r.chunk_id): (r.text, r.faculty, r.state) for r in ChunkTable(spark, f"{folder}/table").read().collect()}
+    assert left == {
+        (2, "b"): ("x", "general", "created"), (4, "d"): ("y", "general", "created"), (9, "z"): ("late", "law", "created"), (1, "a"): ("back", "general", "created"),
+    }
+    assert ChunkTable(spark, f"{folder}/none").read() is None
