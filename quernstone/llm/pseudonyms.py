@@ -187,7 +187,7 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     ``back=True`` undoes the permutation in texts that it made.
     """
     base = docs.select(whole_row(docs).alias("row"), F.col("text").cast("string").alias("text"))
-    some = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    some = F.when(F.col("text").rlike("[0-9@]|AKIA"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     # Each step reads the one before it once, so that the steps can be fused without being computed twice.
     found = base.withColumn("hits", F.transform(some, lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind"))))
     found = found.withColumn("hits", F.transform("hits", _coded)).withColumn("hits", F.transform("hits", _halves))
