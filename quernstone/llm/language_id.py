@@ -55,7 +55,8 @@ def ngram_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    made = np.log1p(counts) * idf
+    """Unit vectors; frequencies count in full, so that of a text in two languages the one it has more of decides."""
+    made = counts * idf
     size = np.sqrt((made * made).sum(axis=-1, keepdims=True))
     return made / np.where(size > 0, size, 1)
 
