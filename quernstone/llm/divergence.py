@@ -187,7 +187,7 @@ def _row(own, chars, n, runs, low, refs: References, min_chars: int, min_words:
     return n, chars, int(SYMBOLS[own].sum()), len(lines) - len(np.unique(lines)), _repeated(runs) if len(runs) > 1 else 0, *best
 
 
-def judge(docs: DataFrame, refs: References, min_chars: int = 120, min_words: int = 30, far_classes: float = 0.29, far_words: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, refs: References, min_chars: int = 120, min_words: int = 30, far_classes: float = 0.32, far_words: float = 0.22) -> DataFrame:
     """(doc_id, the base statistics, base_failed, kept, class_distance, word_distance) of every row of ``docs(doc_id, text)``.
 
     Of the languages the nearest by the sum of both distances counts. A distance is 0 where the text has fewer
