@@ -7,6 +7,9 @@ of the item to the best stretch of text.
 
 Texts and items are compared as lower-cased words (letters, digits) joined by single blanks. The documents are read where they
 lie: nothing is shuffled. The items go to the tasks in blocks of bounded size, one pass over the documents for each block.
+
+The budget goes by characters, so that scripts without blanks count like others. Items too short for any edit are looked for
+as they are, between the bounds of words; next to a letter of a script that sets no blanks any place may be one.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 NOT_WORD = re.compile(r"[\W_]+")
 BLOCK_BYTES = 1 << 20
+#: Letters of scripts that set no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Chinese characters.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normalise(text: str | None) -> str:
@@ -70,11 +75,17 @@ def char_masks(item: str) -> dict[str, int]:
     return masks
 
 
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether a stretch of normalised text begins and ends where a word may."""
+    parted = lambda a, b: " " in (a, b) or UNSPACED.match(a) or UNSPACED.match(b)
+    return bool(parted(text[start - 1], text[start]) and parted(text[end - 1], text[end]))
+
+
 @dataclass
 class Block:
-    """Some test items; the automaton is built in each task."""
+    """Some test items: id, text, budget and whether only whole words count; the automaton is built in each task."""
 
-    items: list[tuple[int | None, str, int]]
+    items: list[tuple[int | None, str, int, bool]]
     masks: dict[int, dict[str, int]] = field(default_factory=dict)
     automaton: object = None
 
@@ -83,7 +94,7 @@ class Block:
             import ahocorasick
 
             made = ahocorasick.Automaton()
-            for n, (_, item, k) in enumerate(self.items):
+            for n, (_, item, k, _) in enumerate(self.items):
                 for at, piece in pieces(item, k):
                     if made.exists(piece):
                         made.get(piece).append((n, at, len(piece)))
@@ -99,14 +110,19 @@ class Block:
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item's place, distance, start, end in the normalised text) of the best occurrence of every item found."""
         spans: dict[int, list[tuple[int, int]]] = {}
+        whole: dict[int, tuple[int, int]] = {}
         for last, owners in self.built().iter(text):
             for n, at, size in owners:
-                item, k = self.items[n][1:]
+                _, item, k, words = self.items[n]
+                if not k:  # The piece is the item, and its first occurrence counts.
+                    if n not in whole and not (words and not bounded(text, last + 1 - size, last + 1)):
+                        whole[n] = (last + 1 - size, last + 1)
+                    continue
                 begin = last + 1 - size - at
                 spans.setdefault(n, []).append((max(0, begin - k), min(len(text), begin + len(item) + k)))
-        out = []
+        out = [(n, 0, a, b) for n, (a, b) in whole.items()]
         for n, found in spans.items():
-            item, k = self.items[n][1:]
+            _, item, k, _ = self.items[n]
             masks = self.masks.setdefault(n, char_masks(item))
             best = None
             for a, b in _merged(found):
@@ -139,7 +155,7 @@ def blocks(items: DataFrame, rate: float, min_words: int, block_bytes: int = BLO
     for b in range(n):
         rows = made.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
         own = sorted({(r.item_id is None, r.item_id or 0, normalise(r.text).strip()) for r in rows})
-        kept = [(None if null else i, t, int(len(t) * rate)) for null, i, t in own if t.count(" ") + 1 >= min_words and t]
+        kept = [(None if null else i, t, int(len(t) * rate), t.count(" ") + 1 < min_words) for null, i, t in own if t]
         if kept:
             yield Block(kept)
 
@@ -155,7 +171,7 @@ def _search(sent):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 plain = normalise(text.as_py())
                 for n, distance, a, b in block.matches(plain):
-                    item, _, k = block.items[n]
+                    item, _, k, _ = block.items[n]
                     rows.append((doc, item, distance, k, plain.count(" ", 0, a + 1) - 1, plain.count(" ", 0, b)))
             if rows:
                 cols = list(zip(*rows))
@@ -169,7 +185,8 @@ def contaminations(docs: DataFrame, items: DataFrame, rate: float = 0.05, min_wo
 
     ``docs(doc_id, text)`` and ``items(item_id, text)`` compare as lower-cased words; an occurrence may differ by ``rate`` of the
     item's characters (at most ``budget`` edits), and the nearest one counts, the first of several. Words are numbered from 0,
-    the end being exclusive. Items of fewer than ``min_words`` words are not looked for: ordinary texts would hold them. Null and empty
+    the end being exclusive. Items too short for an edit that have fewer than ``min_words`` words count only where they stand as whole
+    words; items without any letter or digit are not looked for. Null and empty
     texts hold nothing, and null items are skipped; items and documents without ids are searched like others. Repeated documents give their rows
     each, repeated items once. Empty tables give no rows.
     """

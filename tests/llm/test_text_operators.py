@@ -71,6 +71,19 @@ def test_contaminations_equal_brute_force(spark):
     assert D.contaminations(frame.limit(0), tests).collect() == [] and D.contaminations(frame, tests.limit(0)).collect() == []
 
 
+def test_short_items_and_items_without_blanks(spark):
+    long = "据说这座古老的城市建于公元前三世纪其城墙由当地的石匠用花岗岩砌成至今仍然保存得十分完好"
+    items = [(1, "What is the capital of France?"), (2, long), (3, "法国的首都是哪里？"), (4, "Name it"), (5, "?!")]
+    docs = [
+        (1, "Quiz: what is the capital of  FRANCE? Paris."), (2, "古书记载" + long.replace("石匠", "石工") + "所以游客很多"), (3, "请问法国的首都是哪里呢"),
+        (4, "then name it, please"), (5, "rename it, name items, ?! 法国的首都在哪里"),
+    ]
+    frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.budget, r.start_word, r.end_word) for r in D.contaminations(frame, tests).collect())
+    assert got == [(1, 1, 0, 1, 1, 7), (2, 2, 1, 2, 0, 1), (3, 3, 0, 0, 0, 1), (4, 4, 0, 0, 1, 3)]
+    assert [r.doc_id for r in D.clean_documents(frame, tests).collect()] == [5]
+
+
 def test_small_blocks_find_the_same(spark, monkeypatch):
     items = [(k, " ".join(f"t{k}{j}" for j in range(10))) for k in range(20)]
     docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items], "doc_id long, text string")
