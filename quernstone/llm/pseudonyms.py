@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation, in DataFrame functions only.
 
 Card numbers (checked by their check digit), phone numbers, IPv4 addresses, e-mail names, calendar dates and secrets (access key
-ids, and values with a digit that are assigned to the name of a secret) are found by pattern, validated, written as digits of mixed radix, permuted by an alternating Feistel network whose round function is a
+ids, and values with a digit that are assigned to the name of a secret, of any length) are found by pattern, validated, written as digits of mixed radix, permuted by an alternating Feistel network whose round function is a
 keyed SHA-256, and written back in the format they had. The permutation of a format is a bijection: equal values
 get equal pseudonyms in every document, different values different ones, and ``restore`` with the key undoes it.
 A pseudonym depends on its value and the key alone, so nothing is shuffled.
@@ -15,20 +15,37 @@ from pyspark.sql import functions as F
 from quernstone.llm.columns import whole_row, with_columns
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
-CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+#: 4-4-4-4, 4-6-5 and 4-6-4, 4-3-3-3, or 13 to 19 digits in one.
+CARD = (
+    r"(?<![0-9A-Za-z])(?:(?:[0-9]{4}[ .-]){3}[0-9]{4}|[0-9]{4}[ .-][0-9]{6}[ .-][0-9]{4,5}|[0-9]{4}(?:[ .-][0-9]{3}){3}|[0-9]{13,19})(?![0-9A-Za-z])"
+)
+#: Three, three and four digits, apart.
+LOCAL = r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+#: After a trunk 0: 3-4-4, 4-3-4, 4-3-3, 5-6, 5-3-3, pairs, or an area and 6 to 8 digits.
+TRUNK = (
+    r"(?:(?:\(0[0-9]{2}\) ?|0[0-9]{2}[ -])[0-9]{4}[ -][0-9]{4}|(?:\(0[0-9]{3}\) ?|0[0-9]{3}[ -])[0-9]{3}[ -][0-9]{3,4}"
+    r"|(?:\(0[0-9]{4}\) ?|0[0-9]{4}[ -])(?:[0-9]{6}|[0-9]{3}[ -][0-9]{3})|0[0-9](?:[ .-][0-9]{2}){4}|(?:\(0[0-9]{2,4}\) ?|0[0-9]{2,4}[ /-])[0-9]{6,8})"
+)
+#: International numbers have 8 to 15 digits, of which the ones in brackets are a bonus, and 11 where the country is 1.
+PHONE = (
+    r"(?:(?<![0-9A-Za-z])\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)(?:[ ./-]?[0-9]){5,9}|\+[0-9]{1,3}(?:[ ./-]?[0-9]){7,12}"
+    rf"|{LOCAL}|{TRUNK})(?![0-9A-Za-z]|[.-][0-9]))"
+)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4})(?![0-9A-Za-z])"
-SECRET = r"[A-Za-z0-9_/=-]"
-#: A cheap test of what stands before comes first, since the second one is tried at every place that passes it.
+SECRET = r"[A-Za-z0-9_/=+.~-]"
+#: The whole run that stands there, but for full stops at its end. A run that begins with an e-mail name, or with a card or phone number that
+#: it ends with or that goes on behind it, is left to their patterns. A cheap test of what stands before comes first, since the second one is tried at every place that passes it.
 ASSIGNED = (
     r"(?<=[=:\"']|[=:] )(?<=(?i:token|secret|api_?key|access_?key|password|passwd|pwd)[\"']? ?[=:] ?[\"']?)"
-    rf"(?={SECRET}{{0,127}}[0-9]){SECRET}{{8,128}}+"
+    rf"(?!{EMAIL})(?!(?:{PHONE}|{CARD})(?!{SECRET}))(?=[A-Za-z_/=+.~-]*+[0-9]){SECRET}{{8,}}(?<=[^.])"
 )
 KEY_ID = r"(?<=(?<![0-9A-Za-z])AKIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
-#: The groups in DATE are its only ones, and they stand first.
-ANY = "|".join((DATE, EMAIL, PHONE, IPV4, CARD, KEY_ID, ASSIGNED))
+#: The groups in DATE are its only ones: the other patterns must have none.
+ANY = "|".join((ASSIGNED, DATE, EMAIL, PHONE, IPV4, CARD, KEY_ID))
 
 KINDS = ("date", "email", "phone", "ipv4", "card", "secret")
 ROUNDS = 10
@@ -38,7 +55,7 @@ SIDE = 270
 
 
 def _chars(text: Column) -> Column:
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, 1)))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, "", -1))
 
 
 def luhn(digits: Column) -> Column:
@@ -73,10 +90,11 @@ def _days(text: Column) -> Column:
 def kind_of(text: Column) -> Column:
     """The kind of a found value, or null where it is none after all."""
     return (
-        F.when(F.contains(text, F.lit("@")), "email").when(F.startswith(text, F.lit("+")), "phone")
-        .when(text.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"), "ipv4")
+        F.when(F.contains(text, F.lit("@")), "email")
+        .when(text.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.when(text.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ipv4"))
         .when(text.rlike(r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}$|^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), F.when(_days(text).between(0, SIDE * SIDE - 1), "date"))
-        .when(text.rlike("^(?:[0-9]{4}[ -]){3}[0-9]{4}$|^[0-9]{13,19}$"), F.when(let(_chars(_only_digits(text)), luhn) % 10 == 0, "card"))
+        .when(text.rlike(f"^{CARD}$"), F.when(let(_chars(_only_digits(text)), luhn) % 10 == 0, "card"))
+        .when(text.rlike(f"^{PHONE}$"), "phone")
         .otherwise("secret")
     )
 
@@ -96,11 +114,19 @@ def _radix(c: Column, kind: Column) -> Column:
     return F.when(c.between(48, 57), 10).when(c.between(97, 122) | c.between(65, 90), letter).otherwise(1)
 
 
+def _closed(phone: Column) -> Column:
+    """What stays of a phone number, by digits that stay themselves: the country's code and the sign behind it, or the trunk 0."""
+    return F.when(
+        F.startswith(phone, F.lit("+")),
+        F.regexp_extract(phone, r"^\+(?:[0-9]{1,3}(?![0-9])|1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})[ .-]?", 0),
+    ).when(phone.rlike(f"^{LOCAL}$"), "").otherwise(F.regexp_extract(phone, r"^\(?0", 0))
+
+
 def _open_part(h: Column) -> Column:
     """The characters of a value that may change."""
     return (
         F.when(h["kind"] == "email", F.substring_index(h["value"], "@", 1))
-        .when(h["kind"] == "phone", F.substring_index(h["value"], " ", -2))
+        .when(h["kind"] == "phone", F.substring(h["value"], F.length(_closed(h["value"])) + 1, F.length(h["value"])))
         .when(h["kind"] == "secret", h["value"])
         .otherwise(let(_only_digits(h["value"]), lambda d: F.substring(d, F.lit(1), F.length(d) - 1)))
     )
@@ -125,6 +151,9 @@ def _halves(h: Column) -> Column:
 def _turned(mine: Column, other: Column, kind: Column, turn: int, key: str, back: bool) -> Column:
     """One half of the digits, each shifted by a keyed hash of the other half and its place."""
 
+    # Each digit hashes the seed, so that of a long value is hashed first.
+    short = lambda seed: F.when(F.size(mine) + F.size(other) > 128, F.sha2(seed, 256)).otherwise(seed)
+
     def shifted(seed: Column) -> Column:
         def one(x: Column, place: Column) -> Column:
             hashed = F.conv(F.substring(F.sha2(F.concat(seed, place.cast("string")), 256), 1, 12), 16, 10).cast("long")
@@ -133,7 +162,7 @@ def _turned(mine: Column, other: Column, kind: Column, turn: int, key: str, back
         return F.transform(mine, one)
 
     seed = F.concat(F.lit(f"{key}/{turn}/"), kind, F.lit("/"), F.array_join(F.transform(other, lambda x: x["v"].cast("string")), ","), F.lit("/"))
-    return let(seed, shifted)
+    return let(let(seed, short), shifted)
 
 
 def _round(turn: int, key: str, back: bool):
@@ -153,10 +182,9 @@ def _spelt(h: Column) -> Column:
 
     def card(body: Column) -> Column:
         check = F.pmod(-luhn(F.concat(body, F.array(F.lit("0")))), F.lit(10)).cast("string")
-        four = lambda d, k: F.substring(d, k, 4)
-        cut = lambda d: F.when(F.length(value) == F.length(d), d).otherwise(
-            F.concat(four(d, 1), F.substring(value, 5, 1), four(d, 5), F.substring(value, 10, 1), four(d, 9), F.substring(value, 15, 1), four(d, 13))
-        )
+        place = lambda i: F.length(_only_digits(F.substring(value, F.lit(1), i + 1)))
+        apart = lambda d: F.array_join(F.transform(_chars(value), lambda c, i: F.when(c.between("0", "9"), F.substring(d, place(i), F.lit(1))).otherwise(c)), "")
+        cut = lambda d: F.when(F.length(value) == F.length(d), d).otherwise(apart(d))
         return let(F.concat(F.array_join(body, ""), check), cut)
 
     def date(iso: Column) -> Column:
@@ -171,7 +199,7 @@ def _spelt(h: Column) -> Column:
         .when(kind == "date", let(day, date))
         .when(kind == "ipv4", F.array_join(F.transform(new, lambda v: v.cast("string")), "."))
         .when(kind == "secret", signs(value))
-        .when(kind == "phone", F.concat(F.substring_index(value, " ", 1), F.lit(" "), signs(_open_part(h))))
+        .when(kind == "phone", F.concat(_closed(value), signs(_open_part(h))))
         .when(kind == "email", F.concat(signs(_open_part(h)), F.lit("@"), F.substring_index(value, "@", -1)))
         .otherwise(value)
     )

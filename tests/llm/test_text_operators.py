@@ -185,6 +185,27 @@ def test_secrets_keep_their_shape(spark):
     assert re.fullmatch(r"password=[0-9]{8} password=4111111111111112", rows[5].text) and rows[5].text != texts[5]
 
 
+def test_whole_secrets_and_usual_separators(spark):
+    texts = [
+        "secret=wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY", "token: eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3.", "api_key=" + "aB3+/x.~" * 2000 + " end",
+        "token=4111111111111111+bPx9 pwd=bob.smith7@example.com password=300.1.1.1",
+        "(555) 123-4567, 555-123-4567, 555.123.4567, +1 555 123 4567, +44 20 7946 0958, +15551234567; 020 7946 0958 or (0161) 496 0000.",
+        "3782 822463 10005, 3782-822463-10005, 4111.1111.1111.1111, 3782 822463 10006", "978-0-306-40615-7, 123-456-7890-1234, 12 345 6789, 1.2.3",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = pseudonyms.pseudonymise(docs, "k")
+    rows = {r.doc_id: r for r in done.collect()}
+    assert [r.text for r in sorted(pseudonyms.restore(done, "k").collect(), key=lambda r: r.doc_id)] == texts
+    assert [(r.n_secret, r.n_phone, r.n_card, r.n_email) for r in map(rows.get, range(7))] == [(1, 0, 0, 0)] * 3 + [(1, 0, 0, 1), (0, 8, 0, 0), (0, 0, 3, 0), (0, 0, 0, 0)]
+    assert "+bPx" not in rows[0].text and "dozj" not in rows[1].text and rows[1].text.endswith(".") and "bPx9" not in rows[3].text and rows[6].text == texts[6]
+    cut = range(8, 8 + 16_000, 400)
+    assert all(rows[2].text[a : a + 400] != texts[2][a : a + 400] for a in cut) and rows[2].text.endswith(" end")
+    for part in texts[4][:-1].replace(" or", ",").replace(";", ",").split(", "):
+        assert part not in rows[4].text
+    one, two, _, wrong = rows[5].text.split(", ")
+    assert one.replace(" ", "") == two.replace("-", "") and re.fullmatch(r"[0-9]{4} [0-9]{6} [0-9]{5}", one) and one != "3782 822463 10005" and wrong == "3782 822463 10006"
+
+
 def test_the_permutation_is_one(spark):
     numbers = spark.range(256).select(F.concat(F.lit("9.8.7."), F.col("id").cast("string")).alias("text"), F.col("id").alias("doc_id"))
     assert pseudonyms.pseudonymise(numbers, "k").select("text").distinct().count() == 256
