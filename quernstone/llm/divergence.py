@@ -93,10 +93,10 @@ def _rows(lang: str, kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBat
     return pa.record_batch([pa.array([lang] * size, pa.string()), pa.array(np.full(size, kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "kind", "key", "n"])
 
 
-def fit_references(docs: DataFrame, common: int = 32, most: int = 200) -> References:
+def fit_references(docs: DataFrame, common: int = 32) -> References:
     """The references of the languages of ``docs(text, lang)``, counted over all rows whose language is not null.
 
-    ``common`` words of each language are gathered, and ``most`` languages, those with the most words.
+    ``common`` words of each language are gathered; every language with a word has a reference.
     """
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("lang").isNotNull())
     counts = known.mapInArrow(_corpus_counts, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
@@ -104,11 +104,12 @@ def fit_references(docs: DataFrame, common: int = 32, most: int = 200) -> Refere
     # Only a language's sums and commonest words are kept of the counts, in one pass over them.
     best = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "key"))
     ranked = counts.withColumn("_i", best).filter(F.col("_i") <= max(common, len(CLASSES)))
-    sums = counts.filter("kind = 1").groupBy("lang").agg(total.alias("words")).orderBy(F.col("words").desc(), "lang").limit(most)
-    rows = ranked.join(F.broadcast(sums), "lang").select("lang", "kind", "key", "n", "words", "_i").collect()
+    sums = counts.filter("kind = 1").groupBy("lang").agg(total.alias("words"))
+    by_lang: dict[str, list] = {}
+    for r in ranked.join(sums, "lang").select("lang", "kind", "key", "n", "words", "_i").collect():
+        by_lang.setdefault(r.lang, []).append(r)
     made = References([], [], [], [])
-    for lang in sorted({r.lang for r in rows}):
-        own = [r for r in rows if r.lang == lang]
+    for lang, own in sorted(by_lang.items()):
         classes = np.zeros(len(CLASSES))
         for r in own:
             if r.kind == 0:

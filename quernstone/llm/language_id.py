@@ -82,17 +82,15 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     return centres, np.argmax(x @ centres.T, axis=1)
 
 
-def fit_languages(docs: DataFrame, per_language: int = 400, clusters: int = 4, margin: float = 0.1, most: int = 200) -> LanguageModel:
+def fit_languages(docs: DataFrame, per_language: int = 400, clusters: int = 4, margin: float = 0.1) -> LanguageModel:
     """A model learnt from a bounded sample of ``docs(doc_id, text, lang)``.
 
-    At most ``per_language`` texts with letters of each language are read, chosen by a hash of their ids, and
-    at most ``most`` languages, those with the most texts. Rows without language, id or letters teach nothing. Without any, the model is empty.
+    At most ``per_language`` texts with letters of each language are read, chosen by a hash of their ids. Rows without language, id or letters teach nothing. Without any, the model is empty.
     """
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    names = [r[0] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect()]
     # Only ids are ranked; the texts of the chosen ones, whose number is bounded, are read in a second pass.
-    lean = known.filter(F.col("lang").isin(names)).select("lang", "doc_id", F.xxhash64("text").alias("h"))
+    lean = known.select("lang", "doc_id", F.xxhash64("text").alias("h"))
     chosen = lean.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= per_language).select("doc_id", "h").distinct()
     texts = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"], "left_semi")
     rows = texts.select("lang", "text").mapInArrow(_sample_counts, "lang string, counts binary").toArrow()

@@ -289,6 +289,16 @@ def test_references_count_the_whole_corpus(spark):
     assert J.distance(p, p) == 0 and abs(J.distance(p, q) ** 2 - 0.5) < 1e-12
 
 
+def test_no_language_is_left_out(spark):
+    names = [f"l{k:03d}" for k in range(230)]
+    words = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}q" for j in range(6))
+    docs = spark.createDataFrame([(k, words(k), name) for k, name in enumerate(names)], "doc_id long, text string, lang string")
+    assert J.fit_references(docs).languages == names
+    model = L.fit_languages(docs)
+    assert model.languages == names
+    assert {r.doc_id: r.lang_pred for r in L.identify_languages(docs, model).collect()} == dict(enumerate(names))
+
+
 def test_kept_text_digest(spark):
     rows = spark.createDataFrame([(1, "a line that repeats\né"), (2, "a line that repeats\nb")], "doc_id long, text string")
     got = {r.doc_id: r.d for r in line_dedup.dedup_lines(rows).select("doc_id", F.sha2("text", 256).alias("d")).collect()}
