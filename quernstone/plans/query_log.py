@@ -336,6 +336,51 @@ def p24(spark, sf):
     return found.select("query_id", "branch", big("n_nodes"), "confidence")
 
 
+# The three routes of P24 above and the other three: every question has its row. The programmes are a customer's faculty and segment, the
+# entities parts named by their course code, mentioned by their order lines.
+@query(
+    "p24_local_graph_lookup_all",
+    f"""WITH {ASKED}, {AMENDS}, {COMPOUND}, r AS (SELECT query_id, {CODE} AS code, {ARTICLE} AS no, {PATTERN} AS pattern FROM asked),
+    b AS MATERIALIZED (SELECT query_id, code, no, CASE WHEN code IS NOT NULL THEN pattern ELSE 'general' END AS branch FROM r),
+    cs AS (SELECT ['IT','SE'][p_partkey % 2 + 1] || (p_partkey % 900 + 100) AS code, min(p_partkey) AS k FROM part GROUP BY ALL),
+    pre AS (SELECT a.code AS src, b.code AS dst FROM cs a JOIN cs b ON b.k = a.k // 2 WHERE a.code <> b.code),
+    hop AS (SELECT src AS code, dst FROM pre UNION ALL SELECT x.src, y.dst FROM pre x JOIN pre y ON y.src = x.dst
+      UNION ALL SELECT x.src, z.dst FROM pre x JOIN pre y ON y.src = x.dst JOIN pre z ON z.src = y.dst),
+    fac AS (SELECT c_custkey, ['CNTT','KHMT','HTTT','MMT'][c_nationkey % 4 + 1] AS code, c_mktsegment FROM customer),
+    codes AS (SELECT DISTINCT branch, code FROM b),
+    ent AS (SELECT p_partkey AS entity_id, ['IT','SE'][p_partkey % 2 + 1] || (p_partkey % 900 + 100) || ' ' || p_name AS name, p_type AS description FROM part),
+    fst AS (SELECT code, arg_min(entity_id, {{'n': name, 'e': entity_id}}) AS entity_id FROM codes JOIN ent ON contains(lower(name), lower(code)) WHERE branch = 'entity_related' GROUP BY ALL),
+    kw AS (SELECT DISTINCT query_id, lower(k) AS kw FROM compound JOIN b USING (query_id) WHERE branch = 'general' AND k <> ''), ks AS (SELECT DISTINCT kw FROM kw),
+    words AS (SELECT query_id, string_agg(kw, chr(10) ORDER BY kw) AS kws FROM kw GROUP BY ALL), sets AS (SELECT DISTINCT kws, unnest(string_split(kws, chr(10))) AS kw FROM words),
+    ah AS (SELECT kw, id FROM ks JOIN la ON contains(lower(title), kw) OR contains(lower(full_text), kw)),
+    eh AS (SELECT kw, entity_id FROM ks JOIN ent ON contains(lower(name), kw) OR contains(lower(description), kw)),
+    an AS (SELECT kws, least(5, count(DISTINCT id)) AS n FROM sets JOIN ah USING (kw) GROUP BY ALL),
+    en AS (SELECT kws, least(5, count(DISTINCT entity_id)) AS n FROM sets JOIN eh USING (kw) GROUP BY ALL),
+    n AS (SELECT query_id, count(*) AS n FROM b JOIN hop USING (code) WHERE branch = 'prerequisite' GROUP BY ALL
+      UNION ALL SELECT query_id, least(20, count(*)) FROM b JOIN fac USING (code) WHERE branch = 'department' GROUP BY ALL
+      UNION ALL SELECT query_id, least(30, m) FROM b JOIN (SELECT c.code, count(*) AS m FROM codes c JOIN fac f ON contains(f.code || '_' || f.c_mktsegment, c.code) WHERE branch = 'program' GROUP BY ALL) USING (code) WHERE branch = 'program'
+      UNION ALL SELECT query_id, m FROM b JOIN (SELECT regexp_extract(title, 'Điều (\\d+)', 1)::BIGINT AS no, count(*) AS m FROM la GROUP BY ALL) USING (no) WHERE branch = 'article'
+      UNION ALL SELECT query_id, m FROM b JOIN (SELECT code, least(5, count(DISTINCT l_orderkey)) AS m FROM fst JOIN lineitem ON l_partkey = entity_id GROUP BY ALL) USING (code) WHERE branch = 'entity_related'
+      UNION ALL SELECT query_id, coalesce(an.n, 0) + coalesce(en.n, 0) FROM words LEFT JOIN an USING (kws) LEFT JOIN en USING (kws)),
+    a AS (SELECT query_id, branch, coalesce(n, 0) AS n_nodes FROM b LEFT JOIN n USING (query_id))
+    SELECT query_id, branch, n_nodes, CASE branch {" ".join(f"WHEN '{k}' THEN CASE WHEN n_nodes > 0 THEN {yes} ELSE {no} END" for k, (yes, no) in P.CONFIDENCE.items())} END::DOUBLE AS confidence FROM a""",
+)
+def p24_all(spark, sf):
+    la, c, p, course = lookup_tables(spark, sf)
+    up = course.select(F.expr("k div 2").alias("pk"), F.col("code").alias("src")).join(course.select(F.col("k").alias("pk"), F.col("code").alias("dst")), "pk").filter("src <> dst")
+    fac = F.element_at(F.array(*[F.lit(x) for x in ("CNTT", "KHMT", "HTTT", "MMT")]), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    key = F.col("c_custkey").cast("string")
+    code = F.concat(F.element_at(F.array(F.lit("IT"), F.lit("SE")), (F.col("p_partkey") % 2 + 1).cast("int")), (F.col("p_partkey") % 900 + 100).cast("string"))
+    found = P.local_graph_lookup(
+        asked(spark, sf), prerequisites=up.select("src", "dst", F.lit("PREREQUISITE").alias("type")), departments=c.select(key.alias("src"), fac.alias("dst")),
+        programs=c.select(key.alias("src"), F.concat(fac, F.lit("_"), "c_mktsegment").alias("dst"), F.col("c_nationkey").alias("semester")),
+        courses=c.select(key.alias("code"), F.col("c_name").alias("name")), articles=la,
+        entities=p.select(F.col("p_partkey").alias("entity_id"), F.concat(code, F.lit(" "), "p_name").alias("name"), F.col("p_brand").alias("type"), F.col("p_type").alias("description")),
+        mentions=table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("article_id")),
+    )
+    return found.select("query_id", "branch", big("n_nodes"), "confidence")
+
+
 @query(
     "p25_global_graph_lookup",
     f"""WITH {COMM}, big AS (SELECT * FROM comm),

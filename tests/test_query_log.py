@@ -1,8 +1,13 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from check import TABLES, rows
 from quernstone.operators import context as C
+from quernstone.operators import lookup as P
 from quernstone.operators import query_log as Q
+from quernstone.plans.query_log import asked
 
 
 def one(spark, text, col):
@@ -76,3 +81,28 @@ def test_extract_answer_and_reasoning(spark):
     step = spark.createDataFrame([('x {"reasoning_step": "s", "confidence": 0.9, "can_answer_now": true} y',), ("Như vậy là xong",), ("chưa rõ",)], "raw string")
     got = [(r.step, r.confidence, r.can_answer) for r in C.parse_reasoning(step).collect()]
     assert got == [("s", 0.9, True), ("Như vậy là xong", 0.75, True), ("chưa rõ", 0.5, False)]
+
+
+def test_every_question_is_looked_up(spark, sf):
+    got = entry.queries()["p24_local_graph_lookup_all"](spark, sf).toPandas()
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(entry.oracle_sql()["p24_local_graph_lookup_all"]).df()
+    assert rows(got) == rows(want)
+    assert sorted(got["query_id"]) == sorted(r.query_id for r in asked(spark, sf).select("query_id").collect())
+
+
+def test_all_six_routes(spark):
+    texts = ["Môn học trước của IT101?", "Môn thuộc khoa CNTT", "chương trình KHMT", "Điều 5 về IT101", "quy định về SE202", "học bổng"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    edge = "src string, dst string"
+    found = P.local_graph_lookup(
+        queries, spark.createDataFrame([("IT101", "IT100", "P")], edge + ", type string"), spark.createDataFrame([("c1", "CNTT"), ("c2", "CNTT")], edge),
+        spark.createDataFrame([("c1", "KHMT_A", 1)], edge + ", semester int"), spark.createDataFrame([("c1", "one"), ("c2", "two")], "code string, name string"),
+        spark.createDataFrame([("a", "Điều 5. X", "mức học bổng"), ("b", "Điều 6. Y", "khác")], "id string, title string, full_text string"),
+        spark.createDataFrame([(1, "SE202 phần mềm", "t", "d"), (2, "học bổng", "t", "d")], "entity_id long, name string, type string, description string"),
+        spark.createDataFrame([(1, "a"), (1, "b")], "entity_id long, article_id string"),
+    )
+    assert [(r.branch, r.n_nodes, r.confidence) for r in found.orderBy("query_id").collect()] == [
+        ("prerequisite", 1, 0.9), ("department", 2, 0.85), ("program", 1, 0.85), ("article", 1, 0.95), ("entity_related", 2, 0.85), ("general", 2, 0.7)]
