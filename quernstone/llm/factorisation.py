@@ -125,12 +125,13 @@ def train(rows: list[tuple[float, np.ndarray, np.ndarray]], rank: int = 8, epoch
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> QualityModel:
     """A model of ``labels(doc_id, quality)`` over ``docs(doc_id, text, n_chars)``.
 
-    At most ``max_rows`` labelled ids, chosen by a hash, are joined to their texts and fitted in one task; that number bounds what the task
-    gathers (about 3 KB each). Null labels and ids teach nothing; without any label the score is the same for every text.
+    At most ``max_rows`` labelled ids, chosen by a hash, are joined to their texts and fitted in one task; rows that repeat a text under its id count
+    once, and that number bounds what the task gathers (about 3 KB each) where an id has one text. Null labels and ids teach nothing; without any label the score is the same for every text.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label")).dropna().distinct()
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("label", "text", "meta").mapInArrow(_sample, "label double, ids binary, values binary")
+    texts = _inputs(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "meta", F.xxhash64("text")).agg(F.min("text").alias("text"))
+    rows = texts.select("label", "text", "meta").mapInArrow(_sample, "label double, ids binary, values binary")
     [fitted] = rows.repartition(1).mapInArrow(_train, "bias double, weights binary, factors binary, n long").collect()
     factors = np.frombuffer(fitted.factors, np.float64).reshape(DIM, -1)
     return QualityModel(fitted.bias, np.frombuffer(fitted.weights, np.float64), factors, fitted.n)

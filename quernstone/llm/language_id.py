@@ -12,12 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.hashing import slices, utf8
+from quernstone.session import stored
 
 DIM = 4096
 UNKNOWN = "und"
@@ -85,34 +87,56 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
 def fit_languages(docs: DataFrame, per_language: int = 400, clusters: int = 4, margin: float = 0.1) -> LanguageModel:
     """A model learnt from a bounded sample of ``docs(doc_id, text, lang)``.
 
-    At most ``per_language`` texts with letters of each language are read, chosen by a hash of their ids. Rows without language, id or letters teach nothing. Without any, the model is empty.
+    At most ``per_language`` texts with letters of each language are read, chosen by a hash of their ids; repeated rows count
+    once. Each language is fitted in a task of its own, and its centroids come to the driver. Rows without language, id or letters teach nothing. Without any, the model is empty.
     """
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
     # Only ids are ranked; the texts of the chosen ones, whose number is bounded, are read in a second pass.
-    lean = known.select("lang", "doc_id", F.xxhash64("text").alias("h"))
-    chosen = lean.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= per_language).select("doc_id", "h").distinct()
-    texts = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"], "left_semi")
-    rows = texts.select("lang", "text").mapInArrow(_sample_counts, "lang string, counts binary").toArrow()
-    langs = np.array(rows["lang"].to_pylist(), dtype=object)
-    if not len(langs):
+    lean = known.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct()
+    chosen = lean.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= per_language).select("lang", "doc_id", "h")
+    # Rows that repeat a chosen one fold before their n-grams are counted.
+    texts = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "h"], "left_semi").groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
+    sample = stored(texts.select("lang", "text").mapInArrow(_sample_counts, "lang string, counts binary"), "language_sample")
+    held = sample.select("counts").mapInArrow(_text_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    total = sum(r.n for r in held if r.slot == DIM)
+    if not total:
         return LanguageModel(np.ones(DIM), np.zeros((0, DIM)), [], np.zeros(0))
-    # The rows come in no fixed order: sort them, so that the model is the same each time.
-    data = rows["counts"].to_pylist()
-    order = sorted(range(len(data)), key=lambda i: (langs[i], data[i]))
-    langs, counts = langs[order], np.stack([np.frombuffer(data[i], np.float32) for i in order])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = _vectors(counts, idf.astype(np.float32))
-    centroids, names, least = [], [], []
-    for lang in sorted(set(langs)):
-        own = x[langs == lang]
+    having = np.zeros(DIM + 1)
+    for r in held:
+        having[r.slot] = r.n
+    idf = np.log((1 + total) / (1 + having[:DIM])) + 1
+    rows = sample.groupBy("lang").applyInPandas(_fit(idf.astype(np.float32), clusters, margin), "lang string, place int, centroid binary, least double").collect()
+    rows.sort(key=lambda r: (r.lang, r.place))
+    centroids = np.stack([np.frombuffer(r.centroid, np.float32) for r in rows]).astype(np.float64)
+    return LanguageModel(idf, centroids, [r.lang for r in rows], np.array([r.least for r in rows]))
+
+
+def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n): the task's texts that hold an n-gram, and under ``DIM`` all of its texts."""
+    having = np.zeros(DIM + 1, np.int64)
+    for batch in batches:
+        for counts in batch.column(0):
+            having[:DIM] += np.frombuffer(counts.as_py(), np.float32) > 0
+            having[DIM] += 1
+    slots = np.flatnonzero(having)
+    yield pa.record_batch([pa.array(slots.astype(np.int32)), pa.array(having[slots])], ["slot", "n"])
+
+
+def _fit(idf: np.ndarray, clusters: int, margin: float):
+    """The centroids of one language's texts, whose number is bounded."""
+
+    def run(texts: pd.DataFrame) -> pd.DataFrame:
+        # The rows come in no fixed order: sort them, so that the model is the same each time.
+        own = _vectors(np.stack([np.frombuffer(c, np.float32) for c in sorted(bytes(c) for c in texts["counts"])]), idf)
         centres, place = _kmeans(own, clusters)
-        for c in range(len(centres)):
-            if (place == c).any():
-                centroids.append(centres[c])
-                names.append(str(lang))
-                least.append(float((own[place == c] @ centres[c]).min()) - margin)
-    return LanguageModel(idf, np.stack(centroids).astype(np.float64), names, np.array(least))
+        used = [c for c in range(len(centres)) if (place == c).any()]
+        return pd.DataFrame({
+            "lang": [texts["lang"].iloc[0]] * len(used), "place": np.array(used, np.int32), "centroid": [centres[c].astype(np.float32).tobytes() for c in used],
+            "least": [float((own[place == c] @ centres[c]).min()) - margin for c in used],
+        })
+
+    return run
 
 
 def has_letter(text):

@@ -299,6 +299,16 @@ def test_no_language_is_left_out(spark):
     assert {r.doc_id: r.lang_pred for r in L.identify_languages(docs, model).collect()} == dict(enumerate(names))
 
 
+def test_repeated_rows_teach_once(spark):
+    docs = spark.createDataFrame(
+        [(k, f"{'le chat et la' if k % 2 else 'the cat and a'} {chr(97 + k)}{k}", "fr" if k % 2 else "en", k) for k in range(20)], "doc_id long, text string, lang string, n_chars long")
+    again = docs.union(docs.filter("doc_id < 2")).union(docs.filter("doc_id = 0"))
+    one, two = L.fit_languages(docs, per_language=5), L.fit_languages(again, per_language=5)
+    assert one.languages == two.languages and np.array_equal(one.centroids, two.centroids) and np.array_equal(one.idf, two.idf) and np.array_equal(one.least, two.least)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    assert Q.fit_quality(docs, labels).rows == Q.fit_quality(again, labels).rows == 20
+
+
 def test_kept_text_digest(spark):
     rows = spark.createDataFrame([(1, "a line that repeats\né"), (2, "a line that repeats\nb")], "doc_id long, text string")
     got = {r.doc_id: r.d for r in line_dedup.dedup_lines(rows).select("doc_id", F.sha2("text", 256).alias("d")).collect()}
