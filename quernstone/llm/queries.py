@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontaminate, divergence, factorisation, fixity, language_id, line_dedup, mixing, pseudonyms, signature_tree, token_counts
+from quernstone.llm import decontaminate, divergence, factorisation, fixity, language_id, line_dedup, lloyd_codes, mixing, pseudonyms, signature_tree, token_counts
+from quernstone.session import stored
 
 KEY = "demonstration key"
 
@@ -80,11 +81,21 @@ def op10_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.judge(docs, divergence.fit_references(docs))
 
 
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    found, books = lloyd_codes.compress(table(spark, sf, "embeddings"))
+    digits = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
+    codes = stored(found.select("vec_id", "label", digits.alias("code"), F.aggregate("errors", F.lit(0).cast("long"), lambda a, x: a + x).alias("error")), "op13")
+    by_label = codes.groupBy(F.col("label").alias("_label")).agg(F.try_sum("error").alias("label_error"))
+    return codes.join(by_label, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_fixity, op3_signature_trees, op4_pseudonyms, op5_token_counts, op6_mixing, op7_language_id, op8_line_dedup,
-        op9_quality, op10_divergence,
+        op9_quality, op10_divergence, op13_vector_codes,
     )
 }
 
@@ -131,4 +142,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLES = {"op2_fixity": OP2_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL}
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    """One pair of steps for each round: distances of all parts to all entries, then the means of what is nearest."""
+    steps = [r"""
+WITH ok AS (SELECT vec_id, label, embedding FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+f AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k, len(embedding) // 8 AS w FROM ok),
+c AS MATERIALIZED (SELECT vec_id, label, k // w AS p, k % w AS j, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM f),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM ok ORDER BY vec_id LIMIT 16),
+b0 AS MATERIALIZED (SELECT s.e, c.p, c.j, c.x FROM c JOIN s USING (vec_id))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS (SELECT c.vec_id, c.p, b.e, sum((c.x - b.x) * (c.x - b.x)) AS err FROM c JOIN b{k} AS b USING (p, j) GROUP BY c.vec_id, c.p, b.e),
+a{k} AS MATERIALIZED (SELECT vec_id, p, min(err) AS err, arg_min(e, err * 16 + e) AS e FROM d{k} GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (SELECT a.p, a.e, c.j, floor(CAST(sum(c.x) AS DOUBLE) / count(*)) AS x FROM c JOIN a{k} AS a USING (vec_id, p) GROUP BY a.p, a.e, c.j),
+b{k + 1} AS MATERIALIZED (SELECT b.e, b.p, b.j, CAST(coalesce(m.x, b.x) AS BIGINT) AS x FROM b{k} AS b LEFT JOIN m{k} AS m USING (p, e, j))""")
+    return ",".join(steps) + f""",
+r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(err) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT r.vec_id, r.code, r.error, CAST(sum(r.error) OVER (PARTITION BY ok.label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256
+FROM r JOIN ok USING (vec_id)
+"""
+
+
+ORACLES = {"op2_fixity": OP2_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op13_vector_codes": _op13_sql()}
