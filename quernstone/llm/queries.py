@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontaminate, divergence, factorisation, fixity, language_id, line_dedup, lloyd_codes, mixing, pseudonyms, signature_tree, token_counts
+from quernstone.llm import decontaminate, divergence, factorisation, fixity, language_id, line_dedup, lloyd_codes, mixing, periodic_runs, pseudonyms, signature_tree, token_counts
+from quernstone.llm.columns import WORD
 from quernstone.session import stored
 
 KEY = "demonstration key"
@@ -81,6 +82,33 @@ def op10_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.judge(docs, divergence.fit_references(docs))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The texts of a tenth of all ids, chosen by a hash, with a part that repeats from some word on; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    a = (F.col("g") % F.nullif(n, F.lit(0))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    block = F.slice("w", a + 1, p)
+    whole = F.flatten(F.array_repeat(block, F.floor((n - a) / p).cast("int")))
+    words = F.concat(F.slice("w", 1, a), whole, F.slice("w", a + 1, (n - a) % p))
+    return split.select("doc_id", F.when(n > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(table(spark, sf, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    done = found.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+    return done.select(
+        "doc_id", "n_runs", (-F.col("r.s")).alias("start"), F.col("r.n").alias("length"), (-F.col("r.p")).alias("period"),
+        F.expr("1000 * r.n div -r.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     found, books = lloyd_codes.compress(table(spark, sf, "embeddings"))
     digits = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
@@ -95,7 +123,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_fixity, op3_signature_trees, op4_pseudonyms, op5_token_counts, op6_mixing, op7_language_id, op8_line_dedup,
-        op9_quality, op10_divergence, op13_vector_codes,
+        op9_quality, op10_divergence, op12_periodic_runs, op13_vector_codes,
     )
 }
 
@@ -144,6 +172,49 @@ FROM m GROUP BY doc_id
 
 
 
+def _op12_sql(levels: int = 14) -> str:
+    """Candidate periods are the distances between equal groups of m words, m / 2 < distance <= m; every stretch that keeps a candidate is then measured.
+
+    A group of m >= q words that lies in a run of period q was seen last exactly q words before.
+    """
+    steps = [r"""
+WITH RECURSIVE bits AS (
+    SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 1 AS k, 0 AS b, xor(4294967295::BIGINT, ascii(substr(CAST(doc_id AS VARCHAR), 1, 1))::BIGINT) AS c FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL
+    SELECT doc_id, s, k + CASE WHEN b = 7 THEN 1 ELSE 0 END, (b + 1) % 8,
+        xor(xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END),
+            CASE WHEN b = 7 AND k < length(s) THEN ascii(substr(s, k + 1, 1))::BIGINT ELSE 0::BIGINT END) FROM bits WHERE k <= length(s)),
+crc AS (SELECT DISTINCT doc_id, xor(c, 4294967295::BIGINT) AS h FROM bits WHERE k > length(s)),
+d AS (SELECT doc_id, h, h // 10 AS g, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents LEFT JOIN crc USING (doc_id)),
+e AS (SELECT *, len(ws)::BIGINT AS n, g % nullif(len(ws), 0) AS a FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM e),
+w AS MATERIALIZED (SELECT doc_id, i, ws[1 + CASE WHEN p IS NOT NULL AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+    FROM (SELECT *, unnest(range(n)) AS i FROM f)),
+g0 AS MATERIALIZED (SELECT doc_id, i, hash(word) AS v FROM w)"""]
+    for k in range(levels):
+        m = 2**k
+        if k:
+            steps.append(f"""
+g{k} AS MATERIALIZED (SELECT doc_id, i, hash(v, u) AS v FROM (SELECT doc_id, i, v, lag(v, {m // 2}) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM g{k - 1}) WHERE u IS NOT NULL)""")
+        steps.append(f"""
+q{k} AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id, v ORDER BY i) AS q FROM g{k}) WHERE q > {m // 2 if k else 0} AND q <= {m})""")
+    union = " UNION ALL ".join(f"SELECT * FROM q{k}" for k in range(levels))
+    return ",".join(steps) + f""",
+m AS (SELECT x.doc_id, c.q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, c.q ORDER BY x.i) AS island
+    FROM ({union}) AS c JOIN w AS x ON x.doc_id = c.doc_id JOIN w AS y ON y.doc_id = x.doc_id AND y.i = x.i - c.q AND y.word = x.word),
+s AS (SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length FROM m GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS t WHERE t.doc_id = s.doc_id AND t.q < s.q AND s.q % t.q = 0
+    AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY doc_id),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) = 1),
+z AS (SELECT DISTINCT r.doc_id, w.i FROM r JOIN w ON w.doc_id = r.doc_id AND w.i >= r.start + r.q AND w.i < r.start + r.length),
+t AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text FROM w LEFT JOIN z ON z.doc_id = w.doc_id AND z.i = w.i WHERE z.i IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(o.n_runs, 0) AS n_runs, CAST(l.start AS BIGINT) AS start, CAST(l.length AS BIGINT) AS length, CAST(l.q AS BIGINT) AS period,
+    CAST(1000 * l.length // l.q AS BIGINT) AS exponent_milli, sha256(coalesce(o.lines, '')) AS runs_sha256, sha256(coalesce(t.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 def _op13_sql(rounds: int = 6) -> str:
     """One pair of steps for each round: distances of all parts to all entries, then the means of what is nearest."""
     steps = [r"""
@@ -169,4 +240,4 @@ FROM r JOIN ok USING (vec_id)
 """
 
 
-ORACLES = {"op2_fixity": OP2_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op13_vector_codes": _op13_sql()}
+ORACLES = {"op2_fixity": OP2_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op12_periodic_runs": _op12_sql(), "op13_vector_codes": _op13_sql()}
