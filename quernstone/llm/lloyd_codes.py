@@ -249,7 +249,7 @@ def compress(vectors: DataFrame, positions: int = 8, entries: int = 16, rounds:
         if k + 1 < rounds:
             before = state
             gone = before.mapPartitions(_leaving(sent, before.getNumPartitions()))
-            state = kept(before.mapPartitions(_staying(sent), preservesPartitioning=True).union(dealt(gone, before.getNumPartitions())))
+            state = kept(beside(before.mapPartitions(_staying(sent), preservesPartitioning=True), gone))
             state.count()
             before.unpersist()
     last = spark.createDataFrame(state.mapPartitions(_settled(sent)), "row binary, position binary, entry binary, error binary", verifySchema=False)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontaminate, divergence, factorisation, fixity, language_id, line_dedup, lloyd_codes, mixing, periodic_runs, pseudonyms, signature_tree, token_counts
+from quernstone.llm import decontaminate, divergence, factorisation, fixity, language_id, line_dedup, lloyd_codes, mixing, nn_descent, periodic_runs, pseudonyms, signature_tree, token_counts
 from quernstone.llm.columns import WORD
 from quernstone.session import stored
 
@@ -82,6 +82,15 @@ def op10_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.judge(docs, divergence.fit_references(docs))
 
 
+def op11_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    graph = nn_descent.build_graph(vectors)
+    try:
+        return nn_descent.search(graph, vectors.filter(F.col("vec_id") % 50 == 0))
+    finally:
+        graph.drop()
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """The texts of a tenth of all ids, chosen by a hash, with a part that repeats from some word on; the others as they are."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -123,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_fixity, op3_signature_trees, op4_pseudonyms, op5_token_counts, op6_mixing, op7_language_id, op8_line_dedup,
-        op9_quality, op10_divergence, op12_periodic_runs, op13_vector_codes,
+        op9_quality, op10_divergence, op11_nearest, op12_periodic_runs, op13_vector_codes,
     )
 }
 
@@ -171,6 +180,17 @@ FROM m GROUP BY doc_id
 """
 
 
+#: The exact neighbours: at the size that SQL is compared at, the graph search finds them all.
+OP11_SQL = r"""
+WITH ok AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+    FROM ok AS q JOIN ok AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 
 def _op12_sql(levels: int = 14) -> str:
     """Candidate periods are the distances between equal groups of m words, m / 2 < distance <= m; every stretch that keeps a candidate is then measured.
@@ -240,4 +260,4 @@ FROM r JOIN ok USING (vec_id)
 """
 
 
-ORACLES = {"op2_fixity": OP2_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op12_periodic_runs": _op12_sql(), "op13_vector_codes": _op13_sql()}
+ORACLES = {"op2_fixity": OP2_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_nearest": OP11_SQL, "op12_periodic_runs": _op12_sql(), "op13_vector_codes": _op13_sql()}

@@ -1,6 +1,6 @@
 """State that stays where it is between rounds.
 
-A round's state is an RDD of (place, block) whose partitioner is known, so that joining it with messages that were
+A round's state is an RDD of (place, (kind, ...)) whose partitioner is known, so that joining it with messages that were
 dealt by the same places moves the messages alone. Plain DataFrames cannot say this: a table written each round
 is read back without its partitioning, or has to be shuffled or sorted into buckets as a whole.
 """
@@ -13,6 +13,7 @@ from typing import Any
 from pyspark import RDD, StorageLevel
 
 Block = tuple[int, Any]
+Step = Callable[[Iterator[Block]], Iterator[Block]]
 
 
 def place_of(key: int) -> int:
@@ -25,14 +26,25 @@ def dealt(blocks: RDD, places: int) -> RDD:
     return blocks.partitionBy(places, place_of)
 
 
-def beside(state: RDD, messages: RDD, step: Callable[[Iterator[Block]], Iterator[Block]]) -> RDD:
-    """``step`` over the blocks of each place, those of the state first; only the messages are shuffled.
-
-    What ``step`` yields under the place it was called for is the next state; messages for others have to be dealt.
-    """
-    return state.union(dealt(messages, state.getNumPartitions())).mapPartitions(step, preservesPartitioning=True)
+def beside(stays: RDD, messages: RDD) -> RDD:
+    """The blocks of a place and the messages for it in one partition; only the messages are shuffled."""
+    return stays.union(dealt(messages, stays.getNumPartitions()))
 
 
 def kept(state: RDD) -> RDD:
     """Held in memory and on disk; a lost part is computed again from its lineage."""
     return state.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _stays(block: Block) -> bool:
+    return block[1][0] == "own"
+
+
+def _sent(blocks: Iterator[Block]) -> Iterator[Block]:
+    return (block for block in blocks if block[1][0] == "sent")
+
+
+def next_step(done: RDD, step: Step) -> RDD:
+    """``step`` over what the last one left of kind ``own``, which stays, and of kind ``sent``, which is dealt."""
+    # Not a filter: that would keep the partitioner, and what seems to be dealt already is not moved.
+    return kept(beside(done.filter(_stays), done.mapPartitions(_sent)).mapPartitions(step, preservesPartitioning=True))
