@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.ranking import top_k
+from quernstone.session import stored
+
 GRAM = 3
 BROADCAST_ROWS = 50_000
 
@@ -25,39 +28,42 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*runs))
 
 
-def anchor(pattern: Column) -> Column:
-    """The run of a pattern its candidates are looked up by: three characters from its middle."""
-    start = F.greatest(F.floor((F.length(pattern) - F.lit(GRAM)) / 2), F.lit(0)).cast("int") + F.lit(1)
-    return pattern.substr(start, F.lit(GRAM))
+def pieces(pattern: Column) -> Column:
+    """The runs a pattern can be looked up by: its runs of three characters, or itself if it is shorter."""
+    runs = F.regexp_extract_all(pattern, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    return F.when(F.length(pattern) <= GRAM, F.array(pattern)).otherwise(F.array_distinct(runs))
 
 
-def contains_join(
-    texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str],
-    on: tuple[str, ...] = (), limit: int = BROADCAST_ROWS, salt: int = 16,
-) -> DataFrame:
+def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str], on: tuple[str, ...] = (), salt: int = 16) -> DataFrame:
     """All (text row, pattern row) pairs where ``pattern`` occurs in ``text``.
 
-    Candidates share the pattern's anchor run (and the ``on`` columns), so no pair is formed
-    that lacks it; the containment itself is then checked. Up to ``limit`` patterns are
-    broadcast. Beyond that the runs are shuffled without the texts, salted by the text's key
-    because a common run may belong to a third of all texts, and the texts are joined back
-    for the check. Empty patterns match nothing. ``keys`` identify a text row.
+    Texts are cut into runs of up to three characters, of which only those in some pattern are kept, with the keys and
+    without the texts. How many texts hold a run decides which run a pattern is looked up by: its rarest; a pattern with a run that no text holds
+    has no partner. Candidates share that run (and the ``on`` columns), salted by the text's key because even the rarest run of a pattern may
+    belong to a third of all texts. Only then do the texts join for the check itself. Empty patterns match nothing. ``keys``
+    identify a text row.
     """
-    pats = patterns.filter(F.length(pattern) > 0).withColumn("_anchor", anchor(F.col(pattern)))
-    if small_enough(patterns, limit):
-        return (
-            texts.withColumn("_anchor", F.explode(grams(F.col(text))))
-            .join(F.broadcast(pats), ["_anchor", *on])
-            .filter(F.contains(F.col(text), F.col(pattern)))
-            .drop("_anchor")
-        )
-    runs = texts.select(
-        *{*keys, *on}, F.explode(grams(F.col(text))).alias("_anchor"),
-        F.pmod(F.xxhash64(*keys), F.lit(salt)).cast("int").alias("_salt"),
-    )
-    spread = pats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    pairs = runs.join(spread, ["_anchor", "_salt", *on]).drop("_anchor", "_salt", *(c for c in on if c not in keys))
-    return texts.join(pairs, keys).filter(F.contains(F.col(text), F.col(pattern)))
+    pats = patterns.filter(F.length(pattern) > 0)
+    cut = pats.select(F.col(pattern).alias("_p")).distinct().select("_p", F.explode(pieces(F.col("_p"))).alias("_run"))
+    own = list(dict.fromkeys((*keys, *on)))
+    runs = texts.select(*own, F.explode(grams(F.col(text))).alias("_run"))
+    held = stored(runs.join(cut.select("_run").distinct(), "_run", "left_semi"), "runs")
+    often = held.groupBy("_run").agg(F.count("*").alias("_n"))
+    rated = cut.join(often, "_run", "left").groupBy("_p").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_run")).alias("_a")).filter("_a.n > 0")
+    wanted = pats.select(F.col(pattern).alias("_p"), *on).distinct().join(rated, "_p").select("_p", *on, F.col("_a._run").alias("_run"))
+    spread = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    salted = held.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salt)).cast("int"))
+    pairs = salted.join(spread, ["_run", "_salt", *on]).select(*keys, "_p")
+    found = texts.join(pairs, keys).filter(F.contains(F.col(text), F.col("_p")))
+    return found.join(pats.withColumn("_p", F.col(pattern)), ["_p", *on]).drop("_p")
+
+
+def few_per_pattern(
+    texts: DataFrame, patterns: DataFrame, text: str, pattern: str, key: str, limit: int,
+) -> DataFrame:
+    """(pattern, key): of the texts that hold a pattern the ``limit`` smallest keys. Enough to count a union of patterns up to ``limit``."""
+    found = contains_join(texts.select(key, text), patterns.select(pattern).distinct(), text, pattern, [key]).select(pattern, key)
+    return top_k(found, [pattern], [F.col(key)], limit).select(pattern, key)
 
 
 def deletion_keys(word: Column, depth: int) -> Column:

@@ -309,37 +309,9 @@ def lookup_tables(spark, sf):
     return la, c, p, course
 
 
-@query(
-    "p24_local_graph_lookup",
-    f"""WITH {ASKED}, {AMENDS}, r AS (SELECT query_id, {CODE} AS code, {ARTICLE} AS no, {PATTERN} AS pattern FROM asked),
-    cs AS (SELECT ['IT','SE'][p_partkey % 2 + 1] || (p_partkey % 900 + 100) AS code, min(p_partkey) AS k FROM part GROUP BY ALL),
-    pre AS (SELECT a.code, b.code AS dst FROM cs a JOIN cs b ON b.k = a.k // 2 WHERE a.k > 0),
-    p1 AS (SELECT r.query_id, count(*) AS n FROM r JOIN pre USING (code) WHERE pattern = 'prerequisite' GROUP BY ALL),
-    art AS (SELECT regexp_extract(title, 'Điều (\\d+)', 1)::BIGINT AS no, count(*) AS n FROM la GROUP BY ALL),
-    p4 AS (SELECT query_id, art.n FROM r JOIN art USING (no) WHERE pattern = 'article' AND code IS NOT NULL),
-    b AS (SELECT query_id, CASE WHEN pattern = 'prerequisite' AND code IS NOT NULL THEN 'prerequisite' WHEN pattern = 'department' AND code IS NOT NULL THEN 'department' WHEN pattern = 'program' AND code IS NOT NULL THEN 'program'
-      WHEN pattern = 'article' AND code IS NOT NULL THEN 'article' WHEN pattern = 'entity_related' AND code IS NOT NULL THEN 'entity_related' ELSE 'general' END AS branch, code FROM r),
-    fac AS (SELECT ['CNTT','KHMT','HTTT','MMT'][c_nationkey % 4 + 1] AS code, count(*) AS n FROM customer GROUP BY ALL)
-    SELECT b.query_id, branch, CASE branch WHEN 'prerequisite' THEN coalesce(p1.n, 0) WHEN 'department' THEN least(20, coalesce(fac.n, 0)) WHEN 'article' THEN coalesce(p4.n, 0) END AS n_nodes,
-      CASE branch WHEN 'prerequisite' THEN CASE WHEN p1.n > 0 THEN 0.9 ELSE 0.5 END WHEN 'department' THEN CASE WHEN fac.n > 0 THEN 0.85 ELSE 0.4 END WHEN 'article' THEN CASE WHEN p4.n > 0 THEN 0.95 ELSE 0.3 END END::DOUBLE AS confidence
-    FROM b LEFT JOIN p1 USING (query_id) LEFT JOIN p4 USING (query_id) LEFT JOIN fac ON fac.code = b.code WHERE branch IN ('prerequisite', 'department', 'article')""",
-)
-def p24(spark, sf):
-    la, c, p, course = lookup_tables(spark, sf)
-    up = course.select((F.expr("k div 2")).alias("pk"), F.col("code").alias("src")).filter("true").join(course.select(F.col("k").alias("pk"), F.col("code").alias("dst"), F.col("k").alias("dk")), "pk").filter("src <> dst")
-    fac = F.element_at(F.array(*[F.lit(x) for x in ("CNTT", "KHMT", "HTTT", "MMT")]), (F.col("c_nationkey") % 4 + 1).cast("int"))
-    found = P.local_graph_lookup(
-        asked(spark, sf), prerequisites=up.select("src", "dst", F.lit("PREREQUISITE").alias("type")),
-        departments=c.select(F.col("c_custkey").cast("string").alias("src"), fac.alias("dst")), courses=c.select(F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("name")),
-        articles=la, depth=1, branches=("prerequisite", "department", "article"),
-    )
-    return found.select("query_id", "branch", big("n_nodes"), "confidence")
-
-
-# The three routes of P24 above and the other three: every question has its row. The programmes are a customer's faculty and segment, the
-# entities parts named by their course code, mentioned by their order lines.
-@query(
-    "p24_local_graph_lookup_all",
+# All six routes: every question has its row. The programmes are a customer's faculty and segment, the entities parts named by
+# their course code, mentioned by their order lines; the general route's courses are the customers, by name.
+P24 = (
     f"""WITH {ASKED}, {AMENDS}, {COMPOUND}, r AS (SELECT query_id, {CODE} AS code, {ARTICLE} AS no, {PATTERN} AS pattern FROM asked),
     b AS MATERIALIZED (SELECT query_id, code, no, CASE WHEN code IS NOT NULL THEN pattern ELSE 'general' END AS branch FROM r),
     cs AS (SELECT ['IT','SE'][p_partkey % 2 + 1] || (p_partkey % 900 + 100) AS code, min(p_partkey) AS k FROM part GROUP BY ALL),
@@ -352,6 +324,10 @@ def p24(spark, sf):
     fst AS (SELECT code, arg_min(entity_id, {{'n': name, 'e': entity_id}}) AS entity_id FROM codes JOIN ent ON contains(lower(name), lower(code)) WHERE branch = 'entity_related' GROUP BY ALL),
     kw AS (SELECT DISTINCT query_id, lower(k) AS kw FROM compound JOIN b USING (query_id) WHERE branch = 'general' AND k <> ''), ks AS (SELECT DISTINCT kw FROM kw),
     words AS (SELECT query_id, string_agg(kw, chr(10) ORDER BY kw) AS kws FROM kw GROUP BY ALL), sets AS (SELECT DISTINCT kws, unnest(string_split(kws, chr(10))) AS kw FROM words),
+    queries AS (SELECT a.query_id, a.text FROM asked a JOIN b USING (query_id) WHERE branch = 'general'), {S.QUERY_FORMS},
+    chunks AS (SELECT c_custkey::VARCHAR AS code, c_name AS name FROM customer), {S.positions('chunks', 'code', ('name',))},
+    ct AS (SELECT term, code FROM (SELECT DISTINCT term, code FROM forms) QUALIFY row_number() OVER (PARTITION BY term ORDER BY code) <= 10),
+    cn AS (SELECT query_id, least(10, count(DISTINCT code)) AS n FROM q_terms JOIN ct USING (term) GROUP BY ALL),
     ah AS (SELECT kw, id FROM ks JOIN la ON contains(lower(title), kw) OR contains(lower(full_text), kw)),
     eh AS (SELECT kw, entity_id FROM ks JOIN ent ON contains(lower(name), kw) OR contains(lower(description), kw)),
     an AS (SELECT kws, least(5, count(DISTINCT id)) AS n FROM sets JOIN ah USING (kw) GROUP BY ALL),
@@ -361,11 +337,14 @@ def p24(spark, sf):
       UNION ALL SELECT query_id, least(30, m) FROM b JOIN (SELECT c.code, count(*) AS m FROM codes c JOIN fac f ON contains(f.code || '_' || f.c_mktsegment, c.code) WHERE branch = 'program' GROUP BY ALL) USING (code) WHERE branch = 'program'
       UNION ALL SELECT query_id, m FROM b JOIN (SELECT regexp_extract(title, 'Điều (\\d+)', 1)::BIGINT AS no, count(*) AS m FROM la GROUP BY ALL) USING (no) WHERE branch = 'article'
       UNION ALL SELECT query_id, m FROM b JOIN (SELECT code, least(5, count(DISTINCT l_orderkey)) AS m FROM fst JOIN lineitem ON l_partkey = entity_id GROUP BY ALL) USING (code) WHERE branch = 'entity_related'
-      UNION ALL SELECT query_id, coalesce(an.n, 0) + coalesce(en.n, 0) FROM words LEFT JOIN an USING (kws) LEFT JOIN en USING (kws)),
+      UNION ALL SELECT b.query_id, coalesce(an.n, 0) + coalesce(en.n, 0) + coalesce(cn.n, 0) FROM b LEFT JOIN words USING (query_id) LEFT JOIN an USING (kws) LEFT JOIN en USING (kws) LEFT JOIN cn ON cn.query_id = b.query_id WHERE branch = 'general'),
     a AS (SELECT query_id, branch, coalesce(n, 0) AS n_nodes FROM b LEFT JOIN n USING (query_id))
-    SELECT query_id, branch, n_nodes, CASE branch {" ".join(f"WHEN '{k}' THEN CASE WHEN n_nodes > 0 THEN {yes} ELSE {no} END" for k, (yes, no) in P.CONFIDENCE.items())} END::DOUBLE AS confidence FROM a""",
+    SELECT query_id, branch, n_nodes, CASE branch {" ".join(f"WHEN '{k}' THEN CASE WHEN n_nodes > 0 THEN {yes} ELSE {no} END" for k, (yes, no) in P.CONFIDENCE.items())} END::DOUBLE AS confidence FROM a"""
 )
-def p24_all(spark, sf):
+
+
+@query("p24_local_graph_lookup", P24)
+def p24(spark, sf):
     la, c, p, course = lookup_tables(spark, sf)
     up = course.select(F.expr("k div 2").alias("pk"), F.col("code").alias("src")).join(course.select(F.col("k").alias("pk"), F.col("code").alias("dst")), "pk").filter("src <> dst")
     fac = F.element_at(F.array(*[F.lit(x) for x in ("CNTT", "KHMT", "HTTT", "MMT")]), (F.col("c_nationkey") % 4 + 1).cast("int"))

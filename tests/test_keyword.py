@@ -100,16 +100,30 @@ def test_fuzzy_join_equals_brute_force(spark):
     assert got == want
 
 
-def test_contains_join_on_both_paths(spark):
+def test_contains_join(spark):
     rnd = random.Random(9)
     texts = [(i, "".join(rnd.choices("ab c", k=rnd.randint(0, 30)))) for i in range(80)]
     pats = sorted({"".join(rnd.choices("ab c", k=rnd.randint(1, 6))) for _ in range(40)}) + [""]
     t = spark.createDataFrame(texts, "id long, body string")
     p = spark.createDataFrame([(x,) for x in pats], "pat string")
     want = {(i, x) for i, s in texts for x in pats if x and x in s}
-    for limit in (1000, 0):
-        got = [(r.id, r.pat) for r in M.contains_join(t, p, "body", "pat", ["id"], limit=limit).select("id", "pat").collect()]
+    for salt in (1, 16):
+        got = [(r.id, r.pat) for r in M.contains_join(t, p, "body", "pat", ["id"], salt=salt).select("id", "pat").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    few = M.few_per_pattern(t, p, "body", "pat", "id", 3).collect()
+    assert sorted((r.pat, r.id) for r in few) == sorted((x, i) for x in {x for _, x in want} for i in sorted(i for i, y in want if y == x)[:3])
+
+
+def test_contains_join_moves_no_text_with_its_runs(spark):
+    t = spark.createDataFrame([(i, "common words " + "abcdef"[i % 6] * 5) for i in range(60)], "id long, body string")
+    p = spark.createDataFrame([("common fff",), ("s fff",), ("zzz common",)], "pat string")
+    found = M.contains_join(t, p, "body", "pat", ["id"])
+    assert {(r.id, r.pat) for r in found.collect()} == {(i, "s fff") for i in range(5, 60, 6)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate regexp" not in plan  # the runs were stored without the texts; only keys come back
+    groups = spark.createDataFrame([(1, "ab", 1), (2, "ab", 2)], "id long, body string, g int")
+    on = spark.createDataFrame([("ab", 2, "kept")], "pat string, g int, more string")
+    assert [(r.id, r.g, r.more) for r in M.contains_join(groups, on, "body", "pat", ["id"], on=("g",)).collect()] == [(2, 2, "kept")]
 
 
 def test_highlight_keeps_best_fragments_in_order(spark):

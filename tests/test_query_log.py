@@ -84,11 +84,11 @@ def test_extract_answer_and_reasoning(spark):
 
 
 def test_every_question_is_looked_up(spark, sf):
-    got = entry.queries()["p24_local_graph_lookup_all"](spark, sf).toPandas()
+    got = entry.queries()["p24_local_graph_lookup"](spark, sf).toPandas()
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = con.sql(entry.oracle_sql()["p24_local_graph_lookup_all"]).df()
+    want = con.sql(entry.oracle_sql()["p24_local_graph_lookup"]).df()
     assert rows(got) == rows(want)
     assert sorted(got["query_id"]) == sorted(r.query_id for r in asked(spark, sf).select("query_id").collect())
 
