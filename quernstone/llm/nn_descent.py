@@ -405,7 +405,8 @@ def build_graph(vectors: DataFrame, degree: int = 32, max_rounds: int = 12, leas
             break
     known = next_step(state, _introduced(places))
     made = spark.createDataFrame(next_step(known, _linked), schema, verifySchema=False)
-    made.write.bucketBy(places, "node").sortBy("node").format("parquet").saveAsTable(links)
+    # Each task writes one bucket; otherwise every task would leave a file in nearly each of them.
+    made.repartition(places, "node").write.bucketBy(places, "node").sortBy("node").format("parquet").saveAsTable(links)
     state.unpersist()
     known.unpersist()
     starts = [r.node for r in nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(entries).collect()]
@@ -521,7 +522,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (F.sqrt(_square(a)) * F.sqrt(_square(b)))
 
 
-def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 256, at_once: int = 32, compared: int = 64) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 256, at_once: int = 128, compared: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found to every usable row of ``queries(vec_id, embedding)``.
 
     Nearest first, ties to the smaller id; a query's own id is no candidate. ``k`` may not exceed what the graph was built for. A beam holds ``beam``
