@@ -9,12 +9,14 @@ similarity of at least ``threshold`` percent and gives each document the smalles
    ones is done. Only compact hashes travel, and a false match can only keep a class too long.
 3. For the others, shingle frequencies give a global order, rarest first. Any linked pair shares one of
    the first ``n - T + 1`` shingles, so classes meet in groups that hold one such shingle. Groups
-   of the same classes count once.
-4. Every class is compared with one hub of its groups. Classes linked to the same hub are known to be connected,
-   and a group that holds nothing else is done, however large it is: copies are never expanded into pairs.
+   of the same classes count once, under their first shingle.
+4. In rounds, every class is compared with one hub of its groups, a hub that it is not known to be connected with. The components of the links
+   so far label the classes, and a group of one label is done, however large it is: copies are never expanded into pairs. The
+   rounds end when one links nothing.
 5. In every other group a signature tree is built: nodes hold the OR of their classes' token bitmaps,
-   the range of sizes and the common label, if any. A traversal of node pairs leaves out those that are connected already,
-   whose sizes do not fit, or whose largest possible overlap is too small. Groups beyond ``block`` classes are cut into
+   the range of sizes, the most shingles that any of them has from the group's own on, and the common label, if any. A traversal of node pairs leaves out
+   those that are connected already, whose sizes do not fit, or whose largest possible overlap is too small. A pair counts only in the group of the first shingle
+   it shares, where nothing before that shingle can add to its overlap. Groups beyond ``block`` classes are cut into
    blocks, and each pair of blocks is a task of its own.
 6. Surviving pairs are compared exactly, and the components of all links are found.
 """
@@ -23,11 +25,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm import packed
@@ -40,6 +43,10 @@ BITS = 1024
 LEAF = 16
 FANOUT = 8
 BLOCK = 2048
+#: How many of a class's first shingles are looked at to leave a pair to an earlier group.
+EARLY = 64
+#: Pairs of one hub that are compared in one task.
+SPREAD = 1000
 #: A rank within the shingle order: how often, then which.
 SHARED = np.dtype([("token", "<u8"), ("df", "<u4")])
 
@@ -64,9 +71,10 @@ def set_signature(tokens: np.ndarray) -> tuple[int, int]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(s), *set_signature(s)) for _, s in shingle_sets(batch.column(1))]
+        rows = [(len(s), *set_signature(s)) for _, s in shingle_sets(batch.column(2))]
         n, a, b = (list(x) for x in zip(*rows)) if rows else ([], [], [])
-        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "n", "node", "check"])
+        made = pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())
+        yield pa.record_batch([batch.column(0), batch.column(1), *made], ["doc_id", "h", "n", "node", "check"])
 
 
 def _first_tokens(parts: int, threshold: int):
@@ -213,10 +221,10 @@ def _rarest(threshold: int):
         place = np.arange(len(key)) - np.repeat(cuts, shared)
         weight = np.repeat(np.add.reduceat(df, cuts), shared)
         kept = place <= np.repeat(shared, shared) - needed(size, threshold)
-        key, token, size, weight = key[kept], token[kept], size[kept], weight[kept]
-        for a in range(0, len(key), 200_000):
-            b = a + 200_000
-            yield pa.record_batch([pa.array(token[a:b].view(np.int64)), pa.array(key[a:b]), pa.array(size[a:b]), pa.array(weight[a:b])], ["token", "node", "n", "weight"])
+        rest = np.repeat(shared, shared) - place
+        columns = [x[kept] for x in (token.view(np.int64), key, size, weight, df, rest)]
+        for a in range(0, len(columns[0]), 200_000):
+            yield pa.record_batch([pa.array(x[a : a + 200_000]) for x in columns], ["token", "node", "n", "weight", "df", "rest"])
 
     return run
 
@@ -224,19 +232,20 @@ def _rarest(threshold: int):
 class Tree:
     """A signature tree over the classes of one group; each level is a set of aligned arrays."""
 
-    def __init__(self, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray):
+    def __init__(self, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray, rest: np.ndarray | None = None):
         order = np.lexsort((sizes, labels))
         self.order = order
-        sizes, labels, bits = sizes[order], labels[order], bits[order]
+        rest = sizes if rest is None else rest
+        sizes, labels, bits, rest = sizes[order], labels[order], bits[order], rest[order]
         extra = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.levels = [(sizes, sizes, extra, labels, np.ones(len(sizes), bool), bits)]
+        self.levels = [(sizes, sizes, extra, rest, labels, np.ones(len(sizes), bool), bits)]
         width = LEAF
         while len(self.levels[-1][0]) > 1:
-            low, high, extra, labels, alike, bits = self.levels[-1]
+            low, high, extra, rest, labels, alike, bits = self.levels[-1]
             at = np.arange(0, len(low), width)
             one = np.minimum.reduceat(labels, at)
             self.levels.append((
-                np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at), one,
+                np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at), np.maximum.reduceat(rest, at), one,
                 np.logical_and.reduceat(alike, at) & (one == np.maximum.reduceat(labels, at)), np.bitwise_or.reduceat(bits, at, axis=0),
             ))
             width = FANOUT
@@ -249,11 +258,12 @@ class Tree:
 
 def _possible(a, b, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
     """Which node pairs may hold a linked pair that is not known to be connected."""
-    low, high, extra, labels, alike, bits = a
-    low2, high2, extra2, labels2, alike2, bits2 = b
+    low, high, extra, rest, labels, alike, bits = a
+    low2, high2, extra2, rest2, labels2, alike2, bits2 = b
     known = alike[i] & alike2[j] & (labels[i] == labels2[j])
     fits = (100 * high[i] >= threshold * low2[j]) & (100 * high2[j] >= threshold * low[i])
     overlap = np.bitwise_count(bits[i] & bits2[j]).sum(axis=1, dtype=np.int64) + np.minimum(extra[i], extra2[j])
+    overlap = np.minimum(overlap, np.minimum(rest[i], rest2[j]))
     return ~known & fits & ((100 + threshold) * overlap >= threshold * (low[i] + low2[j]))
 
 
@@ -282,21 +292,35 @@ def dual_traversal(a: Tree, b: Tree, threshold: int) -> Iterator[tuple[np.ndarra
             stack.append((max(la - 1, 0), max(lb - 1, 0), x, y))
 
 
+def first_masks(early: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words for each class, with a bit for each shingle that it has before the group's own."""
+    sizes = np.array([len(e) for e in early])
+    kinds, place = np.unique(np.concatenate(early) if len(early) else np.zeros(0, np.int64), return_inverse=True)
+    bits = np.zeros((len(early), max(1, -(-len(kinds) // 64)) * 64), np.uint8)
+    bits[np.repeat(np.arange(len(early)), sizes), place] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def _group_pairs(threshold: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group.side == 0], group[group.side == 1]
+        side, node = group.side.to_numpy(), group.node.to_numpy()
+        masks = first_masks([np.asarray(e, np.int64) for e in group.early])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
 
-        def tree(rows: pd.DataFrame) -> Tree:
-            bits = np.frombuffer(b"".join(rows.bits), np.uint64).reshape(len(rows), BITS // 64)
-            return Tree(rows.n.to_numpy(), rows.label.to_numpy(), bits)
+        def tree(rows: np.ndarray) -> Tree:
+            own = group.iloc[rows]
+            bits = np.frombuffer(b"".join(own.bits), np.uint64).reshape(len(rows), BITS // 64)
+            return Tree(own.n.to_numpy(), own.label.to_numpy(), bits, own.rest.to_numpy())
 
         out_a, out_b = [], []
         if len(left):
             a = tree(left)
             b, other = (tree(right), right) if len(right) else (a, left)
             for i, j in dual_traversal(a, b, threshold):
-                out_a.append(left.node.to_numpy()[i])
-                out_b.append(other.node.to_numpy()[j])
+                i, j = left[i], other[j]
+                first = ~(masks[i] & masks[j]).any(axis=1)
+                out_a.append(node[i[first]])
+                out_b.append(node[j[first]])
         x = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
         y = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
@@ -305,12 +329,16 @@ def _group_pairs(threshold: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared exactly; only the pairs are moved."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_s"))
+    """The pairs (a, b) whose sets are similar enough, compared exactly. A class ``a`` of many pairs is sent to several tasks."""
+    pairs = stored(pairs, "pairs")
+    often = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("_k"))
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_s")).join(often, "a")
+    left = left.select("a", "_s", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_t"))
+    dealt = pairs.join(often, "a").withColumn("_i", F.pmod(F.xxhash64("b"), F.col("_k")).cast("int")).drop("_k")
     both = F.size(F.array_intersect("_s", "_t"))
     return (
-        pairs.join(left, "a").join(right, "b")
+        dealt.join(right, "b").join(left, ["a", "_i"])
         .filter((100 + threshold) * both >= threshold * (F.size("_s") + F.size("_t")))
         .select("a", "b")
     )
@@ -329,31 +357,48 @@ def candidate_classes(docs: DataFrame, signed: DataFrame, threshold: int) -> Dat
     return classes.join(counts, "node").filter(F.col("shared") >= F.greatest(F.lit(1), F.ceil(least / 8))).select("node", "n", "rep")
 
 
+def _with_labels(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of groups that hold more than one component of ``links``, with the component as label."""
+    labels = components(links).withColumnRenamed("root", "label")
+    told = stored(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
+    return stored(told.join(mixed, "token"), "mixed")
+
+
 def _links(sets: DataFrame, parts: int, threshold: int, block: int) -> DataFrame:
     """(a, b): links between classes whose components are those of all links."""
     rows = stored(
         sets.select("node", "tokens").mapInArrow(_all_tokens(parts), packed.SCHEMA)
         .repartition(parts, "part").mapInArrow(_frequencies(parts), packed.SCHEMA)
-        .repartition(parts, "part").mapInArrow(_rarest(threshold), "token long, node long, n long, weight long"),
+        .repartition(parts, "part").mapInArrow(_rarest(threshold), "token long, node long, n long, weight long, df long, rest long"),
         "groups",
     )
     groups = (
         rows.groupBy("token")
         .agg(
-            F.count("*").alias("c"), F.max(F.struct("weight", "node")).alias("hub"),
+            F.count("*").alias("c"), F.first("df").alias("df"), F.max(F.struct("weight", "node")).alias("hub"),
             F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("s2"),
         )
-        .filter("c > 1").groupBy("c", "s1", "s2", "hub").agg(F.min("token").alias("token"))
-        .select("token", "hub", "c")
+        .filter("c > 1").groupBy("c", "s1", "s2", "hub").agg(F.min(F.struct("df", "token")).alias("g"))
+        .select(F.col("g.token").alias("token"), "hub", "c")
     )
     members = stored(rows.join(groups, "token"), "members")
     first = members.groupBy("node").agg(F.max("hub")["node"].alias("hub")).filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    seeds = stored(_linked(first, sets, threshold), "seeds")
-    labels = seeds.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    told = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-    count = F.ceil(F.col("c") / block).cast("int")
-    left = told.join(mixed, "token").join(sets.select("node", "bits"), "node").withColumn("_n", count)
+    links = stored(_linked(first, sets, threshold), "seeds")
+    told = _with_labels(members, links)
+    for turn in count(1):
+        # Another hub for each group that is left, and the classes that are not known to be connected with it.
+        hubs = told.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")).alias("_hub"))
+        asked = told.join(hubs, "token").filter(F.col("label") != F.col("_hub.label"))
+        pairs = asked.groupBy("node").agg(F.min("_hub")["node"].alias("a")).select("a", F.col("node").alias("b"))
+        new = stored(_linked(pairs, sets, threshold), "round")
+        if new.isEmpty():
+            break
+        links = stored(links.union(new), "links")
+        told = _with_labels(told.drop("label"), links)
+    early = told.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, EARLY).alias("early"))
+    before = F.transform(F.filter("early", lambda e: (e["df"] < F.col("df")) | ((e["df"] == F.col("df")) & (e["token"] < F.col("token")))), lambda e: e["token"])
+    left = told.join(early, "node").withColumn("early", before).join(sets.select("node", "bits"), "node").withColumn("_n", F.ceil(F.col("c") / block).cast("int"))
     left = left.withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
     # Block i meets itself and every later block: as the left side of (i, j), and the right side of (j, i).
     spread = F.transform(
@@ -364,25 +409,17 @@ def _links(sets: DataFrame, parts: int, threshold: int, block: int) -> DataFrame
     )
     pairs = (
         left.withColumn("_to", F.explode(spread))
-        .select("token", "_to.x", "_to.y", "_to.side", "node", "n", "label", "bits")
+        .select("token", "_to.x", "_to.y", "_to.side", "node", "n", "label", "bits", "rest", "early")
         .groupBy("token", "x", "y").applyInPandas(_group_pairs(threshold), "a long, b long")
         .distinct()
     )
-    found = stored(_linked(pairs, sets, threshold), "links")
-    return seeds.union(found)
+    return links.union(_linked(pairs, sets, threshold))
 
 
-def link_documents(docs: DataFrame, threshold: int = 75, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
-
-    Two documents link when ``100 * intersection >= threshold * union`` of their five-word shingle sets
-    (A-Z lower-cased; a shorter text is one shingle). A text that is null, empty or without words has the size 0, links
-    with nothing and is its own component. Rows without an id take part, but never name a component that holds an id; a
-    component of such rows alone is null. Rows that repeat an id are taken one by one, each by its own text.
-    Columns other than the two are ignored; an empty table gives no rows. ``threshold`` is a percentage of 1 or more.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(docs.mapInArrow(_signatures, "doc_id long, n long, node long, check long"), "signed")
+def _labelled(docs: DataFrame, threshold: int, block: int) -> DataFrame:
+    """(doc_id, h, n, node, root) of every row of ``docs(doc_id, text)``; ``h`` is a hash of the text, ``root`` one for each component."""
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    signed = stored(hashed.mapInArrow(_signatures, "doc_id long, h long, n long, node long, check long"), "signed")
     chosen = stored(candidate_classes(docs, signed, threshold), "classes")
     # The candidates' sets are kept by class in a bucketed table, so that no later join moves them.
     parts, name = hash_parts(docs), f"shingle_sets_{uuid.uuid4().hex}"
@@ -394,9 +431,44 @@ def link_documents(docs: DataFrame, threshold: int = 75, block: int = BLOCK) ->
         reached = components(_links(docs.sparkSession.table(name), parts, threshold, block))
     finally:
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    named = signed.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return signed.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def link_documents(docs: DataFrame, threshold: int = 75, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
+
+    Two documents link when ``100 * intersection >= threshold * union`` of their five-word shingle sets
+    (A-Z lower-cased; a shorter text is one shingle). A text that is null, empty or without words has the size 0, links
+    with nothing and is its own component. Rows without an id take part, but never name a component that holds an id; a
+    component of such rows alone is null. Rows that repeat an id are taken one by one, each by its own text.
+    Columns other than the two are ignored; an empty table gives no rows. ``threshold`` is a percentage of 1 or more.
+    """
+    named = _labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), threshold, block)
     names = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(names, "root", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def first_of_each(docs: DataFrame, threshold: int = 75, block: int = BLOCK) -> DataFrame:
+    """Of each component of ``docs(doc_id, text, ...)`` one row: that with the smallest id, then with the smallest hash of its text.
+
+    Rows without an id come after all others of their component; of rows that agree in id and text one stays. A text that is
+    null, empty or without words links with nothing, so its row stays, however often it is repeated. All columns stay as they are; an empty table gives no rows.
+    """
+    row, key = "_row", ["_id", "_h"]
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    named = _labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), threshold, block).filter("n > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h"))
+    keys = named.groupBy("root", place.alias("k")).agg(F.count("*").alias("c"))
+    many = keys.groupBy("root").agg(F.min("k").alias("first"), F.sum("c").alias("rows")).filter("rows > 1")
+    fate = keys.join(many, "root").select(F.col("k.id").alias("_i"), F.col("k.h").alias("_g"), (F.col("k") == F.col("first")).alias("first"), "c")
+    # An id and a text lie in one component only, so each key has one fate. Repeated first rows leave with the others, and one of each comes back.
+    fate = stored(fate.filter("not first or c > 1"), "fates")
+    same = lambda f: own["_id"].eqNullSafe(f["_i"]) & (own["_h"] == f["_g"])
+    stays = own.join(fate, same(fate), "left_anti")
+    again = fate.filter("first")
+    order = Window.partitionBy(*key).orderBy(F.to_json(row))
+    back = own.join(again, same(again), "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return stays.select(f"{row}.*").unionByName(back.select(f"{row}.*"))

@@ -76,6 +76,72 @@ def test_many_near_copies_of_one_text(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def cluster(n, seed):
+    """Near copies of one text, some too far from all others to link, and texts that only share a passage with them."""
+    rng = random.Random(seed)
+    base = [f"x{k}" for k in range(120)]
+    texts = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 12, 20])):
+            copy[rng.randrange(120)] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(copy if i % 5 else base[:40] + copy[40:80] + [f"z{rng.randrange(10**6)}" for _ in range(10)]))
+    return list(enumerate(texts))
+
+
+def test_pairs_compared_follow_the_size_of_a_cluster(spark, monkeypatch):
+    made = []
+    real = S._linked
+
+    def counted(pairs, sets, threshold):
+        made.append(pairs.count())
+        return real(pairs, sets, threshold)
+
+    monkeypatch.setattr(S, "_linked", counted)
+    counts = []
+    for n in (150, 600):
+        made.clear()
+        rows = cluster(n, 3)
+        got = S.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=128).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+        counts.append(sum(made))
+    assert counts[1] < 8 * counts[0]
+
+
+def test_a_pair_counts_in_one_group_only():
+    masks = S.first_masks([np.array([5, 9], np.int64), np.array([9], np.int64), np.array([], np.int64), np.array([7], np.int64)])
+    assert [bool((masks[0] & masks[k]).any()) for k in (1, 2, 3)] == [True, False, False]
+    assert S.first_masks([np.array([], np.int64)] * 2).any() == False  # noqa: E712
+
+
+def first_rows(rows, threshold=75):
+    """Row by row: of each component the row with the smallest id, nulls last; one row if several are equal."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(find(k), []).append(rows[k])
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = corpus(6)
+    text = "p q r s t u v"
+    rows += [(None, text), (None, text), (1000, text), (1000, text), (1001, text.upper()), (None, "alone with no id at all"), (None, "alone with no id at all"), (3, rows[3][1]), (3, "")]
+    rows += [(2000, "same id other text one two"), (2000, "quite another text of the same id"), (2001, None), (2001, None), (2001, " ")]
+    frame = spark.createDataFrame([(i, t, k % 2, "r") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _h int, root string")
+    got = S.first_of_each(frame)
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id, (r.text or "").lower().split()) for r in got.collect()), key=repr) == sorted(((i, (t or "").lower().split()) for i, t in first_rows(rows)), key=repr)
+    assert S.first_of_each(frame.limit(0)).collect() == []
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.link_documents(empty).collect() == []
