@@ -15,29 +15,50 @@ from quernstone.session import stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier does not reject."""
+    """The documents that the classifier does not reject.
+
+    A null text counts as empty; empty texts are judged by their statistics, and rows that repeat a text have the same fate. Labels are found by
+    ``doc_id``: rows without an id are judged, but teach nothing. An empty table stays empty.
+    """
     return factorisation.accepted(docs, quality_model(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier one holds; ``n_chars`` follows the text."""
+    """All documents, without the lines that an earlier one holds; ``n_chars``, where there is one, follows the text.
+
+    A null or empty text comes back empty. Rows without an id count as one document after all others, rows that repeat an id as one
+    document, each with its own text. An empty table stays empty.
+    """
     done = line_dedup.dedup_lines(docs)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast("long"))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows that share an id stay or go together."""
-    linked = signature_tree.link_documents(docs)
-    return docs.join(linked.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one row: the smallest id, then the smallest hash of its text.
+
+    Rows without an id come last in their group, and of rows that repeat id and text one stays, so every group keeps exactly one row. Texts without
+    words link with nothing: all of their rows stay. An empty table stays empty.
+    """
+    return signature_tree.first_of_each(docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no benchmark item occurs."""
+    """The documents in which no benchmark item occurs.
+
+    Null and empty texts hold none; rows without an id and repeated rows are searched each. An empty table stays empty, and an empty
+    benchmark takes out nothing.
+    """
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, numbered from 1 in ``copy``, which replaces an input column of that name.
+
+    Null sources are one source, a null text has no words, rows without an id or with a repeated one are documents of their
+    own. An empty table stays empty.
+    """
     return mixing.mixed_rows(docs)
 
 

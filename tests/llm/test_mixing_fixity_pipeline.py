@@ -149,3 +149,36 @@ def test_pipeline_equals_its_parts(spark):
     frame = spark.createDataFrame([(i, t, source[i]) for i, t in clean.items()], "doc_id long, text string, source string")
     plan = {r.doc_id: r.copies for r in mixing.sample_plan(frame).collect()}
     assert {r.doc_id: (r.text, r.n, r.rows) for r in found} == {i: (t, plan[i], plan[i]) for i, t in clean.items() if plan[i]}
+
+
+@pytest.mark.skipif(not os.path.exists(os.path.join(os.path.dirname(__file__), "../../corpus_pipeline.py")), reason="the pipeline is not part of this checkout")
+def test_every_stage_on_odd_tables(spark):
+    """Nulls, repeated rows and clashing names: each stage keeps what its docstring says."""
+    import corpus_pipeline as P
+
+    line = "this line is held by two documents of the table"
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [
+        (1, text, "en", "a", 3), (1, text, "en", "a", 3), (None, text, "en", "a", 3), (None, text, None, None, None), (2, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0),
+        (3, f"{line}\nown words of the third", "en", None, 9), (4, f"{line}\nother words of the fourth", "en", None, 9), (None, "no id here but words", "de", "b", 1),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy int, label string, root long"
+    docs = spark.createDataFrame([(*r, 7, "x", 9) for r in rows], schema)
+    stages = dict(P.STAGES)
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).collect() == []
+        if name != "mixing":
+            assert got.filter("copy != 7 or label != 'x' or root != 9").count() == 0
+    ids = lambda name: sorted((r.doc_id or 0, (r.text or "")[:9]) for r in stages[name](spark, docs, SF).collect())
+    everything = sorted((r[0] or 0, (r[1] or "")[:9]) for r in rows)
+    assert ids("decontamination") == everything
+    lined = {(r.doc_id, r.n_chars): r.text for r in stages["line_dedup"](spark, docs, SF).collect() if r.doc_id in (3, 4)}
+    assert lined == {(3, len(rows[7][1])): rows[7][1], (4, 25): "other words of the fourth"}
+    gone = [(1, text[:9]), (0, text[:9]), (0, text[:9])]
+    for x in gone:
+        everything.remove(x)
+    assert ids("near_duplicates") == everything
+    narrow = docs.drop("n_chars", "copy")
+    assert stages["line_dedup"](spark, narrow, SF).columns == narrow.columns
