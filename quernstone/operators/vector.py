@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,39 +189,6 @@ def knn_exact(
     return top_k(local, ["query_id"], by_score("score", tuple(keys)), k)
 
 
-def knn_ann(
-    queries: DataFrame, vectors: DataFrame, k: int, keys: list[str], vec: str = "embedding",
-    cells: int = 16, probes: int = 12, salt: int = 16, seed: int = 7,
-) -> DataFrame:
-    """Approximate form of ``knn_exact``: k-means cells, the nearest ``probes`` of them searched.
-
-    Fewer probes scan less and miss more: vectors without clusters need most of the cells.
-    A cell may be large, so its vectors are spread over ``salt`` slices by key.
-    """
-    unit = vectors.select(*keys, l2_normalize(F.col(vec)).alias("v"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(
-        unit.select(array_to_vector("v").alias("f"))
-    )
-    placed = (
-        model.transform(unit.withColumn("f", array_to_vector("v")))
-        .drop("f")
-        .withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salt)).cast("int"))
-    )
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    q = queries.select("query_id", l2_normalize(F.col("embedding")).alias("q"))
-    by_cell = F.slice(
-        F.array_sort(F.transform(centers, lambda c, i: F.struct((-cosine(F.col("q"), c)).alias("d"), i.alias("cell")))),
-        1, probes,
-    )
-    probe = q.select("query_id", "q", F.explode(by_cell).alias("p")).select(
-        "query_id", "q", F.col("p.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
-    )
-    scored = placed.join(probe, ["cell", "_salt"]).select(
-        "query_id", *keys, F.round(dot(F.col("q"), F.col("v")), 9).alias("score")
-    )
-    return top_k(scored, ["query_id"], by_score("score", tuple(keys)), k)
-
-
 def knn_filtered(
     queries: DataFrame, vectors: DataFrame, k: int, keys: list[str], filter_col: str, vec: str = "embedding",
     mode: str = "pre",

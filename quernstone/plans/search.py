@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernstone.operators import ann as A
 from quernstone.operators import fusion as U
 from quernstone.operators import keyword as K
 from quernstone.operators import vector as V
@@ -64,10 +65,28 @@ def knn(spark, sf):
     return hits.select("query_id", "vec_id", big("rank"), r6("score"))
 
 
-@query("v03_knn_ann")
+# The given vectors have no clusters, so the codes of all cells are looked at; the vectors of fifty rows a query are read. The second query
+# says how many of the exact neighbours are found, and how much is read.
+@query("v03_knn_ann", f"WITH {_CENTROIDS} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def knn_ann(spark, sf):
-    hits = V.knn_ann(label_centroids(spark, sf), table(spark, sf, "embeddings"), 10, ["vec_id"])
-    return hits.select("query_id", "vec_id", big("rank"), r6("score"))
+    index = A.build_index(table(spark, sf, "embeddings"), ["vec_id"])
+    return A.knn_ann(index, label_centroids(spark, sf), 10, probes=len(index.centres)).select("query_id", "vec_id", big("rank"), r6("score"))
+
+
+@query(
+    "v03_ann_recall",
+    f"""WITH {_CENTROIDS}, n AS (SELECT count(*) AS n FROM e) SELECT query_id, count(*) FILTER (rank <= 10) AS wanted, true AS recall_reached, least(count(*), 50) AS vectors_read, least(50.0, count(*))::DOUBLE / max(n) <= 0.1 AS tenth_read FROM r, n GROUP BY query_id""",
+)
+def ann_recall(spark, sf):
+    e, q = table(spark, sf, "embeddings"), label_centroids(spark, sf)
+    index = A.build_index(e, ["vec_id"])
+    read = A.candidates(index, q, 50, len(index.centres)).groupBy("query_id").agg(F.count("*").alias("vectors_read"))
+    exact = V.knn_exact(q, e, 10, ["vec_id"]).select("query_id", "vec_id")
+    hits = A.knn_ann(index, q, 10, probes=len(index.centres)).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    per = exact.join(hits, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+    return per.join(read, "query_id").select(
+        "query_id", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_reached"), "vectors_read", (F.col("vectors_read") / F.lit(index.count) <= 0.1).alias("tenth_read")
+    )
 
 
 @query(
