@@ -10,9 +10,9 @@ similarity of at least ``threshold`` percent and gives each document the smalles
 3. For the others, shingle frequencies give a global order, rarest first. Any linked pair shares one of
    the first ``n - T + 1`` shingles, so classes meet in groups that hold one such shingle. Groups
    of the same classes count once, under their first shingle.
-4. In rounds, every class is compared with one hub of its groups, a hub that it is not known to be connected with. The components of the links
-   so far label the classes, and a group of one label is done, however large it is: copies are never expanded into pairs. The
-   rounds end when one links nothing.
+4. In rounds, every class is compared with one hub of its groups, a hub that it is not known to be connected with. What is linked
+   so far shares a label, and a group of one label is done, however large it is: copies are never expanded into pairs. The
+   rounds end when one links few of its pairs.
 5. In every other group a signature tree is built: nodes hold the OR of their classes' token bitmaps,
    the range of sizes, the most shingles that any of them has from the group's own on, and the common label, if any. A traversal of node pairs leaves out
    those that are connected already, whose sizes do not fit, or whose largest possible overlap is too small. A pair counts only in the group of the first shingle
@@ -45,6 +45,8 @@ FANOUT = 8
 BLOCK = 2048
 #: How many of a class's first shingles are looked at to leave a pair to an earlier group.
 EARLY = 64
+#: A round that links fewer than one in so many of its pairs is the last.
+LEAST_YIELD = 50
 #: Pairs of one hub that are compared in one task.
 SPREAD = 1000
 #: A rank within the shingle order: how often, then which.
@@ -329,8 +331,7 @@ def _group_pairs(threshold: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared exactly. A class ``a`` of many pairs is sent to several tasks."""
-    pairs = stored(pairs, "pairs")
+    """The rows of ``pairs(a, b, ...)`` whose sets are similar enough, compared exactly. A class ``a`` of many pairs is sent to several tasks."""
     often = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("_k"))
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_s")).join(often, "a")
     left = left.select("a", "_s", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
@@ -340,7 +341,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return (
         dealt.join(right, "b").join(left, ["a", "_i"])
         .filter((100 + threshold) * both >= threshold * (F.size("_s") + F.size("_t")))
-        .select("a", "b")
+        .select(*pairs.columns)
     )
 
 
@@ -357,12 +358,21 @@ def candidate_classes(docs: DataFrame, signed: DataFrame, threshold: int) -> Dat
     return classes.join(counts, "node").filter(F.col("shared") >= F.greatest(F.lit(1), F.ceil(least / 8))).select("node", "n", "rep")
 
 
-def _with_labels(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of groups that hold more than one component of ``links``, with the component as label."""
-    labels = components(links).withColumnRenamed("root", "label")
-    told = stored(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    mixed = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-    return stored(told.join(mixed, "token"), "mixed")
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, label): the last of each node's ancestors. ``parents(node, up)`` has each node once and leads in no circle."""
+    now = stored(parents, "parents")
+    while True:
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        after = stored(now.select("node", "up").join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "parents")
+        if after.filter("moved").isEmpty():
+            return after.select("node", F.col("up").alias("label"))
+        now = after
+
+
+def _mixed(told: DataFrame) -> DataFrame:
+    """The members of the groups that hold more than one label."""
+    groups = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
+    return stored(told.join(groups, "token"), "mixed")
 
 
 def _links(sets: DataFrame, parts: int, threshold: int, block: int) -> DataFrame:
@@ -383,19 +393,24 @@ def _links(sets: DataFrame, parts: int, threshold: int, block: int) -> DataFrame
         .select(F.col("g.token").alias("token"), "hub", "c")
     )
     members = stored(rows.join(groups, "token"), "members")
-    first = members.groupBy("node").agg(F.max("hub")["node"].alias("hub")).filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = stored(members.groupBy("node").agg(F.max("hub")["node"].alias("hub")).filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")), "first")
     links = stored(_linked(first, sets, threshold), "seeds")
-    told = _with_labels(members, links)
+    # A hub is heavier than what links to it, so these links are a forest.
+    labels = _roots(links.select(F.col("b").alias("node"), F.col("a").alias("up")))
+    told = _mixed(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     for turn in count(1):
         # Another hub for each group that is left, and the classes that are not known to be connected with it.
         hubs = told.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")).alias("_hub"))
         asked = told.join(hubs, "token").filter(F.col("label") != F.col("_hub.label"))
-        pairs = asked.groupBy("node").agg(F.min("_hub")["node"].alias("a")).select("a", F.col("node").alias("b"))
-        new = stored(_linked(pairs, sets, threshold), "round")
-        if new.isEmpty():
+        pairs = asked.groupBy("node", "label").agg(F.min("_hub").alias("_hub")).select(F.col("_hub.node").alias("a"), F.col("node").alias("b"), F.col("_hub.label").alias("x"), F.col("label").alias("y"))
+        pairs = stored(pairs, "round")
+        new = stored(_linked(pairs, sets, threshold), "found")
+        if new.count() * LEAST_YIELD <= pairs.count():
+            links = links.union(new.select("a", "b"))
             break
-        links = stored(links.union(new), "links")
-        told = _with_labels(told.drop("label"), links)
+        links = links.union(new.select("a", "b"))
+        merged = _roots(new.groupBy(F.greatest("x", "y").alias("node")).agg(F.min(F.least("x", "y")).alias("up"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        told = _mixed(told.join(merged, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
     early = told.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, EARLY).alias("early"))
     before = F.transform(F.filter("early", lambda e: (e["df"] < F.col("df")) | ((e["df"] == F.col("df")) & (e["token"] < F.col("token")))), lambda e: e["token"])
     left = told.join(early, "node").withColumn("early", before).join(sets.select("node", "bits"), "node").withColumn("_n", F.ceil(F.col("c") / block).cast("int"))
@@ -413,7 +428,7 @@ def _links(sets: DataFrame, parts: int, threshold: int, block: int) -> DataFrame
         .groupBy("token", "x", "y").applyInPandas(_group_pairs(threshold), "a long, b long")
         .distinct()
     )
-    return links.union(_linked(pairs, sets, threshold))
+    return links.union(_linked(stored(pairs, "pairs"), sets, threshold))
 
 
 def _labelled(docs: DataFrame, threshold: int, block: int) -> DataFrame:
