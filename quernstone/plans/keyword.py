@@ -147,7 +147,7 @@ def phrase(spark, sf):
 )
 def facets(spark, sf):
     rows = chunks(spark, sf)
-    matches = K.match_scores(K.query_terms(queries_table(spark, sf)), K.build_index(rows)).select("query_id", *K.KEYS)
+    matches = K.matched_rows(K.query_terms(queries_table(spark, sf)), K.build_index(rows))
     # Only the facet columns travel, not the texts.
     cols = rows.select(*K.KEYS, "doc_type", "faculty", "year")
     return K.facets(matches.join(cols, list(K.KEYS))).withColumn("rank", F.col("rank").cast("bigint"))
