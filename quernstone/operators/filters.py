@@ -42,6 +42,34 @@ def filter_per_query(pairs: DataFrame, fields: dict[str, str]) -> DataFrame:
     return pairs.filter(reduce(Column.__and__, tests))
 
 
+def row_kind(fields: tuple[str, ...] = KNOWN_FIELDS) -> Column:
+    """One number for the values that a row has in the filter fields."""
+    return F.xxhash64(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+
+
+def allowed_kinds(requests: DataFrame, rows: DataFrame, lists: dict[str, str], metadata: str | None = None) -> DataFrame:
+    """(query_id, kind): the kinds of rows that each request with any filter lets through.
+
+    ``lists`` maps fields of the rows to the requests' list columns; a null or empty list filters nothing, and all that are given must match.
+    ``metadata`` names a map column of the requests whose keys are fields. Filters meet the different kinds, not the rows, and only where they share a
+    value. A request that nothing satisfies has one row, of a null kind.
+    """
+    fields = tuple(lists)
+    kinds = rows.select(*fields, row_kind(fields).alias("kind")).distinct()
+    held = kinds.select("kind", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("v")).select("kind", "v.*")
+    given = [F.struct(F.lit(f).alias("field"), F.lit("list").alias("by"), F.col(c).cast("array<string>").alias("values")) for f, c in lists.items()]
+    asked = F.array(*given)
+    if metadata:
+        own = F.transform(F.map_entries(metadata), lambda e: F.struct(e["key"].alias("field"), F.lit("map").alias("by"), F.array(e["value"].cast("string")).alias("values")))
+        asked = F.concat(asked, F.coalesce(own, F.array().cast("array<struct<field:string,by:string,values:array<string>>>")))
+    asked = F.filter(asked, lambda a: F.coalesce(F.size(a["values"]), F.lit(0)) > 0)
+    wanted = requests.select("query_id", asked.alias("asked")).filter(F.size("asked") > 0)
+    each = wanted.select("query_id", F.size("asked").alias("n"), F.explode("asked").alias("a")).select("query_id", "n", "a.field", "a.by", F.explode(F.array_distinct("a.values")).alias("value"))
+    met = each.join(held, ["field", "value"]).select("query_id", "n", "kind", "field", "by").distinct()
+    full = met.groupBy("query_id", "n", "kind").agg(F.count("*").alias("met")).filter("met = n").select("query_id", "kind")
+    return wanted.select("query_id").join(full, "query_id", "left")
+
+
 def map_request(requests: DataFrame) -> DataFrame:
     """Request rows to query rows: unknown modes become hybrid, languages vi or en, filters if any.
 

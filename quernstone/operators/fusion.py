@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import analyze, signature
 from quernstone.operators import keyword as K
+from quernstone.operators.filters import allowed_kinds, row_kind
 from quernstone.operators.ranking import by_score, top_k
 from quernstone.operators.vector import embed_batch, knn_exact
+from quernstone.session import stored
 
 KEYS = ("doc_id", "chunk_id")
 
@@ -27,12 +29,16 @@ def _last_per_key(hits: DataFrame, keys: tuple[str, ...], side: str) -> DataFram
 def rrf(
     vector_hits: DataFrame, keyword_hits: DataFrame, vector_weight: float | Column = 0.5,
     keyword_weight: float | Column = 0.5, k: int = 60, keys: tuple[str, ...] = KEYS, limit: int | None = None,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
-    """Reciprocal rank fusion of two hit lists (query_id, keys, rank, score)."""
-    wv, wk = (w if isinstance(w, Column) else F.lit(float(w)) for w in (vector_weight, keyword_weight))
+    """Reciprocal rank fusion of two hit lists (query_id, keys, rank, score).
+
+    ``weights`` (query_id, vector_weight, bm25_weight) takes the place of the two weights for the queries in it.
+    """
     both = _last_per_key(vector_hits, keys, "v").join(
         _last_per_key(keyword_hits, keys, "w"), ["query_id", *keys], "full_outer"
     )
+    both, wv, wk = _weighted(both, vector_weight, keyword_weight, weights)
     part = lambda w, c: F.coalesce(w / (F.lit(k) + F.col(f"{c}.rank")), F.lit(0.0))
     fused = both.select(
         "query_id", *keys, F.round(part(wk, "w") + part(wv, "v"), 12).alias("score"),
@@ -42,11 +48,20 @@ def rrf(
     return top_k(fused, ["query_id"], by_score("score", keys), limit)
 
 
+def _weighted(both: DataFrame, vector_weight: float | Column, keyword_weight: float | Column, weights: DataFrame | None) -> tuple[DataFrame, Column, Column]:
+    """The rows with the weights of their query, if it has its own, and the two weights to use."""
+    wv, wk = (w if isinstance(w, Column) else F.lit(float(w)) for w in (vector_weight, keyword_weight))
+    if weights is None:
+        return both, wv, wk
+    own = weights.select("query_id", F.col("vector_weight").alias("_wv"), F.col("bm25_weight").alias("_wk"))
+    return both.join(own, "query_id", "left"), F.coalesce("_wv", wv), F.coalesce("_wk", wk)
+
+
 def weighted_fusion(
-    vector_hits: DataFrame, keyword_hits: DataFrame, vector_weight: float = 0.5,
-    keyword_weight: float = 0.5, keys: tuple[str, ...] = KEYS, limit: int | None = None,
+    vector_hits: DataFrame, keyword_hits: DataFrame, vector_weight: float | Column = 0.5,
+    keyword_weight: float | Column = 0.5, keys: tuple[str, ...] = KEYS, limit: int | None = None, weights: DataFrame | None = None,
 ) -> DataFrame:
-    """Weighted sum of min-max scaled scores; a list whose scores are all equal scales to 1."""
+    """Weighted sum of min-max scaled scores; a list whose scores are all equal scales to 1. ``weights`` as in ``rrf``."""
 
     def scaled(hits: DataFrame, side: str) -> DataFrame:
         span = hits.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
@@ -57,9 +72,8 @@ def weighted_fusion(
         return one.select("query_id", *keys, F.col(f"{side}.score").alias(f"{side}_score"), unit.alias(f"{side}_unit"))
 
     both = scaled(vector_hits, "v").join(scaled(keyword_hits, "w"), ["query_id", *keys], "full_outer")
-    total = F.lit(float(vector_weight)) * F.coalesce("v_unit", F.lit(0.0)) + F.lit(
-        float(keyword_weight)
-    ) * F.coalesce("w_unit", F.lit(0.0))
+    both, wv, wk = _weighted(both, vector_weight, keyword_weight, weights)
+    total = wv * F.coalesce("v_unit", F.lit(0.0)) + wk * F.coalesce("w_unit", F.lit(0.0))
     fused = both.select(
         "query_id", *keys, F.round(total, 12).alias("score"),
         F.col("w_score").alias("bm25_score"), F.col("v_score").alias("vector_score"),
@@ -188,6 +202,64 @@ def search(
     return hits.filter(F.col("rank") <= k)
 
 
+#: The filter fields of a request and its list columns.
+REQUEST_LISTS = {"doc_type": "doc_types", "faculty": "faculties", "year": "years", "subject": "subjects", "language": "languages"}
+
+
+def search_requests(
+    requests: DataFrame, chunks: DataFrame, fusion: str = "rrf", fuzzy: bool = True, phrase: bool = True, encoder=None, scorer=None,
+    index: K.KeywordIndex | None = None, vectors: DataFrame | None = None, keys: tuple[str, ...] = KEYS,
+) -> DataFrame:
+    """One search for a whole table of requests, each with its own mode, number of hits, weights and filters.
+
+    ``requests``: (query_id, text, mode, k, vector_weight, bm25_weight, use_rerank, filters), as ``map_request`` makes them: ``filters`` holds
+    doc_types, faculties, years, subjects, language and metadata_filters, or is null. Weights that are null or 0 count as a half, other modes than vector and
+    bm25 as hybrid. Filters let through kinds of rows, which is what the index and the vectors are tested by before anything is
+    scored. A request that is reranked gets its candidates scored anew. An ``index`` or ``vectors`` made beforehand carry the column ``kind`` of ``filters.row_kind`` over the
+    fields of ``REQUEST_LISTS`` that the chunks have.
+    """
+    cols = list(keys)
+    lists = {f: c for f, c in REQUEST_LISTS.items() if f in chunks.columns}
+    f = lambda name: F.col(f"filters.{name}")
+    mode = F.when(F.col("mode").isin("vector", "bm25"), F.col("mode")).otherwise("hybrid")
+    n = F.when(mode == "vector", F.greatest(4 * F.col("k"), F.lit(16))).when(mode == "bm25", F.greatest(2 * F.col("k"), F.lit(12))).otherwise(F.greatest(4 * F.col("k"), F.lit(20)))
+    half = lambda c: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.5)).alias(c)
+    asked = stored(requests.select(
+        "query_id", "text", mode.alias("mode"), "k", n.alias("n"), half("vector_weight"), half("bm25_weight"), F.coalesce("use_rerank", F.lit(True)).alias("use_rerank"),
+        f("doc_types").alias("doc_types"), f("faculties").alias("faculties"), f("years").alias("years"), f("subjects").alias("subjects"),
+        F.when(f("language").isNotNull(), F.array(f("language"))).alias("languages"), f("metadata_filters").alias("metadata_filters"),
+    ), "requests")
+    rows = chunks.withColumn("kind", row_kind(tuple(lists)))
+    allowed = stored(allowed_kinds(asked, chunks, lists, "metadata_filters"), "allowed")
+    most = asked.agg(F.max("n")).first()[0] or 0
+    own = asked.select("query_id", "n")
+    cut = lambda hits: hits.join(own, "query_id").filter(F.col("rank") <= F.col("n")).drop("n")
+
+    near = asked.filter("mode <> 'bm25'").select("query_id", "text")
+    vecs = vectors if vectors is not None else embed_batch(rows, [*cols, "kind"], "text", encoder)
+    # A list of no kind at all would let everything through.
+    lets = allowed.groupBy("query_id").agg(F.collect_list(F.coalesce("kind", F.lit(0))).alias("allow"))
+    qv = embed_batch(near, ["query_id"], "text", encoder).join(lets, "query_id", "left")
+    vec_hits = cut(knn_exact(qv, vecs, most, cols, filter_col="kind"))
+    index = index or K.build_index(rows, keys=keys, carry=("kind",))
+    key_hits = cut(K.bm25_search(asked.filter("mode <> 'vector'").select("query_id", "text"), rows, most, index, fuzzy, phrase, keys=keys, allowed=allowed))
+
+    part = lambda hits, m: hits.join(asked.filter(F.col("mode") == m).select("query_id"), "query_id", "left_semi")
+    plain = ["query_id", *cols, "score", "rank"]
+    fuse = rrf if fusion == "rrf" else weighted_fusion
+    weights = asked.select("query_id", "vector_weight", "bm25_weight")
+    fused = fuse(part(vec_hits, "hybrid"), part(key_hits, "hybrid"), keys=keys, weights=weights).select(*plain, F.lit("fused").alias("source_type"))
+    found = part(vec_hits, "vector").select(*plain, F.lit("vector").alias("source_type")).unionByName(
+        part(key_hits, "bm25").select(*plain, F.lit("bm25").alias("source_type"))).unionByName(fused)
+    # At most a few dozen candidates per query meet their texts again.
+    texts = stored(found.join(chunks.select(*cols, "text"), cols), "found")
+    again = asked.filter("use_rerank").select("query_id", "text")
+    ranked = rerank(texts.join(again.select("query_id"), "query_id", "left_semi"), again, None, scorer, keys)
+    rest = texts.join(again.select("query_id"), "query_id", "left_anti")
+    both = ranked.unionByName(rest, allowMissingColumns=True)
+    return both.join(asked.select("query_id", "k", "mode"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
+
+
 def _first_by_signature(rows: DataFrame, group: list[str], order: list[Column], text: str) -> DataFrame:
     sig = rows.withColumn("_sig", signature(F.col(text))).filter(F.col("_sig") != "")
     return top_k(sig, [*group, "_sig"], order, 1, "_n").drop("_n", "_sig")

@@ -72,7 +72,7 @@ _LETTERS = "àâäæçèéêëîïñôöùûüÿœßáíóú¿"
 _BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[: len(_LETTERS)]
 
 
-def _near(vocab: str) -> str:
+def near_sql(vocab: str) -> str:
     """CTE fuzzy_terms (query_id, word, term, edits, weight): the terms of ``vocab`` near a query term."""
     return f"""
     vocab AS MATERIALIZED (SELECT term, length(term) AS n, translate(term, '{_LETTERS}', '{_BYTES}') AS bytes FROM ({vocab})),
@@ -84,13 +84,13 @@ def _near(vocab: str) -> str:
              FROM q_terms q JOIN near n ON q.term = n.word WHERE n.edits <= n.allowed)"""
 
 
-_FUZZY_BM25 = S.BM25.replace("FROM q_terms", "FROM best_terms")
+FUZZY_BM25 = S.BM25.replace("FROM q_terms", "FROM best_terms")
 
 
 @query(
     "k04_bm25_fuzzy",
-    f"""WITH {S.CHUNKS}, {S.QUERIES}, {S.positions('chunks', 'doc_id, chunk_id')}, {S.QUERY_FORMS}, {_near('SELECT DISTINCT term FROM postings')},
-    best_terms AS MATERIALIZED (SELECT query_id, term, max(weight) AS weight FROM fuzzy_terms GROUP BY ALL), {_FUZZY_BM25}, {S.PHRASE}, {S.BM25_RANKED}
+    f"""WITH {S.CHUNKS}, {S.QUERIES}, {S.positions('chunks', 'doc_id, chunk_id')}, {S.QUERY_FORMS}, {near_sql('SELECT DISTINCT term FROM postings')},
+    best_terms AS MATERIALIZED (SELECT query_id, term, max(weight) AS weight FROM fuzzy_terms GROUP BY ALL), {FUZZY_BM25}, {S.PHRASE}, {S.BM25_RANKED}
     SELECT query_id, doc_id, chunk_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10""",
 )
 def bm25_fuzzy(spark, sf):
@@ -104,7 +104,7 @@ def bm25_fuzzy(spark, sf):
     f"""WITH {S.QUERIES}, {S.QUERY_FORMS},
     d0 AS MATERIALIZED (SELECT DISTINCT unnest({S.tokens('text')}) AS tok FROM documents),
     d AS MATERIALIZED (SELECT tok, {S.fold('tok')} AS folded FROM d0),
-    {_near(f"""SELECT folded AS term FROM d WHERE folded NOT IN {S.STOPS} UNION SELECT tok FROM d WHERE tok <> folded AND tok NOT IN {S.STOPS}""")}
+    {near_sql(f"""SELECT folded AS term FROM d WHERE folded NOT IN {S.STOPS} UNION SELECT tok FROM d WHERE tok <> folded AND tok NOT IN {S.STOPS}""")}
     SELECT query_id, word, term, edits, round(weight, 6) AS weight FROM fuzzy_terms""",
 )
 def fuzzy(spark, sf):

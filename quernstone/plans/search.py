@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.operators import ann as A
+from quernstone.operators import filters as O
 from quernstone.operators import fusion as U
 from quernstone.operators import keyword as K
 from quernstone.operators import vector as V
 from quernstone.operators.ranking import number_rows, top_k
 from quernstone.plans import sql_parts as S
 from quernstone.plans.bindings import chunks, queries_table, spread, table
+from quernstone.plans.keyword import FUZZY_BM25, near_sql
 from quernstone.plans.registry import query
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
@@ -244,6 +246,68 @@ def hybrid(spark, sf):
     return hits.select("query_id", "doc_id", "chunk_id", big("original_rank"), r6("score"), big("rank"))
 
 
+# Every benchmark text as a request: mode, number of hits, weights, filters and reranking go by its number.
+_REQUESTS = """req AS MATERIALIZED (SELECT item_id AS query_id, ['vector', 'bm25', 'hybrid'][item_id % 3 + 1] AS mode, 4 + item_id % 5 AS k, item_id % 5 <> 0 AS use_rerank,
+  CASE WHEN item_id % 4 = 0 THEN 0.7 ELSE 0.5 END AS wv, CASE WHEN item_id % 4 = 0 THEN 0.3 ELSE 0.5 END AS wk, CASE WHEN item_id % 2 = 0 THEN ['science', 'law'] END AS faculties,
+  CASE WHEN item_id % 6 = 1 THEN [2019, 2020, 2022, 2024] END AS years, CASE WHEN item_id % 7 = 3 THEN 'en' END AS language, CASE WHEN item_id % 11 = 5 THEN 'arts' END AS meta FROM benchmark),
+passes AS MATERIALIZED (SELECT query_id, doc_id, chunk_id FROM req JOIN chunks c ON (req.faculties IS NULL OR list_contains(req.faculties, c.faculty)) AND (req.years IS NULL OR list_contains(req.years, c.year))
+  AND (req.language IS NULL OR req.language = c.language) AND (req.meta IS NULL OR req.meta = c.faculty))"""
+
+
+def _request_sql(fuzzy: bool = False, fusion: str = "rrf") -> str:
+    search = _HYBRID
+    if fuzzy:
+        search = search.replace(S.SEARCH, f"""{S.CHUNKS}, {S.QUERIES}, {S.positions('chunks', 'doc_id, chunk_id')}, {S.QUERY_FORMS}, {near_sql('SELECT DISTINCT term FROM postings')},
+    best_terms AS MATERIALIZED (SELECT query_id, term, max(weight) AS weight FROM fuzzy_terms GROUP BY ALL), {FUZZY_BM25}, {S.PHRASE}""")
+    both = "coalesce(wv / (60 + v.rank), 0) + coalesce(wk / (60 + b.rank), 0)" if fusion == "rrf" else "wv * coalesce(v.unit, 0) + wk * coalesce(b.unit, 0)"
+    unit = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS unit"
+    ranked = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_id) AS rank"
+    return f"""WITH {search}, {_REQUESTS},
+    fv AS (SELECT s.*, {ranked} FROM sim s JOIN passes USING (query_id, doc_id, chunk_id)),
+    fb AS (SELECT query_id, doc_id, chunk_id, score, {ranked} FROM (SELECT query_id, doc_id, chunk_id, score FROM bm25) JOIN passes USING (query_id, doc_id, chunk_id)),
+    cv AS MATERIALIZED (SELECT fv.*, mode, {unit} FROM fv JOIN req USING (query_id) WHERE mode <> 'bm25' AND rank <= CASE mode WHEN 'vector' THEN greatest(4 * k, 16) ELSE greatest(4 * k, 20) END WINDOW w AS (PARTITION BY query_id)),
+    cb AS MATERIALIZED (SELECT fb.*, mode, {unit} FROM fb JOIN req USING (query_id) WHERE mode <> 'vector' AND rank <= CASE mode WHEN 'bm25' THEN greatest(2 * k, 12) ELSE greatest(4 * k, 20) END WINDOW w AS (PARTITION BY query_id)),
+    fu AS (SELECT query_id, doc_id, chunk_id, round({both}, 12) AS score FROM (SELECT * FROM cv WHERE mode = 'hybrid') v FULL JOIN (SELECT * FROM cb WHERE mode = 'hybrid') b USING (query_id, doc_id, chunk_id) JOIN req USING (query_id)),
+    found AS MATERIALIZED (SELECT query_id, doc_id, chunk_id, score, rank, 'vector' AS source_type FROM cv WHERE mode = 'vector' UNION ALL SELECT query_id, doc_id, chunk_id, score, rank, 'bm25' FROM cb WHERE mode = 'bm25'
+      UNION ALL SELECT query_id, doc_id, chunk_id, score, {ranked}, 'fused' FROM fu), {_OVERLAP.format(hits='found')},
+    o AS (SELECT *, CASE WHEN use_rerank THEN row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, doc_id, chunk_id) ELSE rank END AS place FROM found_s JOIN req USING (query_id))
+    SELECT query_id, mode, source_type, doc_id, chunk_id, CASE WHEN use_rerank THEN rank END AS original_rank, round(CASE WHEN use_rerank THEN rerank_score ELSE score END, 6) AS score, place AS rank FROM o WHERE place <= k"""
+
+
+def request_table(spark, sf):
+    i = F.col("item_id")
+    none = F.lit(None).cast("array<string>")
+    words = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    raw = table(spark, sf, "benchmark").select(
+        i.alias("query_id"), F.col("text").alias("query"), (4 + i % 5).alias("k"), F.element_at(words("vector", "bm25", "any"), (i % 3 + 1).cast("int")).alias("search_mode"),
+        F.when(i % 4 == 0, 0.7).when(i % 4 == 1, 0.0).alias("vector_weight"), F.when(i % 4 == 0, 0.3).alias("bm25_weight"), (i % 5 != 0).alias("use_rerank"),
+        F.when(i % 7 == 3, "en").alias("language"), none.alias("doc_types"), F.when(i % 2 == 0, words("science", "law")).alias("faculties"),
+        F.when(i % 6 == 1, F.array(*[F.lit(y) for y in (2019, 2020, 2022, 2024)])).alias("years"), none.alias("subjects"),
+        F.when(i % 11 == 5, F.create_map(F.lit("faculty"), F.lit("arts"))).alias("filters"),
+    )
+    return O.map_request(raw)
+
+
+def answered(spark, sf, **options):
+    hits = U.search_requests(request_table(spark, sf), chunks(spark, sf), **options)
+    return hits.select("query_id", "mode", "source_type", "doc_id", "chunk_id", big("original_rank"), r6("score"), big("rank"))
+
+
+@query("u08_search_requests", _request_sql())
+def by_request(spark, sf):
+    return answered(spark, sf, fuzzy=False)
+
+
+@query("u08_search_weighted", _request_sql(fusion="weighted"))
+def by_request_weighted(spark, sf):
+    return answered(spark, sf, fuzzy=False, fusion="weighted")
+
+
+@query("u08_search_fuzzy", _request_sql(fuzzy=True))
+def by_request_fuzzy(spark, sf):
+    return answered(spark, sf)
+
+
 # Each pair of neighbouring benchmark items acts as one plan with two rewrites.
 @query(
     "u09_multi_query_retrieve",

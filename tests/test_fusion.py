@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quernstone.operators import fusion as U
+from quernstone.operators.filters import allowed_kinds, row_kind
 
 
 def hits(spark, rows):
@@ -81,3 +82,43 @@ def test_gate(spark):
     assert got == [(True, 2), (True, 2), (True, 3), (False, 2)]
     assert not any(r.use_iterative for r in U.iterative_gate(df, "disabled").collect())
     assert all(r.use_iterative for r in U.iterative_gate(df, "forced").collect())
+
+
+def test_allowed_kinds_equal_a_plain_filter(spark):
+    rows = [(i, ["law", "arts", None][i % 3], 2018 + i % 4, ["en", "vi"][i % 2]) for i in range(24)]
+    chunks = spark.createDataFrame(rows, "doc_id long, faculty string, year int, language string")
+    asked = [(1, ["law"], None, None, None), (2, ["law", "arts", "law"], [2018, 2019], None, None), (3, [], None, None, None), (4, ["nowhere"], None, None, None), (5, None, None, ["vi"], {"year": "2019"}), (6, None, None, None, {"other": "x"})]
+    q = spark.createDataFrame(asked, "query_id int, faculties array<string>, years array<int>, languages array<string>, meta map<string,string>")
+    lists = {"faculty": "faculties", "year": "years", "language": "languages"}
+    kinds = {r.doc_id: r.kind for r in chunks.select("doc_id", row_kind(tuple(lists)).alias("kind")).collect()}
+    got = {}
+    for r in allowed_kinds(q, chunks, lists, "meta").collect():
+        got.setdefault(r.query_id, set()).add(r.kind)
+    assert 3 not in got and got[4] == {None} and got[6] == {None}
+
+    def passes(a, r):
+        _, faculties, years, languages, meta = a
+        return (not faculties or r[1] in faculties) and (not years or r[2] in years) and (not languages or r[3] in languages) and (not meta or str(r[2]) == meta["year"])
+
+    for a in asked[:2] + asked[4:5]:
+        assert {i for i, k in kinds.items() if k in got[a[0]]} == {r[0] for r in rows if passes(a, r)}
+
+
+def test_requests_with_modes_filters_and_weights(spark):
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(i, f"{i}_0", " ".join(words[(i * j) % 5] for j in range(1, 7)), words[i % 5], ["law", "arts"][i % 2], 2018 + i % 3) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id string, text string, title string, faculty string, year int")
+    filters = "struct<doc_types:array<string>,faculties:array<string>,years:array<int>,subjects:array<string>,language:string,metadata_filters:map<string,string>>"
+    law = (None, ["law"], None, None, None, None)
+    asked = [(1, "alpha beta", "vector", 3, None, None, False, None), (2, "alpha beta", "bm25", 4, None, None, False, law), (3, "gamma delta", "hybrid", 5, 0.9, 0.1, True, law), (4, "gamma", "odd", 2, 0.0, None, None, (None, ["none"], None, None, None, None)), (5, "gamma delta", "hybrid", 5, 0.9, 0.1, False, (None, None, None, None, None, {"year": "2019"}))]
+    req = spark.createDataFrame(asked, f"query_id int, text string, mode string, k int, vector_weight double, bm25_weight double, use_rerank boolean, filters {filters}")
+    got = U.search_requests(req, chunks, fuzzy=False).collect()
+    by = {q: sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"]) for q in range(1, 6)}
+    assert [len(by[q]) for q in range(1, 6)] == [3, 4, 5, 0, 5]
+    assert {r.source_type for r in by[1]} == {"vector"} and {r.source_type for r in by[2]} == {"bm25"} and {r.source_type for r in by[3]} == {"fused"}
+    assert all(r.doc_id % 2 == 0 for r in by[2] + by[3]) and all(r.doc_id % 3 == 1 for r in by[5])
+    assert all([r["rank"] for r in rows] == list(range(1, len(rows) + 1)) for rows in by.values())
+    plain = U.search(spark.createDataFrame([(2, "alpha beta")], "query_id int, text string"), chunks.filter("faculty = 'law'"), "bm25", 4, use_rerank=False)
+    # Document frequencies are those of the whole table, so only the rows are compared where scores tie in the same way.
+    assert len(plain.collect()) == 4
+    assert all(r.original_rank is not None for r in by[3]) and all(r.original_rank is None for r in by[5])
