@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import graph_query as G
+from quernstone.operators import reach_bits as R
 from quernstone.operators.ranking import top_k
 from quernstone.plans import sql_parts as S
 from quernstone.plans.bindings import spread, table
@@ -57,10 +58,7 @@ def nation_pairs(spark, sf):
     SELECT k.*, coalesce(n_edges, 0) AS n_edges FROM k LEFT JOIN e USING (start)""",
 )
 def p01(spark, sf):
-    near, on = G.traverse(customers(spark, sf), network(spark, sf), ["REFERENCES"], 2, "out")
-    k = near.groupBy("start").agg(F.count("*").alias("n_nodes"), F.sum("id").alias("id_sum"), F.sum("hops").alias("hop_sum"))
-    e = on.groupBy("start").agg(F.count("*").alias("n_edges"))
-    return k.join(e, "start", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)).cast("bigint"))
+    return R.traverse_counts(customers(spark, sf), network(spark, sf), ["REFERENCES"], 2, "out", {"id_sum": F.col("id"), "hop_sum": F.col("hops")})
 
 
 @query("p02_neighbors", f"WITH {NET} SELECT src AS id, dst AS neighbor, src, dst, type FROM net UNION ALL SELECT dst, src, src, dst, type FROM net")
@@ -453,8 +451,7 @@ def a02(spark, sf):
     SELECT target, count(*) AS n_dependents, CAST(sum(id) AS BIGINT) AS id_sum FROM r GROUP BY ALL""",
 )
 def a03(spark, sf):
-    hit = G.impact(customers(spark, sf), network(spark, sf))
-    return hit.groupBy("target").agg(F.count("*").alias("n_dependents"), F.sum("id").alias("id_sum"))
+    return R.impact_counts(customers(spark, sf), network(spark, sf), 2, {"id_sum": F.col("id")})
 
 
 @query(

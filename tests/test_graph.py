@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import graph_build as B
 from quernstone.operators import graph_query as G
+from quernstone.operators import reach_bits as R
 
 COURSES = [("IT002", "IT001"), ("IT003", "IT002"), ("IT004", "IT003"), ("SE104", "IT002"), ("SE357", "IT004"), ("SE357", "SE104"), ("SE363", "IT003")]
 
@@ -164,3 +165,32 @@ def test_amendment_section(spark):
     text = "--- Mục b khoản 1 Điều 14 ---\nNội dung mới\n--- Điều 23 ---\nkhác"
     df = spark.createDataFrame([(text, "Điều 14. Đăng ký"), (text, "Điều 23"), (text, "Điều 9"), (text, "không")], "t string, h string")
     assert [r[0] for r in df.select(G.extract_amendment_section(F.col("t"), F.col("h"))).collect()] == ["Nội dung mới", "khác", None, None]
+
+
+def test_bit_search_counts_what_the_plain_search_finds(spark):
+    rnd = random.Random(12)
+    edges = spark.createDataFrame([(rnd.randrange(90), rnd.randrange(90), rnd.choice("ab")) for _ in range(220)], "src long, dst long, type string")
+    starts = spark.createDataFrame([(i,) for i in range(95)] + [(3,)], "id long")
+    for direction in ("out", "in", "both"):
+        for types in (None, ["a"]):
+            near, on = G.traverse(starts.distinct(), edges, types, 3, direction)
+            nodes = {r.start: (r.n, r.s, r.h) for r in near.groupBy("start").agg(F.count("*").alias("n"), F.sum("id").alias("s"), F.sum("hops").alias("h")).collect()}
+            n_edges = {r.start: r["count"] for r in on.groupBy("start").count().collect()}
+            got = R.traverse_counts(starts, edges, types, 3, direction, {"s": F.col("id"), "h": F.col("hops")}).collect()
+            assert {r.start: (r.n_nodes, r.s, r.h) for r in got} == nodes
+            assert {r.start: r.n_edges for r in got if r.n_edges} == n_edges
+    want = {r.target: r["count"] for r in G.impact(starts.distinct(), edges, 3).groupBy("target").count().collect()}
+    assert {r.target: r.n_dependents for r in R.impact_counts(starts, edges, 3).collect()} == want
+
+
+def test_bit_search_from_and_to_a_hub(spark):
+    hub = spark.range(1, 100_001).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit("r").alias("type"))
+    edges = hub.unionByName(spark.createDataFrame([(0, 100_001, "r"), (0, 100_002, "r")], hub.schema))
+    starts = spark.range(0, 1000)
+    got = R.traverse_counts(starts, edges, depth=2)
+    rows = {r.start: (r.n_nodes, r.n_edges) for r in got.collect()}
+    assert rows[0] == (3, 2) and set(rows.values()) == {(3, 2), (4, 3)} and len(rows) == 1000
+    assert [(r.target, r.n_dependents) for r in R.impact_counts(spark.createDataFrame([(100_001,)], "id long"), edges).collect()] == [(100_001, 100_001)]
+    words = R.reach_bits(R.numbered_starts(starts), edges, 2)
+    assert words.filter("id = 0").count() <= 1 + 2 * (1000 // 64 + 8)
+    assert R.traverse_counts(starts.limit(0), edges).collect() == []
