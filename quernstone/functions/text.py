@@ -63,9 +63,13 @@ def is_blank(col: Column) -> Column:
     return F.coalesce(py_strip(col) == "", F.lit(True))
 
 
-def signature(col: Column, length: int = 100) -> Column:
-    """Lower-cased, stripped head of a text; equal signatures count as the same passage."""
-    return F.lower(py_strip(F.substring(col, 1, length)))
+def signature(col: Column, length: int | None = None) -> Column:
+    """A short key of a lower-cased, stripped text, empty for a blank one; equal signatures count as the same passage.
+
+    With ``length`` only so many characters count.
+    """
+    head = F.lower(py_strip(col if length is None else F.substring(col, 1, length)))
+    return F.when(head == "", "").otherwise(F.md5(head))
 
 
 def words(col: Column) -> Column:
@@ -134,7 +138,10 @@ def keyword_normal(col: Column) -> Column:
 
 
 def sentence_spans(text: Column, min_len: int = 10) -> Column:
-    """Spans of the pieces between '. ', offsets in characters of the original text."""
+    """Spans of the pieces between '. ', offsets in characters of the original text.
+
+    For passages: the list is built piece by piece. Whole documents go through ``keyword.char_spans``.
+    """
     pieces = F.split(text, r"\. ")
     widths = F.transform(pieces, lambda p: F.length(p))
     acc = F.aggregate(

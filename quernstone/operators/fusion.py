@@ -260,18 +260,19 @@ def search_requests(
     return both.join(asked.select("query_id", "k", "mode"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
 
 
-def _first_by_signature(rows: DataFrame, group: list[str], order: list[Column], text: str) -> DataFrame:
-    sig = rows.withColumn("_sig", signature(F.col(text))).filter(F.col("_sig") != "")
+def _first_by_signature(rows: DataFrame, group: list[str], order: list[Column], text: str, head: int | None) -> DataFrame:
+    sig = rows.withColumn("_sig", signature(F.col(text), head)).filter(F.col("_sig") != "")
     return top_k(sig, [*group, "_sig"], order, 1, "_n").drop("_n", "_sig")
 
 
-def multi_query_retrieve(hits: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def multi_query_retrieve(hits: DataFrame, k: int, head: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge the hits of each plan's rewritten queries.
 
     ``hits``: (plan_id, qpos, rank, text, score, ...). The first copy of a passage in query
-    order is kept, then the rows are ordered by score and cut. Returns (rows, counts).
+    order is kept, then the rows are ordered by score and cut. Returns (rows, counts). Passages are the same if their whole texts are, or, with
+    ``head``, if their first so many characters are.
     """
-    unique = _first_by_signature(hits, ["plan_id"], [F.col("qpos"), F.col("rank")], "text")
+    unique = _first_by_signature(hits, ["plan_id"], [F.col("qpos"), F.col("rank")], "text", head)
     rows = top_k(
         unique.withColumnRenamed("rank", "source_rank"), ["plan_id"],
         [F.col("score").desc(), F.col("qpos"), F.col("source_rank")], k,
@@ -285,14 +286,14 @@ def multi_query_retrieve(hits: DataFrame, k: int) -> tuple[DataFrame, DataFrame]
     return rows, counts
 
 
-def context_accumulate(rounds: DataFrame, cap: int = 15) -> tuple[DataFrame, DataFrame]:
+def context_accumulate(rounds: DataFrame, cap: int = 15, head: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Passages gathered over retrieval rounds, each once, up to ``cap``.
 
     ``rounds``: (query_id, iteration, rank, text, ...). Returns (rows with position,
     new passages per round). Once full, the list keeps its first ``cap`` entries; a passage
-    cut off earlier is no longer known and counts as new when it comes again.
+    cut off earlier is no longer known and counts as new when it comes again. ``head`` as in ``multi_query_retrieve``.
     """
-    signed = rounds.withColumn("_sig", signature(F.col("text"))).filter(F.col("_sig") != "")
+    signed = rounds.withColumn("_sig", signature(F.col("text"), head)).filter(F.col("_sig") != "")
     order = [F.col("iteration"), F.col("rank")]
     first = top_k(signed, ["query_id", "_sig"], order, 1, "_n").drop("_n")
     kept = top_k(first, ["query_id"], order, cap, "position")

@@ -516,31 +516,31 @@ def chunk_inputs(spark, sf):
     b = lines(spark, sf).withColumns({"aid": F.concat_ws("_", F.lit("dieu"), F.col("i").cast("string"))})
     m = F.col("i") % 5
     arts = b.filter(m.isin(0, 1, 2)).select(
-        "doc_id", F.col("aid").alias("id"), F.concat(F.lit("Điều "), F.col("i").cast("string"), F.lit(". "), F.substring("line", 1, 20)).alias("title"),
+        "doc_id", F.col("aid").alias("id"), F.concat(F.lit("Điều "), F.col("i").cast("string"), F.lit(". "), F.col("line")).alias("title"),
         F.when(m == 0, F.col("i")).cast("int").alias("number"), F.expr("cast(i div 3 as int)").alias("page"), F.concat(F.lit("Chương "), F.expr("cast(i div 20 as string)")).alias("chapter"),
         F.col("line").alias("full_text"), F.col("i").alias("ord"),
     )
     pieces = b.filter(m == 1).select("doc_id", F.col("aid").alias("article_id"), F.posexplode(F.split("line", r"\. ")).alias("p", "full_text"))
     clauses = pieces.select(
         "doc_id", "article_id", (F.col("p") + 1).alias("idx"), F.when(F.col("p") % 2 == 0, F.concat_ws("_", F.lit("k"), F.col("p").cast("string"), "article_id")).alias("id"),
-        F.when(F.col("p") % 3 == 0, F.substring("full_text", 1, 10)).otherwise("").alias("title"), "full_text",
+        F.when(F.col("p") % 3 == 0, F.col("full_text")).otherwise("").alias("title"), "full_text",
     )
     alone = b.filter(m == 4).select(
         "doc_id", F.concat_ws("_", F.lit("khoan"), F.col("i").cast("string")).alias("id"), F.concat(F.lit("Khoản 1 Điều "), F.expr("cast(i div 5 as string)")).alias("title"),
         F.expr("cast(i div 3 as int)").alias("page"), F.lit(None).cast("string").alias("chapter"), F.col("line").alias("full_text"), F.col("i").alias("ord"),
     )
     rel = b.filter(m == 3).select(
-        "doc_id", F.concat_ws("_", F.lit("dieu"), (F.col("i") - 1).cast("string")).alias("source_id"), F.substring("line", 1, 25).alias("evidence"), F.col("i").alias("ord"),
-    ).unionByName(b.filter(m == 2).select("doc_id", F.concat_ws("_", F.lit("k_0_dieu"), (F.col("i") - 1).cast("string")).alias("source_id"), F.substring("line", 1, 15).alias("evidence"), F.col("i").alias("ord")))
+        "doc_id", F.concat_ws("_", F.lit("dieu"), (F.col("i") - 1).cast("string")).alias("source_id"), F.col("line").alias("evidence"), F.col("i").alias("ord"),
+    ).unionByName(b.filter(m == 2).select("doc_id", F.concat_ws("_", F.lit("k_0_dieu"), (F.col("i") - 1).cast("string")).alias("source_id"), F.col("line").alias("evidence"), F.col("i").alias("ord")))
     return arts, clauses, alone, X.evidence_lists(rel)
 
 
 _T22 = SNODES + """,
-arts AS (SELECT doc_id, 'dieu_' || i AS article_id, 'Điều ' || i || '. ' || substr(line, 1, 20) AS article_title, i AS number, i // 3 AS page, 'Chương ' || (i // 20) AS chapter, line, i FROM lines WHERE i % 5 IN (0, 1, 2)),
+arts AS (SELECT doc_id, 'dieu_' || i AS article_id, 'Điều ' || i || '. ' || line AS article_title, i AS number, i // 3 AS page, 'Chương ' || (i // 20) AS chapter, line, i FROM lines WHERE i % 5 IN (0, 1, 2)),
 pieces AS (SELECT doc_id, 'dieu_' || i AS article_id, unnest(ps) AS full_text, generate_subscripts(ps, 1) AS idx FROM (SELECT doc_id, i, string_split(line, '. ') AS ps FROM lines WHERE i % 5 = 1)),
-cl AS (SELECT doc_id, article_id, idx, CASE WHEN idx % 2 = 1 THEN 'k_' || (idx - 1) || '_' || article_id ELSE 'khoan_' || idx || '_' || article_id END AS id, CASE WHEN idx % 3 = 1 THEN substr(full_text, 1, 10) ELSE '' END AS title, full_text FROM pieces),
-ev AS (SELECT doc_id, source_id, string_agg(e, ' | ' ORDER BY i, e) AS evidence FROM (SELECT doc_id, 'dieu_' || (i - 1) AS source_id, substr(line, 1, 25) AS e, i FROM lines WHERE i % 5 = 3
-   UNION ALL SELECT doc_id, 'k_0_dieu_' || (i - 1), substr(line, 1, 15), i FROM lines WHERE i % 5 = 2) GROUP BY ALL),
+cl AS (SELECT doc_id, article_id, idx, CASE WHEN idx % 2 = 1 THEN 'k_' || (idx - 1) || '_' || article_id ELSE 'khoan_' || idx || '_' || article_id END AS id, CASE WHEN idx % 3 = 1 THEN full_text ELSE '' END AS title, full_text FROM pieces),
+ev AS (SELECT doc_id, source_id, string_agg(e, ' | ' ORDER BY i, e) AS evidence FROM (SELECT doc_id, 'dieu_' || (i - 1) AS source_id, line AS e, i FROM lines WHERE i % 5 = 3
+   UNION ALL SELECT doc_id, 'k_0_dieu_' || (i - 1), line, i FROM lines WHERE i % 5 = 2) GROUP BY ALL),
 rws AS (SELECT a.doc_id, coalesce(c.id, a.article_id) AS source_id, a.number AS article_number, article_title, page, chapter, CASE WHEN c.idx IS NULL THEN 'article' ELSE 'clause' END AS structure_type, c.idx AS clause_index,
     concat_ws(chr(10), article_title, CASE WHEN c.title <> article_title AND c.title <> '' THEN c.title END, nullif(CASE WHEN c.idx IS NULL THEN line ELSE c.full_text END, '')) AS body, 0 AS o1, i AS o2
   FROM arts a LEFT JOIN cl c USING (doc_id, article_id)

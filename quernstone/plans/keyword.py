@@ -188,9 +188,7 @@ def highlight(spark, sf):
 )
 def char_spans(spark, sf):
     docs = spread(table(spark, sf, "documents"), "doc_id")
-    return docs.select("doc_id", F.explode(T.sentence_spans(F.col("text"))).alias("s")).select(
-        "doc_id", F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"), "s.text", "s.type"
-    )
+    return K.char_spans(docs, ["doc_id"], "text").select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "text", "type")
 
 
 # Distinct words of every benchmark text as keywords, and each text's first two words as a compound.

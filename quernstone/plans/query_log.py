@@ -8,6 +8,7 @@ from quernstone.operators import graph_query as G
 from quernstone.operators import keyword as K
 from quernstone.operators import lookup as P
 from quernstone.operators import query_log as Q
+from quernstone.operators.ranking import top_k
 from quernstone.plans import sql_parts as S
 from quernstone.plans.bindings import spread, table
 from quernstone.plans.graph import AMENDS, COMM, NET, TREE, amended_articles, communities, courses, tree
@@ -283,18 +284,19 @@ _LABELED = """nodes AS (SELECT p_partkey::VARCHAR AS doc_id, p_partkey::VARCHAR
 
 @query(
     "p23_aggregate_by_terms",
-    f"""WITH b AS (SELECT p_size AS query_id, string_agg(DISTINCT p_name, ', ') AS text FROM part GROUP BY ALL), {_LABELED},
-    k AS (SELECT query_id, list_slice(list_sort(list_distinct(regexp_split_to_array(text, '[ ,]+'))), 1, 5) AS kws FROM b),
-    queries AS (SELECT query_id, array_to_string(kws, ' ') AS text FROM k), chunks AS (SELECT * FROM nodes),
+    f"""WITH b AS (SELECT p_size AS query_id, unnest(string_split(p_name, ' ')) AS w FROM part), {_LABELED},
+    k AS (SELECT query_id, w, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, w) AS n FROM b GROUP BY query_id, w),
+    queries AS (SELECT query_id, string_agg(w, ' ' ORDER BY n) AS text FROM k WHERE n <= 5 GROUP BY query_id), chunks AS (SELECT * FROM nodes),
     {S.positions('chunks', 'doc_id, chunk_id', ('text',))}, {S.QUERY_FORMS},
     sc AS (SELECT query_id, chunk_id AS id, round(sum(weight * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 9) AS score FROM q_terms JOIN postings USING (term) JOIN term_stats USING (term) JOIN totals ON true GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""",
 )
 def p23(spark, sf):
     p = table(spark, sf, "part")
-    # A part name is two words out of a small fixed set, so the distinct words of a size are few.
-    kw = p.select(big("p_size").alias("query_id"), F.explode(F.split("p_name", " ")).alias("k")).distinct().groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list("k")), 1, 5).alias("keywords"))
+    # The five most frequent words of a size are its keywords; nothing else of a size is gathered.
+    often = p.select(big("p_size").alias("query_id"), F.explode(F.split("p_name", " ")).alias("k")).groupBy("query_id", "k").agg(F.count("*").alias("n"))
+    kw = top_k(often, ["query_id"], [F.col("n").desc(), F.col("k")], 5).groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"]).alias("keywords"))
     nodes = p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("part").alias("label"), "p_name", "p_type", "p_brand")
     return G.aggregate_by_terms(kw, nodes, ["p_name", "p_type", "p_brand"]).select("query_id", "id", big("rank"), F.round("score", 6).alias("score"))
 

@@ -312,7 +312,7 @@ def by_request_fuzzy(spark, sf):
 @query(
     "u09_multi_query_retrieve",
     f"""WITH {S.SEARCH}, {S.BM25_RANKED},
-    h AS (SELECT query_id // 2 AS plan_id, query_id % 2 AS qpos, rank, score, c.doc_id, c.chunk_id, lower({S.strip('substr(c.text, 1, 100)')}) AS sig
+    h AS (SELECT query_id // 2 AS plan_id, query_id % 2 AS qpos, rank, score, c.doc_id, c.chunk_id, lower({S.strip('c.text')}) AS sig
           FROM bm25 JOIN chunks c USING (doc_id, chunk_id) WHERE rank <= 12),
     u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, sig ORDER BY qpos, rank) AS n FROM h WHERE sig <> '') WHERE n = 1),
     f AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY score DESC, qpos, rank) AS final_rank FROM u),
@@ -333,7 +333,7 @@ def multi_query(spark, sf):
 
 
 # Sources as questions, the document number's last digit as the round, documents as passages.
-_ROUNDS = f"""r AS (SELECT source || '_' || lang AS query_id, doc_id % 7 AS iteration, doc_id AS rank, lower({S.strip('substr(text, 1, 100)')}) AS sig FROM documents),
+_ROUNDS = f"""r AS (SELECT source || '_' || lang AS query_id, doc_id % 7 AS iteration, doc_id AS rank, lower({S.strip('text')}) AS sig FROM documents),
 fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, sig ORDER BY iteration, rank) AS n FROM r WHERE sig <> '') WHERE n = 1),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY iteration, rank) AS position FROM fst) WHERE position <= 15)"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import py_strip
+from quernstone.session import stored
 
 _NODE = "id: string, type: string, title: string, full_text: string, content: string, number: int, page: int, page_range: array<int>, chapter: string, parent_id: string"
 _CLAUSE = "array<struct<id: string, title: string, full_text: string, content: string>>"
@@ -39,9 +40,9 @@ def parse_extraction(raw: DataFrame) -> dict[str, DataFrame]:
     """Typed tables from (doc_id, json) rows, one document each.
 
     The structure is looked for under its two names, then at the top level. Body text may be
-    called full_text or content.
+    called full_text or content. Each document is parsed once and kept in columns, of which a table reads its own.
     """
-    d = raw.select("doc_id", F.from_json("json", "struct<" + EXTRACTION_SCHEMA + ">").alias("j")).select("doc_id", "j.*")
+    d = stored(raw.select("doc_id", F.from_json("json", "struct<" + EXTRACTION_SCHEMA + ">").alias("j")).select("doc_id", "j.*"), "extraction")
     part = lambda c: F.coalesce(F.col(f"stage1_structure.{c}"), F.col(f"structure.{c}"), F.col(c))
     # A relation at the top level is a structural one if it names a source and target.
     loose = F.transform(
@@ -77,8 +78,14 @@ def parse_extraction(raw: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def read_extraction(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Extraction files, one JSON document per file; the file's stem is the document id."""
+def read_extraction(spark: SparkSession, path: str, lines: bool = False, id_type: str = "string") -> dict[str, DataFrame]:
+    """Extraction files, one JSON document per file; the file's stem is the document id.
+
+    With ``lines`` a file holds a document on every line, which says its ``doc_id`` itself.
+    """
+    if lines:
+        rows = spark.read.text(path).select(F.get_json_object("value", "$.doc_id").cast(id_type).alias("doc_id"), F.col("value").alias("json"))
+        return parse_extraction(rows)
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
     # The reader splits no file, so each is one row whatever their number.
     files = spark.read.text(path, wholetext=True).select(F.url_decode(stem).alias("doc_id"), F.col("value").alias("json"))
@@ -90,15 +97,6 @@ def read_rules_csv(spark: SparkSession, path: str, schema: str = RULES_SCHEMA) -
     return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', comment="#", encoding="UTF-8")
 
 
-def parse_rules(lines: DataFrame, schema: str = RULES_SCHEMA, value: str = "value") -> DataFrame:
-    """Rule rows of CSV lines held in a column; comments and blank lines are skipped."""
-    v = F.col(value)
-    kept = lines.filter(~v.startswith("#") & (F.trim(v) != ""))
-    return kept.select(*[c for c in lines.columns if c != value], F.from_csv(v, schema, {"quote": '"', "escape": '"'}).alias("r")).select(
-        *[c for c in lines.columns if c != value], "r.*"
-    )
-
-
 def parse_crawled(pages: DataFrame, value: str = "value") -> DataFrame:
     """url, title, crawled_at, declared_len and body of crawled text with a header and a rule of 100 '='."""
     v = F.col(value)
@@ -111,9 +109,14 @@ def parse_crawled(pages: DataFrame, value: str = "value") -> DataFrame:
     })
 
 
-def read_crawled_text(spark: SparkSession, path: str) -> DataFrame:
-    """Crawled text files, one page per file."""
-    return parse_crawled(spark.read.text(path, wholetext=True)).drop("value")
+#: Ends a page where a file holds many.
+PAGE_END = "\x1e"
+
+
+def read_crawled_text(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """Crawled text files, one page per file, or ``many`` in a file, each ended by ``PAGE_END``."""
+    raw = spark.read.text(path, lineSep=PAGE_END) if many else spark.read.text(path, wholetext=True)
+    return parse_crawled(raw).drop("value")
 
 
 def read_chunks(
@@ -139,3 +142,10 @@ def read_graph(spark: SparkSession, nodes_path: str, edges_path: str, fmt: str =
     return spark.read.format(fmt).load(nodes_path), spark.read.format(fmt).load(edges_path)
 
 
+def read_extraction_result(spark: SparkSession, path: str, section: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parts, summary) as ``write_extraction_result`` stores them; one section reads its own folders alone."""
+    parts = spark.read.schema("doc_id string, json string, bucket int, section string").json(f"{path}/parts")
+    summary = spark.read.schema(
+        "doc_id string, total_structural_nodes long, total_structural_relations long, total_semantic_entities long, total_semantic_relations long"
+    ).json(f"{path}/summary")
+    return parts if section is None else parts.filter(F.col("section") == section), summary

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators.vector import embed_batch
 
+SECTIONS = ("nodes", "structural_relations", "entities", "relations")
 # What the keyword index stores where a field is missing.
 KEYWORD_DEFAULTS = {"title": "", "doc_type": "document", "faculty": "general", "subject": "", "language": "vi"}
 
@@ -138,7 +139,7 @@ def extraction_result(
     A document is one folder of JSON lines, a line per node, edge, entity or relation with
     its section, so no document has to fit into a single row.
     """
-    sections = {"nodes": nodes, "structural_relations": edges, "entities": entities, "relations": relations}
+    sections = dict(zip(SECTIONS, (nodes, edges, entities, relations)))
     parts = None
     for name, df in sections.items():
         body = df.select("doc_id", F.lit(name).alias("section"), F.to_json(F.struct(*[c for c in df.columns if c != "doc_id"])).alias("json"))
@@ -150,8 +151,10 @@ def extraction_result(
     return parts, summary
 
 
-def write_extraction_result(parts: DataFrame, summary: DataFrame, path: str) -> None:
-    parts.write.mode("overwrite").partitionBy("doc_id", "section").text(f"{path}/parts")
+def write_extraction_result(parts: DataFrame, summary: DataFrame, path: str, buckets: int = 64) -> None:
+    """Parts as JSON lines by a hash bucket of the document and by section, so that folders do not grow with the documents; summary rows beside them."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    parts.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket", "section").json(f"{path}/parts")
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 

@@ -67,6 +67,29 @@ def test_extraction_result_written(spark, tmp_path):
     n = spark.createDataFrame([("d", "a")], "doc_id string, id string")
     parts, summary = W.extraction_result(n, n, n, n.limit(0))
     W.write_extraction_result(parts, summary, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out/parts")).count() == 3
+    got, back = R.read_extraction_result(spark, str(tmp_path / "out"))
+    assert got.count() == 3 and back.first().total_structural_nodes == 1
+    nodes, _ = R.read_extraction_result(spark, str(tmp_path / "out"), "nodes")
+    assert [(r.doc_id, json.loads(r.json)) for r in nodes.collect()] == [("d", {"id": "a"})]
+    assert "PartitionFilters: [isnotnull(section" in nodes._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(500).select(F.col("id").cast("string").alias("doc_id"), F.lit("x").alias("id"))
+    W.write_extraction_result(*W.extraction_result(many, many, many, many), str(tmp_path / "many"), buckets=8)
+    assert len([p for p in (tmp_path / "many/parts").iterdir() if p.is_dir()]) == 8
     assert spark.read.json(str(tmp_path / "out/summary")).first().total_semantic_entities == 1
     assert summary.select(F.sum("total_structural_nodes")).first()[0] == 1
+
+
+def test_extraction_lines_are_parsed_once(spark, tmp_path):
+    docs = [{"doc_id": i, "structure": {"articles": [{"id": f"a{i}", "title": "T", "content": "x" * i}]}} for i in range(30)] + [{"doc_id": 99}]
+    (tmp_path / "all.json").write_text("\n".join(json.dumps(d) for d in docs), encoding="utf-8")
+    t = R.read_extraction(spark, str(tmp_path), lines=True, id_type="long")
+    assert {(r.doc_id, r.id, len(r.full_text)) for r in t["nodes"].collect()} == {(i, f"a{i}", i) for i in range(30)}
+    plan = t["edges"]._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "full_text" not in plan
+
+
+def test_many_pages_in_a_file(spark, tmp_path):
+    pages = [f"URL: https://example.org/{i}\nTitle: T{i}\nCrawled: 2025-10-13T20:48:47\nLength: 1,000 characters\n" + "=" * 100 + f"\n\nBody {i}\nmore\n" for i in range(5)]
+    (tmp_path / "p.txt").write_text(R.PAGE_END.join(pages), encoding="utf-8")
+    got = {r.url: (r.title, r.declared_len, r.body) for r in R.read_crawled_text(spark, str(tmp_path), many=True).collect()}
+    assert got == {f"https://example.org/{i}": (f"T{i}", 1000, f"Body {i}\nmore") for i in range(5)}
