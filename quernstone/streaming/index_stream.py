@@ -1,59 +1,73 @@
-"""Streaming upserts and deletes of chunks."""
+"""Streaming upserts and deletes of chunks into a plain table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.session import stored
 from quernstone.sources.writers import keyword_rows
 
 KEYS = ["doc_id", "chunk_id"]
 
 
 class ChunkTable:
-    """A chunk table kept as the changes of each micro-batch; the newest change of a chunk counts.
+    """A parquet table of chunks in hash partitions of the document; a micro-batch rewrites the partitions it touches.
 
-    A batch writes its own rows only, to a folder named after the query and the batch. A replayed batch replaces its own folder; a
-    query with a new checkpoint has a new name, so nothing is lost. A log grown long is cut by writing ``read()`` to a new table.
+    What counts is the rows' own ``ord``: a row takes the place of one with a smaller ``ord``, and a delete takes out what has no larger one. Both
+    are remembered (a delete as a row without a chunk), so a change that comes late or again changes nothing that is newer. One
+    query writes to a table at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 32):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
-    def _write(self, rows: DataFrame, kind: str, source: str, batch_id: int) -> None:
-        if not rows.isEmpty():
-            rows.withColumn("changed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{self.folder}/{kind}/source={source}/batch={batch_id}")
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id")), F.lit(self.buckets)).cast("int")
 
-    def upsert(self, batch: DataFrame, batch_id: int, source: str) -> None:
-        """Add one micro-batch of chunks, one row per key."""
-        self._write(keyword_rows(batch)[0].drop("created_at", "updated_at"), "rows", source, batch_id)
-
-    def delete(self, docs: DataFrame, batch_id: int, source: str) -> None:
-        """Add one micro-batch of documents whose chunks of until now go."""
-        self._write(docs.select("doc_id").distinct(), "deletes", source, batch_id)
-
-    def _changes(self, kind: str) -> DataFrame | None:
-        path = f"{self.folder}/{kind}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+    def _stored(self) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
         # Later batches may have more columns.
-        changes = self.spark.read.option("mergeSchema", "true").parquet(path)
-        return changes.withColumn("at", F.struct("changed_at", "batch")).drop("source", "batch", "changed_at")
+        return self.spark.read.option("mergeSchema", "true").parquet(self.folder)
+
+    def _apply(self, changes: DataFrame) -> None:
+        """Merge ``changes``, at most one row per chunk and one per deleted document, into their partitions."""
+        changes = changes.withColumn("part", self._part())
+        # At most as many numbers as there are partitions.
+        touched = sorted(r.part for r in changes.select("part").distinct().collect())
+        if not touched:
+            return
+        now = F.current_timestamp()
+        new = changes.withColumns({"created_at": now, "updated_at": now, "state": F.lit("created"), "incoming": F.lit(True)})
+        old = self._stored()
+        both = new if old is None else new.unionByName(old.filter(F.col("part").isin(touched)).withColumn("incoming", F.lit(False)), allowMissingColumns=True)
+        gone = both.filter("chunk_id is null").groupBy("doc_id").agg(F.max("ord").alias("gone"))
+        alive = both.join(gone, "doc_id", "left").filter("chunk_id is null or gone is null or ord > gone").drop("gone")
+        rest = [c for c in alive.columns if c not in KEYS]
+        # Of equal ord the stored row stays.
+        newest = alive.groupBy(*KEYS).agg(
+            F.max_by(F.struct(*rest), F.struct("ord", ~F.col("incoming"))).alias("r"), F.min("created_at").alias("_first"), F.count_if(~F.col("incoming")).alias("_old"))
+        state = F.when(F.col("incoming") & (F.col("_old") > 0), "updated").otherwise(F.col("state"))
+        merged = newest.select(*KEYS, "r.*", "_first", "_old").withColumns({"state": state, "created_at": F.col("_first")}).drop("_first", "_old", "incoming")
+        # Written aside first, since the partitions that are replaced are read here.
+        aside = stored(merged, "touched")
+        aside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.folder)
+
+    def upsert(self, batch: DataFrame) -> None:
+        """Take in chunks, one row per key, with an ``ord``."""
+        self._apply(keyword_rows(batch)[0].drop("created_at", "updated_at"))
+
+    def delete(self, docs: DataFrame) -> None:
+        """Take out the documents' chunks of no larger ``ord``; ``docs``: (doc_id, ord)."""
+        last = docs.groupBy("doc_id").agg(F.max("ord").alias("ord"))
+        self._apply(last.select("doc_id", F.lit(None).cast("string").alias("chunk_id"), "ord"))
 
     def read(self) -> DataFrame | None:
-        """The newest row of every chunk, ``created_at`` and ``updated_at``, and whether the chunk was written once or more; None without any batch."""
-        rows, deletes = self._changes("rows"), self._changes("deletes")
-        if rows is None:
-            return None
-        if deletes is not None:
-            gone = deletes.groupBy("doc_id").agg(F.max("at").alias("gone"))
-            rows = rows.join(gone, "doc_id", "left").filter(F.col("gone").isNull() | (F.col("at") > F.col("gone"))).drop("gone")
-        rest = [c for c in rows.columns if c not in {*KEYS, "at"}]
-        newest = rows.groupBy(*KEYS).agg(
-            F.max_by(F.struct(*rest), "at").alias("r"), F.min("at.changed_at").alias("created_at"), F.max("at.changed_at").alias("updated_at"), F.count("*").alias("n"))
-        state = F.when(F.col("n") > 1, "updated").otherwise("created").alias("state")
-        return newest.select(*KEYS, "r.*", "created_at", "updated_at", state)
+        """The newest row of every chunk, ``created_at`` and ``updated_at``, and whether it took another's place; None before the first batch."""
+        rows = self._stored()
+        return None if rows is None else rows.filter("chunk_id is not null").drop("part")
 
 
 def latest_rows(batch: DataFrame) -> DataFrame:
@@ -62,13 +76,8 @@ def latest_rows(batch: DataFrame) -> DataFrame:
     return batch.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "ord").alias("r")).select(*KEYS, "r.*")
 
 
-def _name(batch: DataFrame) -> str:
-    """The name a query keeps for as long as its checkpoint lives."""
-    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-
-
 def stream_index_upserts(chunks: DataFrame, table: ChunkTable, checkpoint: str, counts: list | None = None):
-    """Start the query that upserts a stream of chunks; call ``awaitTermination`` on the result.
+    """Start the query that upserts a stream of chunks with an ``ord``; call ``awaitTermination`` on the result.
 
     ``counts`` collects (batch, ok, failed): rows with a key and a text, and the others.
     """
@@ -78,15 +87,15 @@ def stream_index_upserts(chunks: DataFrame, table: ChunkTable, checkpoint: str,
         if counts is not None:
             row = batch.agg(F.count(F.when(good, 1)), F.count(F.when(~good, 1))).first()
             counts.append((batch_id, row[0], row[1]))
-        table.upsert(latest_rows(batch.filter(good)).drop("ord"), batch_id, _name(batch))
+        table.upsert(latest_rows(batch.filter(good)))
 
     return chunks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_index_deletes(docs: DataFrame, table: ChunkTable, checkpoint: str):
-    """Start the query that deletes the chunks of a stream of documents; later upserts of a document stay."""
+    """Start the query that deletes the chunks of a stream of documents (doc_id, ord); upserts of a larger ``ord`` stay."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        table.delete(batch.filter("doc_id IS NOT NULL"), batch_id, _name(batch))
+        table.delete(batch.filter("doc_id IS NOT NULL"))
 
     return docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -67,11 +67,14 @@ def test_stream_upserts(spark):
     assert {k: v[0] for k, v in got.items()} == {(1, "a"): "v3", (2, "b"): "x", (4, "d"): "y"}
     assert sorted(c[1:] for c in counts) == [(2, 1), (3, 0)] and got[1, "a"][1] == "updated"
     # A new checkpoint over the same table, here of deletes and then of chunks, loses nothing.
-    spark.createDataFrame([(1, None, None, 1), (None, "a", "x", 2)], schema).write.parquet(f"{folder}/gone")
+    spark.createDataFrame([(1, None, None, 10), (None, "a", "x", 11)], schema).write.parquet(f"{folder}/gone")
     docs = spark.readStream.schema(schema).parquet(f"{folder}/gone")
     assert stream_index_deletes(docs, store, f"{folder}/deletes").awaitTermination(120)
     assert {r.doc_id for r in ChunkTable(spark, f"{folder}/table").read().collect()} == {2, 4}
-    spark.createDataFrame([(9, "z", "late", 1, "law"), (1, "a", "back", 2, None)], schema + ", faculty string").coalesce(1).write.parquet(f"{folder}/more")
+    # The first feed once more, under a new checkpoint: what was deleted stays deleted, and no state changes.
+    assert stream_index_upserts(stream, store, f"{folder}/again").awaitTermination(120)
+    assert {(r.doc_id, r.text, r.state) for r in store.read().collect()} == {(2, "x", "created"), (4, "y", "created")}
+    spark.createDataFrame([(9, "z", "late", 1, "law"), (1, "a", "back", 20, None), (1, "e", "too old", 9, None)], schema + ", faculty string").coalesce(1).write.parquet(f"{folder}/more")
     more = spark.readStream.schema(schema + ", faculty string").parquet(f"{folder}/more")
     assert stream_index_upserts(more, store, f"{folder}/ckpt2").awaitTermination(120)
     left = {(r.doc_id, r.chunk_id): (r.text, r.faculty, r.state) for r in ChunkTable(spark, f"{folder}/table").read().collect()}
@@ -79,3 +82,20 @@ def test_stream_upserts(spark):
         (2, "b"): ("x", "general", "created"), (4, "d"): ("y", "general", "created"), (9, "z"): ("late", "law", "created"), (1, "a"): ("back", "general", "created"),
     }
     assert ChunkTable(spark, f"{folder}/none").read() is None
+
+
+def test_a_batch_rewrites_only_the_partitions_it_touches(spark, tmp_path):
+    store = ChunkTable(spark, str(tmp_path / "t"), buckets=8)
+    rows = lambda ids, ord: spark.createDataFrame([(i, "c", f"t{ord}", ord) for i in ids], "doc_id long, chunk_id string, text string, ord long")
+    store.upsert(rows(range(100), 1))
+    files = lambda: {p.parent.name: {q.name for q in p.parent.glob("*.parquet")} for p in (tmp_path / "t").glob("part=*/*.parquet")}
+    before = files()
+    store.upsert(rows([7], 2))
+    after = files()
+    assert len(before) == 8 and sum(before[k] != after[k] for k in before) == 1
+    store.delete(spark.createDataFrame([(i, 5) for i in range(100)], "doc_id long, ord long"))
+    assert store.read().count() == 0 and len(files()) == 8
+    store.upsert(rows([3, 4], 5))
+    assert store.read().count() == 0
+    store.upsert(rows([3], 6))
+    assert [(r.doc_id, r.text, r.state) for r in store.read().collect()] == [(3, "t6", "created")]
