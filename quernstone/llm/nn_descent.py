@@ -35,7 +35,8 @@ from quernstone.session import stored
 
 ORDERS = 4
 BLOCK = 256
-PLACE = 8192
+#: Nodes of a place: the fewest, while there are tasks left, and the most.
+PLACE = (1024, 8192)
 PLANES = 48
 AT_ONCE = 64
 CUT_LINEAGE = 4
@@ -229,13 +230,13 @@ def _opened(degree: int, places: int):
 
 def _gathered(blocks: Iterator[Block]) -> tuple:
     """(place, state, columns of the messages) of one place."""
-    here, state, sent = None, None, []
+    here, state, come = None, None, []
     for at, block in blocks:
         if block[0] == "own":
             here, state = at, block[1:]
-        else:
-            sent.append(block[1:])
-    return here, state, [np.concatenate(x) for x in zip(*sent)]
+        elif block[0] == "come":
+            come.append(block[1:])
+    return here, state, [np.concatenate(x) for x in zip(*come)]
 
 
 def _introduced(places: int):
@@ -360,7 +361,7 @@ def _changes(block: Block) -> int:
     return block[1][1] if block[1][0] == "changed" else 0
 
 
-def build_graph(vectors: DataFrame, degree: int = 32, max_rounds: int = 12, least_change: float = 0.01, answers: int = 5, entries: int = 16) -> Graph:
+def build_graph(vectors: DataFrame, degree: int = 32, max_rounds: int = 12, least_change: float = 0.02, answers: int = 5, entries: int = 16) -> Graph:
     """The neighbour graph of ``vectors(vec_id, embedding)`` for searches of at most ``answers`` results.
 
     Rounds end when less than ``least_change`` of all entries change, or after ``max_rounds``. ``entries`` nodes,
@@ -372,7 +373,7 @@ def build_graph(vectors: DataFrame, degree: int = 32, max_rounds: int = 12, leas
     spark = vectors.sparkSession
     nodes, width = _nodes(vectors, answers)
     n = nodes.count()
-    places = max(shuffle_parts(vectors), -(-n // PLACE))
+    places = max(1, min(-(-n // PLACE[0]), max(shuffle_parts(vectors), -(-n // PLACE[1]))))
     links = f"neighbours_{uuid.uuid4().hex}"
     schema = "node long, others binary, codes binary, scales binary"
     if not n:

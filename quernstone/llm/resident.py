@@ -36,15 +36,13 @@ def kept(state: RDD) -> RDD:
     return state.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _stays(block: Block) -> bool:
-    return block[1][0] == "own"
-
-
 def _sent(blocks: Iterator[Block]) -> Iterator[Block]:
-    return (block for block in blocks if block[1][0] == "sent")
+    return ((place, ("come", *block[1:])) for place, block in blocks if block[0] == "sent")
 
 
 def next_step(done: RDD, step: Step) -> RDD:
-    """``step`` over what the last one left of kind ``own``, which stays, and of kind ``sent``, which is dealt."""
-    # Not a filter: that would keep the partitioner, and what seems to be dealt already is not moved.
-    return kept(beside(done.filter(_stays), done.mapPartitions(_sent)).mapPartitions(step, preservesPartitioning=True))
+    """``step`` over the blocks that the last one left at a place and those that were sent there.
+
+    Blocks of kind ``sent`` arrive as ``come``. A place still sees what it sent itself, which spares a pass of its own over the blocks that stay.
+    """
+    return kept(beside(done, done.mapPartitions(_sent)).mapPartitions(step, preservesPartitioning=True))
