@@ -106,44 +106,52 @@ def ratio(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def similar_pairs(names: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+#: Rows of one piece that meet in one task.
+PIECE_ROWS = 1000
+
+
+def similar_pairs(names: DataFrame, threshold: float = FUZZY_THRESHOLD, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(type, a, b) with a < b: distinct names whose ratio reaches ``threshold``.
 
-    A ratio of t leaves at most d = (1 - t) * length edits. Of d + 1 pieces of one name at
-    least one occurs unchanged in the other, shifted by at most d, so an equality join on
-    (piece, its number, both lengths) finds every pair; only those are compared. ``names``:
-    (type, name), each once.
+    A ratio of t leaves at most d = (1 - t) * length edits. Of 2 * (d + 1) pieces of one name at least d + 2 occur unchanged in the
+    other, shifted by at most d, so among any d + 1 of them there is one that does: the rarest are taken, counted over
+    all names, and a prefix that many names share is left alone where the rest tells them apart. An equality join on (piece, its number, both lengths) finds every
+    pair; only those are compared. A piece of many names is dealt to several tasks. ``names``: (type, name), each once.
     """
     slack = 1.0 - threshold
-    edits = F.floor(F.col("n") * F.lit(slack) + F.lit(1e-9)).cast("int")
-    base = names.select("type", "name", F.length("name").alias("n")).filter("n > 0").withColumn("d", edits)
-    # The longer name is cut; the shorter is probed. Piece p of a name of n characters
-    # covers [p*n/(d+1), (p+1)*n/(d+1)).
-    cut = base.select(
-        "type", F.col("name").alias("long"), F.col("n").alias("ln"), F.col("d"),
-        F.explode(F.sequence(F.lit(0), F.col("d"))).alias("p"),
-    ).withColumns({
-        "at": F.floor(F.col("p") * F.col("ln") / (F.col("d") + 1)).cast("int"),
-        "to": F.floor((F.col("p") + 1) * F.col("ln") / (F.col("d") + 1)).cast("int"),
-    }).withColumn("piece", F.col("long").substr(F.col("at") + 1, F.col("to") - F.col("at")))
+    edits = lambda n: F.floor(F.col(n) * F.lit(slack) + F.lit(1e-9)).cast("int")
+    # A name too short for so many pieces is cut into d + 1, all of which are taken.
+    many = lambda n: F.when(F.col(n) >= 4 * (F.col("d") + 1), 2 * (F.col("d") + 1)).otherwise(F.col("d") + 1)
+    place = lambda n: {
+        "at": F.floor(F.col("p") * F.col(n) / F.col("k")).cast("int"), "to": F.floor((F.col("p") + 1) * F.col(n) / F.col("k")).cast("int"),
+    }
+    base = names.select("type", "name", F.length("name").alias("n")).filter("n > 0")
+    # The longer name is cut; the shorter is probed. Piece p of k of a name of n characters covers [p*n/k, (p+1)*n/k).
+    cut = (
+        base.select("type", F.col("name").alias("long"), F.col("n").alias("ln")).withColumn("d", edits("ln")).withColumn("k", many("ln"))
+        .withColumn("p", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns(place("ln"))
+        .withColumn("piece", F.col("long").substr(F.col("at") + 1, F.col("to") - F.col("at"))).select("type", "long", "ln", "d", "p", "piece")
+    )
+    key = ["type", "ln", "p", "piece"]
+    counts = cut.groupBy(*key).agg(F.count("*").alias("c"))
+    # A name has a few pieces, of which the rarest are kept.
+    rare = cut.join(counts, key).groupBy("type", "long", "ln", "d").agg(F.array_sort(F.collect_list(F.struct("c", "p", "piece"))).alias("ps"))
+    taken = rare.select("type", "long", "ln", F.explode(F.slice("ps", F.lit(1), F.col("d") + 1)).alias("x")).select("type", "long", "ln", "x.p", "x.piece")
+    spread = taken.groupBy(*key).agg(F.ceil(F.count("*") / piece_rows).cast("int").alias("parts"))
     # A shorter name of m characters can meet longer ones of m .. m / threshold characters.
     probe = (
         base.select("type", F.col("name").alias("short"), F.col("n").alias("m"))
         .withColumn("ln", F.explode(F.sequence(F.col("m"), F.floor(F.col("m") / F.lit(threshold) + F.lit(1e-9)).cast("int"))))
-        .withColumn("d", F.floor(F.col("ln") * F.lit(slack) + F.lit(1e-9)).cast("int"))
-        .withColumn("p", F.explode(F.sequence(F.lit(0), F.col("d"))))
-        .withColumns({
-            "at": F.floor(F.col("p") * F.col("ln") / (F.col("d") + 1)).cast("int"),
-            "to": F.floor((F.col("p") + 1) * F.col("ln") / (F.col("d") + 1)).cast("int"),
-        })
+        .withColumn("d", edits("ln")).withColumn("k", many("ln"))
+        .withColumn("p", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns(place("ln"))
         .withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d"))))
         .filter((F.col("at") + F.col("shift") >= 0) & (F.col("to") + F.col("shift") <= F.col("m")))
         .withColumn("piece", F.col("short").substr(F.col("at") + F.col("shift") + 1, F.col("to") - F.col("at")))
         .select("type", "short", "ln", "p", "piece").distinct()
     )
-    pairs = probe.join(cut.select("type", "long", "ln", "p", "piece"), ["type", "ln", "p", "piece"]).filter(
-        F.col("short") != F.col("long")
-    )
+    asked = probe.join(spread, key).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = taken.join(spread, key).withColumn("_s", F.pmod(F.xxhash64("long"), F.col("parts")).cast("int"))
+    pairs = asked.drop("parts").join(held.drop("parts"), [*key, "_s"]).filter(F.col("short") != F.col("long"))
     return (
         pairs.select("type", F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
         .filter(ratio(F.col("a"), F.col("b")) >= threshold - 1e-9)
