@@ -589,3 +589,29 @@ def detect_communities(mentions: DataFrame, min_size: int = 2) -> tuple[DataFram
     comp = connected_components(co_mention_edges(mentions)).select(F.col("node").alias("article_id"), F.col("component").alias("community_id"))
     sizes = comp.groupBy("community_id").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
     return comp, sizes
+
+
+def propagate_communities(mentions: DataFrame, rounds: int = 5, scale: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(article -> community, communities by size) by label propagation over shared entities.
+
+    Every article starts as its own community. A round gives each entity the label most of its articles have, then each article the
+    label its entities weigh most for, an entity of n articles weighing ``scale`` div n; the smaller label wins a tie. An entity
+    that very many articles mention weighs next to nothing, so it does not join them; articles are never paired with each other, and a
+    round takes two joins. Returns (article_id, community_id) and (community_id, size).
+    """
+    m = cut_lineage(mentions.select("article_id", "entity_id").distinct())
+    weighed = m.join(m.groupBy("entity_id").agg(F.floor(F.lit(scale) / F.count("*")).alias("w")), "entity_id")
+    labels = m.select("article_id").distinct().withColumn("label", F.col("article_id"))
+    for _ in range(rounds):
+        held = m.join(labels, "article_id").groupBy("entity_id", "label").agg(F.count("*").alias("n"))
+        told = held.groupBy("entity_id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
+        heard = weighed.join(told, "entity_id").groupBy("article_id", "label").agg(F.sum("w").alias("w"))
+        labels = cut_lineage(heard.groupBy("article_id").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")))
+    found = labels.withColumnRenamed("label", "community_id")
+    sizes = found.groupBy("community_id").agg(F.count("*").alias("size"))
+    return found, sizes
+
+
+def largest_communities(sizes: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` largest communities, the smaller name first among equals."""
+    return sizes.orderBy(F.col("size").desc(), "community_id").limit(k)

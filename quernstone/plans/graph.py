@@ -569,3 +569,22 @@ def a18(spark, sf):
         p.select("k", F.concat(F.lit("only-"), F.col("k").cast("string"))))
     comp, _ = G.detect_communities(m)
     return p.select(F.col("k").alias("article_id")).join(comp, "article_id", "left").withColumn("community_id", F.coalesce("community_id", "article_id"))
+
+
+def _propagated(rounds: int = 5) -> str:
+    steps = ["m AS MATERIALIZED (SELECT DISTINCT article_id, entity_id FROM ment)", "wt AS MATERIALIZED (SELECT entity_id, 1000000 // count(*) AS w FROM m GROUP BY ALL)",
+             "l0 AS MATERIALIZED (SELECT DISTINCT article_id, article_id AS label FROM m)"]
+    for k in range(rounds):
+        steps.append(f"""t{k} AS MATERIALIZED (SELECT entity_id, label FROM (SELECT entity_id, label, count(*) AS n FROM m JOIN l{k} USING (article_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, label) = 1),
+    l{k + 1} AS MATERIALIZED (SELECT article_id, label FROM (SELECT article_id, label, sum(w) AS w FROM m JOIN wt USING (entity_id) JOIN t{k} USING (entity_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY w DESC, label) = 1)""")
+    return ",\n    ".join(steps)
+
+
+@query("a18_propagated_communities", f"WITH {MENTIONS}, {_propagated()} SELECT article_id, label AS community_id FROM l5")
+def a18_propagated(spark, sf):
+    return G.propagate_communities(word_mentions(spark, sf))[0]
+
+
+@query("a18_largest_communities", f"WITH {MENTIONS}, {_propagated()} SELECT label AS community_id, count(*) AS size FROM l5 GROUP BY ALL ORDER BY size DESC, community_id LIMIT 10")
+def a18_largest(spark, sf):
+    return G.largest_communities(G.propagate_communities(word_mentions(spark, sf))[1])

@@ -194,3 +194,23 @@ def test_bit_search_from_and_to_a_hub(spark):
     words = R.reach_bits(R.numbered_starts(starts), edges, 2)
     assert words.filter("id = 0").count() <= 1 + 2 * (1000 // 64 + 8)
     assert R.traverse_counts(starts.limit(0), edges).collect() == []
+
+
+def test_a_common_entity_does_not_join_communities(spark):
+    groups = [(a, f"e{a // 10}_{k}") for a in range(60) for k in range(3)]
+    m = spark.createDataFrame(groups + [(a, "common") for a in range(60)], "article_id long, entity_id string")
+    found, sizes = G.propagate_communities(m)
+    assert {r.article_id: r.community_id for r in found.collect()} == {a: a // 10 * 10 for a in range(60)}
+    assert [(r.community_id, r["size"]) for r in G.largest_communities(sizes, 2).collect()] == [(0, 10), (10, 10)]
+    joined, _ = G.detect_communities(m)
+    assert {r.community_id for r in joined.collect()} == {0}
+
+
+def test_similar_names_with_one_long_prefix(spark):
+    rnd = random.Random(4)
+    names = sorted({"department of applied science and " + "".join(rnd.choices("abcdefgh", k=14)) for _ in range(150)})
+    names += [n[:-1] + "z" for n in names[:20]]
+    df = spark.createDataFrame([("t", n) for n in sorted(set(names))], "type string, name string")
+    for t in (0.9, 0.95):
+        got = {(r.a, r.b) for r in B.similar_pairs(df, t, piece_rows=5).collect()}
+        assert got == {(r.a, r.b) for r in df.select(F.col("name").alias("a")).crossJoin(df.select(F.col("name").alias("b"))).filter("a < b").filter(B.ratio(F.col("a"), F.col("b")) >= t - 1e-9).collect()}
