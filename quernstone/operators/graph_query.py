@@ -6,6 +6,7 @@ pattern matching over a property graph; nodes may repeat.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -189,12 +190,31 @@ def shortest_path(
 
 
 def all_paths(pairs: DataFrame, edges: DataFrame, types: list[str] | None = None, max_hops: int = 3, limit: int = 10) -> DataFrame:
-    """Up to ``limit`` paths per pair, the shortest first, then by node order."""
-    starts = pairs.select(F.col("src").alias("id")).distinct()
-    paths = expand_paths(starts, _typed(edges, types), max_hops)
-    wanted = pairs.select(F.col("src").alias("start"), F.col("dst").alias("end")).distinct()
-    hits = paths.join(wanted, ["start", "end"])
-    return top_k(hits, ["start", "end"], [F.col("hops"), F.col("path")], limit)
+    """Up to ``limit`` paths per pair, the shortest first, then by node order; no edge is used twice.
+
+    How far every node is from a target is found first, once for all pairs of that target. A path then takes only steps from which its
+    target can still be reached, so what is expanded follows the paths that are found, whatever hangs on the nodes between.
+    """
+    typed = _typed(edges, types)
+    todo = pairs.select("src", "dst").distinct()
+    left = cut_lineage(reach(todo.select(F.col("dst").alias("id")).distinct(), typed, max_hops - 1, "in")).select(
+        F.col("start").alias("goal"), F.col("id").alias("to"), F.col("hops").alias("left"))
+    steps = _steps(typed, "out").select("at", "to", F.struct("src", "dst", "type").alias("edge")).distinct()
+    front = todo.select(F.col("src").alias("start"), F.col("dst").alias("goal"), F.col("src").alias("end"), F.array("src").alias("path"), F.expr("cast(null as array<string>)").alias("used"))
+    found = []
+    for hop in range(1, max_hops + 1):
+        nxt = front.join(steps, front["end"] == steps["at"])
+        own = F.array("edge")
+        if hop > 1:
+            nxt = nxt.filter(~F.array_contains("used", F.col("edge")))
+            own = F.concat("used", own)
+        nxt = nxt.select("start", "goal", "to", F.concat("path", F.array("to")).alias("path"), own.alias("used"))
+        nxt = nxt.join(left, ["goal", "to"]).filter(F.col("left") <= max_hops - hop)
+        front = cut_lineage(nxt.select("start", "goal", F.col("to").alias("end"), "path", "used"))
+        found.append(front.filter(F.col("end") == F.col("goal")).select("start", "end", "path", F.lit(hop).alias("hops")))
+        if front.isEmpty():
+            break
+    return top_k(reduce(DataFrame.unionByName, found), ["start", "end"], [F.col("hops"), F.col("path")], limit)
 
 
 def subgraph(centers: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1, labels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

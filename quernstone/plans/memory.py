@@ -9,7 +9,7 @@ from quernstone.plans.bindings import table
 from quernstone.plans.registry import query
 from quernstone.session import shared_folder
 from quernstone.streaming.index_stream import ChunkTable, stream_index_deletes, stream_index_upserts
-from quernstone.streaming.memory_stream import stream_session_memory
+from quernstone.streaming.memory_stream import WindowTable, stream_session_memory
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
 LIMIT = 3
@@ -86,14 +86,10 @@ def w07(spark, sf):
     folder = shared_folder(spark, "memory")
     msgs = _messages(_stream(spark, sf, "conversations"))
 
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-
-    run = stream_session_memory(msgs, LIMIT).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+    store = WindowTable(spark, f"{folder}/windows")
+    run = stream_session_memory(msgs, LIMIT).writeStream.outputMode("update").foreachBatch(store.take).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
-    last = out.groupBy("session_id").agg(F.max("version").alias("version"))
-    return out.join(last, ["session_id", "version"]).select("session_id", "seq", "role")
+    return store.read().select("session_id", "seq", "role")
 
 
 # Two feeds of chunks, one after the other, and the documents that are deleted between them.

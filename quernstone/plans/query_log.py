@@ -385,8 +385,8 @@ def p25(spark, sf):
     st2 AS (SELECT st.* FROM st JOIN cs USING (code)),
     w1 AS (SELECT query_id, code, concepts, src AS a, [src, code] AS path FROM st2 JOIN e ON dst = code),
     w2 AS (SELECT query_id, code, concepts, e.src AS a, list_prepend(e.src, path) AS path FROM w1 JOIN e ON e.dst = w1.a),
-    w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2), n AS (SELECT query_id, count(*) AS n, bool_or(len(concepts) = 0) AS free FROM w GROUP BY ALL)
-    SELECT a.query_id, len({CODES}) > 0 AS has_start, coalesce(n.n, 0) AS n_found, CASE WHEN n.n > 0 AND free THEN 0.85 WHEN n.n > 0 THEN 0.7 WHEN EXISTS (SELECT 1 FROM st2 s WHERE s.query_id = a.query_id) THEN 0.4 ELSE 0.3 END::DOUBLE AS confidence
+    w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2), n AS (SELECT query_id, count(*) AS n, count(*) FILTER (len(concepts) = 0 OR len(list_filter(concepts, lambda c: contains(lower('môn ' || array_to_string(path, chr(10) || 'môn ')), lower(c)))) > 0) AS kept FROM w GROUP BY ALL)
+    SELECT a.query_id, len({CODES}) > 0 AS has_start, coalesce(n.n, 0) AS n_found, coalesce(n.kept, 0) AS n_kept, CASE WHEN n.kept > 0 THEN 0.85 WHEN n.n > 0 THEN 0.7 WHEN EXISTS (SELECT 1 FROM st2 s WHERE s.query_id = a.query_id) THEN 0.4 ELSE 0.3 END::DOUBLE AS confidence
     FROM asked a LEFT JOIN n USING (query_id)""",
 )
 def p25b(spark, sf):
@@ -394,4 +394,4 @@ def p25b(spark, sf):
     e = course.select((F.expr("k div 2")).alias("pk"), F.col("code").alias("src")).join(course.select(F.col("k").alias("pk"), F.col("code").alias("dst")), "pk").filter("src <> dst")
     names = course.select("code", F.concat(F.lit("môn "), "code").alias("name"))
     out = P.multi_hop_lookup(asked(spark, sf), e.select("src", "dst", F.lit("PREREQUISITE").alias("type")), names, 2)
-    return out.select("query_id", "has_start", big("n_found"), "confidence")
+    return out.select("query_id", "has_start", big("n_found"), big("n_kept"), "confidence")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators.vector import embed_batch
+from quernstone.session import stored
 
 SECTIONS = ("nodes", "structural_relations", "entities", "relations")
 # What the keyword index stores where a field is missing.
@@ -161,3 +162,20 @@ def write_extraction_result(parts: DataFrame, summary: DataFrame, path: str, buc
 def index_stats(chunks: DataFrame) -> DataFrame:
     """(doc_count, size_in_bytes)."""
     return chunks.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("size_in_bytes"))
+
+
+def replace_partitions(rows: DataFrame, folder: str, part: str = "part") -> None:
+    """Put ``rows`` in place of the partitions of ``folder`` that they belong to; other partitions stay as they are.
+
+    The rows are written aside first, so they may come from the partitions that are replaced, and survive there if the last step fails.
+    """
+    aside = stored(rows, "touched")
+    aside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(folder)
+
+
+def partitioned(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table in ``folder``, None before its first batch. Later batches may have more columns."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.option("mergeSchema", "true").parquet(folder)

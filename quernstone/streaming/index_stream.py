@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.session import stored
-from quernstone.sources.writers import keyword_rows
+from quernstone.sources.writers import keyword_rows, partitioned, replace_partitions
 
 KEYS = ["doc_id", "chunk_id"]
 
@@ -25,13 +24,6 @@ class ChunkTable:
     def _part(self) -> Column:
         return F.pmod(F.xxhash64(F.col("doc_id")), F.lit(self.buckets)).cast("int")
 
-    def _stored(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        # Later batches may have more columns.
-        return self.spark.read.option("mergeSchema", "true").parquet(self.folder)
-
     def _apply(self, changes: DataFrame) -> None:
         """Merge ``changes``, at most one row per chunk and one per deleted document, into their partitions."""
         changes = changes.withColumn("part", self._part())
@@ -41,7 +33,7 @@ class ChunkTable:
             return
         now = F.current_timestamp()
         new = changes.withColumns({"created_at": now, "updated_at": now, "state": F.lit("created"), "incoming": F.lit(True)})
-        old = self._stored()
+        old = partitioned(self.spark, self.folder)
         both = new if old is None else new.unionByName(old.filter(F.col("part").isin(touched)).withColumn("incoming", F.lit(False)), allowMissingColumns=True)
         gone = both.filter("chunk_id is null").groupBy("doc_id").agg(F.max("ord").alias("gone"))
         alive = both.join(gone, "doc_id", "left").filter("chunk_id is null or gone is null or ord > gone").drop("gone")
@@ -51,9 +43,7 @@ class ChunkTable:
             F.max_by(F.struct(*rest), F.struct("ord", ~F.col("incoming"))).alias("r"), F.min("created_at").alias("_first"), F.count_if(~F.col("incoming")).alias("_old"))
         state = F.when(F.col("incoming") & (F.col("_old") > 0), "updated").otherwise(F.col("state"))
         merged = newest.select(*KEYS, "r.*", "_first", "_old").withColumns({"state": state, "created_at": F.col("_first")}).drop("_first", "_old", "incoming")
-        # Written aside first, since the partitions that are replaced are read here.
-        aside = stored(merged, "touched")
-        aside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.folder)
+        replace_partitions(merged, self.folder)
 
     def upsert(self, batch: DataFrame) -> None:
         """Take in chunks, one row per key, with an ``ord``."""
@@ -66,7 +56,7 @@ class ChunkTable:
 
     def read(self) -> DataFrame | None:
         """The newest row of every chunk, ``created_at`` and ``updated_at``, and whether it took another's place; None before the first batch."""
-        rows = self._stored()
+        rows = partitioned(self.spark, self.folder)
         return None if rows is None else rows.filter("chunk_id is not null").drop("part")
 
 

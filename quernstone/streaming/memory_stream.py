@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quernstone.sources.writers import partitioned, replace_partitions
+
 OUT = "session_id long, version long, seq long, role string, content string"
 STATE = "version long, last_ms long, seqs array<long>, roles array<string>, contents array<string>"
 
@@ -54,3 +57,29 @@ def stream_session_memory(messages: DataFrame, limit: int = 20, hours: int = 24)
     return messages.withWatermark("ts", f"{hours} hours").groupBy("session_id").applyInPandasWithState(
         update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
+
+
+class WindowTable:
+    """The current window of every session, in hash partitions; a micro-batch rewrites those it touches, so no older window is kept.
+
+    The window of the highest ``version`` counts, so a batch that comes again changes nothing. One query writes to a table at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 32):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+
+    def take(self, windows: DataFrame, batch_id: int | None = None) -> None:
+        """Put a batch's windows in place; fits ``foreachBatch``."""
+        new = windows.withColumn("part", F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int"))
+        # At most as many numbers as there are partitions.
+        touched = sorted(r.part for r in new.select("part").distinct().collect())
+        if not touched:
+            return
+        old = partitioned(self.spark, self.folder)
+        both = new if old is None else new.unionByName(old.filter(F.col("part").isin(touched)))
+        last = both.groupBy("session_id").agg(F.max("version").alias("version"))
+        replace_partitions(both.join(last, ["session_id", "version"]).distinct(), self.folder)
+
+    def read(self) -> DataFrame | None:
+        rows = partitioned(self.spark, self.folder)
+        return None if rows is None else rows.drop("part")

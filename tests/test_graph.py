@@ -214,3 +214,29 @@ def test_similar_names_with_one_long_prefix(spark):
     for t in (0.9, 0.95):
         got = {(r.a, r.b) for r in B.similar_pairs(df, t, piece_rows=5).collect()}
         assert got == {(r.a, r.b) for r in df.select(F.col("name").alias("a")).crossJoin(df.select(F.col("name").alias("b"))).filter("a < b").filter(B.ratio(F.col("a"), F.col("b")) >= t - 1e-9).collect()}
+
+
+def test_paths_follow_their_target(spark):
+    rnd = random.Random(21)
+    rows = [(rnd.randrange(14), rnd.randrange(14), rnd.choice("ab")) for _ in range(45)]
+    edges = spark.createDataFrame(rows, "src long, dst long, type string")
+    pairs = spark.createDataFrame([(rnd.randrange(14), rnd.randrange(14)) for _ in range(25)] + [(0, 99)], "src long, dst long")
+    wanted = pairs.select(F.col("src").alias("start"), F.col("dst").alias("end")).distinct()
+    plain = G.expand_paths(pairs.select(F.col("src").alias("id")), edges, 3).join(wanted, ["start", "end"])
+    want = {}
+    for r in plain.collect():
+        want.setdefault((r.start, r.end), []).append((r.hops, list(r.path)))
+    got = {}
+    for r in G.all_paths(pairs, edges, None, 3, 6).collect():
+        got.setdefault((r.start, r.end), []).append((r["rank"], r.hops, list(r.path)))
+    assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: sorted(v)[:6] for k, v in want.items()}
+
+
+def test_paths_past_a_hub_expand_only_what_arrives(spark, monkeypatch):
+    sizes = []
+    real = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: sizes.append(real(df).count()) or real(df))
+    edges = spark.range(1000).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit("r").alias("type"))
+    edges = edges.unionByName(spark.createDataFrame([(-2, -1, "r"), (7, 5000, "r")], "src long, dst long, type string"))
+    got = G.all_paths(spark.createDataFrame([(-2, 5000)], "src long, dst long"), edges).collect()
+    assert [list(r.path) for r in got] == [[-2, -1, 7, 5000]] and max(sizes) <= 4

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quernstone.operators import memory as M
 from quernstone.session import shared_folder
 from quernstone.streaming.index_stream import ChunkTable, stream_index_deletes, stream_index_upserts
-from quernstone.streaming.memory_stream import stream_session_memory
+from quernstone.streaming.memory_stream import WindowTable, stream_session_memory
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "session_id long, seq long, role string, content string, ts timestamp"
@@ -41,17 +41,16 @@ def test_stream_equals_batch(spark):
     for i in range(0, len(data), 9):
         spark.createDataFrame(data[i:i + 9], SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    run = (
-        stream_session_memory(stream, 5).writeStream.outputMode("update")
-        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
-        .option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
-    )
+    store = WindowTable(spark, f"{folder}/windows", buckets=4)
+    run = stream_session_memory(stream, 5).writeStream.outputMode("update").foreachBatch(store.take).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
     assert run.awaitTermination(120)
-    out = spark.read.parquet(f"{folder}/out")
-    last = out.join(out.groupBy("session_id").agg(F.max("version").alias("version")), ["session_id", "version"])
-    got = {(r.session_id, r.seq) for r in last.collect()}
-    want = {(r.session_id, r.seq) for r in M.prune_window(spark.createDataFrame(rows(), SCHEMA), 5).collect()}
-    assert got == want
+    got = [(r.session_id, r.seq) for r in store.read().collect()]
+    want = [(r.session_id, r.seq) for r in M.prune_window(spark.createDataFrame(rows(), SCHEMA), 5).collect()]
+    # The table holds the current windows and nothing else, also when a batch comes again.
+    assert sorted(got) == sorted(want)
+    store.take(store.read())
+    store.take(store.read().filter("session_id = 1").withColumn("version", F.lit(0).cast("long")))
+    assert sorted((r.session_id, r.seq) for r in store.read().collect()) == sorted(want)
 
 
 def test_stream_upserts(spark):
