@@ -114,13 +114,21 @@ def rerank(
         scored = pairs.withColumn("rerank_score", overlap_score(F.col("_query"), F.col("text")))
     else:
 
+        def alone(texts: pd.Series) -> pd.Series:
+            try:
+                scores = [float(s) for s in scorer([texts.name] * len(texts), texts.tolist())]
+            except Exception:
+                scores = [None] * len(texts)
+            return pd.Series(scores, index=texts.index, dtype="float64")
+
         @F.pandas_udf("double")
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for q, t in batches:
                 try:
                     yield pd.Series([float(s) for s in scorer(q.tolist(), t.tolist())])
                 except Exception:
-                    yield pd.Series([None] * len(q), dtype="float64")
+                    # One query's rows may be at fault: each query of the batch is tried by itself.
+                    yield t.groupby(q, sort=False, group_keys=False).apply(alone).reindex(t.index)
 
         scored = pairs.withColumn("rerank_score", run("_query", "text"))
     per_query = Window.partitionBy("query_id")

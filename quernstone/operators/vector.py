@@ -15,7 +15,8 @@ from quernstone.functions.text import analyze
 from quernstone.operators.ranking import by_score, top_k
 
 QUERY_ROWS = 4096
-BLOCK_ROWS = 200_000
+#: With as many queries as that, the scores of one block take a quarter of a gigabyte.
+BLOCK_ROWS = 8_192
 DIM = 64
 
 

@@ -369,12 +369,18 @@ def p24(spark, sf):
     w AS (SELECT community_id, size, unnest(list_distinct(list_filter(regexp_split_to_array(lower(full_summary), '\\s+'), lambda x: x <> ''))) AS word, 2 AS points FROM big
       UNION ALL SELECT community_id, size, unnest(list_distinct(regexp_split_to_array(lower(label), '\\s+'))), 3 FROM big),
     sc AS (SELECT query_id, community_id, size, sum(points) AS score FROM (SELECT query_id, unnest(ws) AS word FROM docs) JOIN w USING (word) GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, size DESC, community_id) AS rank FROM sc)
-    SELECT d.doc_id AS query_id, string_agg(community_id, '|' ORDER BY rank) AS communities, CASE WHEN count(community_id) > 0 THEN 0.8 ELSE 0.3 END::DOUBLE AS confidence FROM documents d LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON r.query_id = d.doc_id GROUP BY d.doc_id""",
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, size DESC, community_id) AS rank FROM sc),
+    named AS MATERIALIZED (SELECT d.doc_id AS query_id, d.text, string_agg(community_id, '|' ORDER BY rank) AS communities FROM documents d LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON r.query_id = d.doc_id GROUP BY ALL),
+    queries AS (SELECT query_id, array_to_string({KW3}, ' ') AS text FROM named WHERE communities IS NULL), {_LABELED}, chunks AS (SELECT * FROM nodes),
+    {S.positions('chunks', 'doc_id, chunk_id', ('text',))}, {S.QUERY_FORMS},
+    fall AS (SELECT query_id, least(10, count(DISTINCT chunk_id)) AS n FROM q_terms JOIN postings USING (term) GROUP BY ALL)
+    SELECT n.query_id, communities, coalesce(f.n, 0) AS n_nodes, CASE WHEN communities IS NOT NULL THEN 0.8 WHEN f.n > 0 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM named n LEFT JOIN fall f USING (query_id)""",
 )
 def p25(spark, sf):
     q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
-    return P.global_graph_lookup(q, communities(spark, sf)).select("query_id", "communities", "confidence")
+    p = table(spark, sf, "part")
+    nodes = p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("part").alias("label"), "p_name", "p_type", "p_brand")
+    return P.global_graph_lookup(q, communities(spark, sf), nodes, ["p_name", "p_type", "p_brand"]).select("query_id", "communities", "n_nodes", "confidence")
 
 
 @query(

@@ -122,3 +122,18 @@ def test_requests_with_modes_filters_and_weights(spark):
     # Document frequencies are those of the whole table, so only the rows are compared where scores tie in the same way.
     assert len(plain.collect()) == 4
     assert all(r.original_rank is not None for r in by[3]) and all(r.original_rank is None for r in by[5])
+
+
+def test_a_scorer_that_fails_on_one_query_spares_the_others(spark):
+    def scorer(queries, texts):
+        if "bad" in queries:
+            raise RuntimeError("no score")
+        return [float(len(t)) for t in texts]
+
+    q = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine")], "query_id int, text string")
+    rows = [(i, f"d{k}", "c", "x" * (5 - k if i == 1 else k + 1), k + 1, 1.0 - k / 10) for i in (1, 2, 3) for k in range(3)]
+    h = spark.createDataFrame(rows, "query_id int, doc_id string, chunk_id string, text string, rank int, score double").coalesce(1)
+    got = U.rerank(h, q, None, scorer).collect()
+    by = {i: [r.doc_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] for i in (1, 2, 3)}
+    assert by == {1: ["d0", "d1", "d2"], 2: ["d0", "d1", "d2"], 3: ["d2", "d1", "d0"]}
+    assert all(r.rerank_score is None for r in got if r.query_id == 2) and all(r.rerank_score is not None for r in got if r.query_id != 2)
