@@ -188,9 +188,9 @@ def search(
     if mode in ("vector", "hybrid"):
         qv = query_vectors if query_vectors is not None else embed_batch(queries, ["query_id"], "text", encoder)
         dv = vectors if vectors is not None else embed_batch(chunks, cols, "text", encoder)
-        vec_hits = knn_exact(qv, dv, n, cols)
+        vec_hits = stored(knn_exact(qv, dv, n, cols), "vector_hits")
     if mode in ("bm25", "hybrid"):
-        key_hits = K.bm25_search(queries, chunks, n, index, fuzzy, phrase, keys=keys)
+        key_hits = stored(K.bm25_search(queries, chunks, n, index, fuzzy, phrase, keys=keys), "keyword_hits")
     if mode == "hybrid":
         fuse = rrf if fusion == "rrf" else weighted_fusion
         hits = fuse(vec_hits, key_hits, vector_weight or 0.5, bm25_weight or 0.5, keys=keys).withColumn(
@@ -202,7 +202,7 @@ def search(
         hits = key_hits.withColumn("source_type", F.lit("bm25"))
     if use_rerank or highlight:
         # At most a few dozen candidates per query meet their texts again.
-        hits = hits.join(chunks.select(*cols, "text"), cols)
+        hits = K.with_texts(hits, chunks, keys)
     if use_rerank:
         hits = rerank(hits, queries, 2 * k, scorer, keys)
     if highlight:
@@ -248,9 +248,9 @@ def search_requests(
     # A list of no kind at all would let everything through.
     lets = allowed.groupBy("query_id").agg(F.collect_list(F.coalesce("kind", F.lit(0))).alias("allow"))
     qv = embed_batch(near, ["query_id"], "text", encoder).join(lets, "query_id", "left")
-    vec_hits = cut(knn_exact(qv, vecs, most, cols, filter_col="kind"))
+    vec_hits = stored(cut(knn_exact(qv, vecs, most, cols, filter_col="kind")), "vector_hits")
     index = index or K.build_index(rows, keys=keys, carry=("kind",))
-    key_hits = cut(K.bm25_search(asked.filter("mode <> 'vector'").select("query_id", "text"), rows, most, index, fuzzy, phrase, keys=keys, allowed=allowed))
+    key_hits = stored(cut(K.bm25_search(asked.filter("mode <> 'vector'").select("query_id", "text"), rows, most, index, fuzzy, phrase, keys=keys, allowed=allowed)), "keyword_hits")
 
     part = lambda hits, m: hits.join(asked.filter(F.col("mode") == m).select("query_id"), "query_id", "left_semi")
     plain = ["query_id", *cols, "score", "rank"]
@@ -260,7 +260,7 @@ def search_requests(
     found = part(vec_hits, "vector").select(*plain, F.lit("vector").alias("source_type")).unionByName(
         part(key_hits, "bm25").select(*plain, F.lit("bm25").alias("source_type"))).unionByName(fused)
     # At most a few dozen candidates per query meet their texts again.
-    texts = stored(found.join(chunks.select(*cols, "text"), cols), "found")
+    texts = stored(K.with_texts(found, chunks, keys), "found")
     again = asked.filter("use_rerank").select("query_id", "text")
     ranked = rerank(texts.join(again.select("query_id"), "query_id", "left_semi"), again, None, scorer, keys)
     rest = texts.join(again.select("query_id"), "query_id", "left_anti")

@@ -14,6 +14,7 @@ from quernstone.plans import sql_parts as S
 from quernstone.plans.bindings import chunks, queries_table, spread, table
 from quernstone.plans.keyword import FUZZY_BM25, near_sql
 from quernstone.plans.registry import query
+from quernstone.session import stored
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
 r6 = lambda c: F.round(c, 6).alias(c)
@@ -190,7 +191,7 @@ _OVERLAP = """
 )
 def rerank(spark, sf):
     rows, q = chunks(spark, sf), queries_table(spark, sf)
-    hits = K.bm25_search(q, rows, 16).join(rows.select(*K.KEYS, "text"), list(K.KEYS))
+    hits = K.with_texts(K.bm25_search(q, rows, 16), rows)
     return U.rerank(hits, q, 8).select("query_id", "doc_id", "chunk_id", big("original_rank"), r6("score"), big("rank"))
 
 
@@ -323,7 +324,8 @@ def by_request_fuzzy(spark, sf):
 )
 def multi_query(spark, sf):
     rows = chunks(spark, sf)
-    hits = K.bm25_search(queries_table(spark, sf), rows, 12).join(rows.select(*K.KEYS, "text"), list(K.KEYS)).select(
+    # Counted and merged more than once, found once.
+    hits = stored(K.with_texts(K.bm25_search(queries_table(spark, sf), rows, 12), rows), "texts").select(
         F.expr("query_id div 2").alias("plan_id"), (F.col("query_id") % 2).alias("qpos"), "rank", "text", "score", *K.KEYS
     )
     best, counts = U.multi_query_retrieve(hits, 10)
@@ -418,10 +420,11 @@ def quality(spark, sf):
     relevant = contains_join(docs, q.select("query_id", F.col("text").alias("needle")), "body", "needle", ["doc_id"]).select("query_id", "doc_id")
     dv = V.embed_batch(rows, list(K.KEYS), "text")
     qv = V.embed_batch(q, ["query_id"], "text")
-    vec = V.knn_exact(qv, dv, 32, list(K.KEYS))
-    key = K.bm25_search(q, rows, 32)
-    fused = U.rrf(vec, key)
-    ranked = U.rerank(fused.join(rows.select(*K.KEYS, "text"), list(K.KEYS)), q)
+    # Each list goes into several modes and is found once.
+    vec = stored(V.knn_exact(qv, dv, 32, list(K.KEYS)), "vector_hits")
+    key = stored(K.bm25_search(q, rows, 32), "keyword_hits")
+    fused = stored(U.rrf(vec, key), "fused")
+    ranked = stored(U.rerank(K.with_texts(fused, rows), q), "reranked")
     named = {"vector": vec, "bm25": key, "hybrid": fused, "hybrid_rerank": ranked}
     parts = [df.filter("rank <= 10").select(F.lit(m).alias("mode"), "query_id", "doc_id", "rank") for m, df in named.items()]
     results = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
