@@ -510,8 +510,7 @@ def a11(spark, sf):
     f"""WITH {NET} SELECT a.src AS start, count(*) AS n_chains, CAST(sum(c.dst) AS BIGINT) AS end_sum FROM net a JOIN net b ON b.src = a.dst JOIN net c ON c.src = b.dst WHERE a.ord <> b.ord AND b.ord <> c.ord AND a.ord <> c.ord GROUP BY ALL""",
 )
 def a12(spark, sf):
-    counts = G.citation_chain_counts(customers(spark, sf), network(spark, sf))
-    return counts.groupBy("start").agg(F.sum("n").alias("n_chains"), F.sum(F.col("n") * F.col("end")).alias("end_sum"))
+    return G.citation_chain_counts(customers(spark, sf), network(spark, sf), sums={"end_sum": F.col("end")})
 
 
 @query(

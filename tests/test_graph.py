@@ -90,6 +90,20 @@ def test_chain_counts(spark):
     assert got == want
 
 
+def test_citation_chain_sums_equal_the_counted_pairs(spark):
+    rnd = random.Random(12)
+    edges = spark.createDataFrame([(rnd.randrange(8), rnd.randrange(8)) for _ in range(40)], "src long, dst long")
+    starts = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    for hops in (1, 2, 3):
+        pairs = G.citation_chain_counts(starts, edges, hops).collect()
+        want = {}
+        for r in pairs:
+            n, total = want.get(r.start, (0, 0))
+            want[r.start] = (n + r.n, total + r.n * r.end)
+        sums = G.citation_chain_counts(starts, edges, hops, {"ends": F.col("end")})
+        assert {r.start: (r.n_chains, r.ends) for r in sums.collect()} == want
+
+
 def test_impact_includes_cycles(spark):
     edges = spark.createDataFrame([(1, 2, "R"), (2, 1, "R"), (3, 1, "R")], "src long, dst long, type string")
     got = {(r.target, r.id) for r in G.impact(spark.createDataFrame([(1,)], "id long"), edges).collect()}
