@@ -254,3 +254,28 @@ def test_paths_past_a_hub_expand_only_what_arrives(spark, monkeypatch):
     edges = edges.unionByName(spark.createDataFrame([(-2, -1, "r"), (7, 5000, "r")], "src long, dst long, type string"))
     got = G.all_paths(spark.createDataFrame([(-2, 5000)], "src long, dst long"), edges).collect()
     assert [list(r.path) for r in got] == [[-2, -1, 7, 5000]] and max(sizes) <= 4
+
+
+def test_propagated_communities_keep_the_mentions_in_place(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(30), rnd.choice([None, *"abcdefghijkl"])) for _ in range(120)] + [(None, "a"), (99, "alone"), (98, None)]
+    pairs = {(a, e) for a, e in rows}
+    label = {a: a for a, _ in pairs}
+    per = {e: 1_000_000 // sum(x == e for _, x in pairs) for _, e in pairs if e is not None}
+    for _ in range(3):
+        told = {}
+        for e in per:
+            heard = [label[a] for a, x in pairs if x == e and a is not None and a in label]
+            if heard:
+                told[e] = min(heard, key=lambda v: (-heard.count(v), v))
+        nxt = {}
+        for a, e in pairs:
+            if e in told:
+                nxt.setdefault(a, {}).setdefault(told[e], 0)
+                nxt[a][told[e]] += per[e]
+        label = {a: min(w, key=lambda v: (-w[v], v)) for a, w in nxt.items()}
+    found, _ = G.propagate_communities(spark.createDataFrame(rows, "article_id long, entity_id string"), 3)
+    assert {r.article_id: r.community_id for r in found.collect()} == label
+    kept = G._bucketed(spark.range(100).withColumnRenamed("id", "e"), "e")
+    other = spark.range(1000).select((F.col("id") % 100).alias("e"), "id").hint("merge")
+    assert kept.join(other, "e")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
