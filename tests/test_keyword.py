@@ -114,6 +114,22 @@ def test_contains_join(spark):
     assert sorted((r.pat, r.id) for r in few) == sorted((x, i) for x in {x for _, x in want} for i in sorted(i for i, y in want if y == x)[:3])
 
 
+def test_contains_join_by_anchors(spark):
+    rnd = random.Random(10)
+    texts = [(i, "".join(rnd.choices("ab đ\U0001f600", k=rnd.randint(0, 60))) + "shared ending" * (i % 3)) for i in range(60)] + [(60, None), (61, "")]
+    pats = sorted({t[a : a + n] for _, t in texts[:60] for a, n in [(rnd.randint(0, 20), rnd.randint(1, 14))]} | {"shared ending", "shared e", "shared exit", "đ", "endingsh", "absent"}) + [""]
+    t = spark.createDataFrame(texts, "id long, body string").repartition(3)
+    p = spark.createDataFrame([(x,) for x in pats], "pat string")
+    want = {(i, x) for i, s in texts if s for x in pats if x and x in s}
+    first = sorted((x, i) for x in {x for _, x in want} for i in sorted(i for i, y in want if y == x)[:2])
+    for limit in (0, 1000):
+        got = [(r.id, r.pat) for r in M.contains_join(t, p, "body", "pat", ["id"], limit=limit).select("id", "pat").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert sorted((r.pat, r.id) for r in M.few_per_pattern(t, p, "body", "pat", "id", 2, many=limit).collect()) == first
+    # Nothing was stored for the windows of the texts that no pattern starts with.
+    assert "regexp" not in M.contains_join(t, p, "body", "pat", ["id"], limit=0)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_contains_join_moves_no_text_with_its_runs(spark):
     t = spark.createDataFrame([(i, "common words " + "abcdef"[i % 6] * 5) for i in range(60)], "id long, body string")
     p = spark.createDataFrame([("common fff",), ("s fff",), ("zzz common",)], "pat string")
@@ -188,3 +204,24 @@ def test_texts_come_to_hits_found_once(spark):
     assert "Window" not in plan_of(got) and got.count() == hits.count()
     texts = {(r.doc_id, r.chunk_id): r.text for r in df.collect()}
     assert all(r.text == texts[(r.doc_id, r.chunk_id)] for r in got.collect())
+
+
+def test_fulltext_nodes_in_small_tasks(spark, monkeypatch):
+    rnd = random.Random(4)
+    nodes = spark.createDataFrame([(str(i), rnd.choice("xy"), " ".join(rnd.choices(["red", "green", "blue", "grey"], k=rnd.randint(0, 5)))) for i in range(60)], "id string, label string, name string")
+    q = spark.createDataFrame([(1, "red"), (2, "blue grey"), (3, "nothing")], "query_id long, text string")
+    rows = lambda **o: sorted(map(tuple, K.fulltext_nodes(q, nodes, ["name"], 7, **o).collect()))
+    want = rows()
+    assert len(want) == 14
+    monkeypatch.setattr(K, "NODES_PER_TASK", 5)
+    assert rows() == want == rows(limit=0)
+
+
+def test_parts_grow_with_the_rows(spark):
+    from quernstone.plans.bindings import spread
+    from quernstone.session import parts_for
+
+    few, many = spark.range(100).repartition(4), spark.range(1000).repartition(4)
+    assert [parts_for(d, 50) for d in (few, many)] == [4, 20]
+    assert [spread(d, "id", rows=50).rdd.getNumPartitions() for d in (few, many)] == [4, 20]
+
