@@ -40,7 +40,7 @@ def analyze(spark, sf):
 )
 def postings(spark, sf):
     return K.build_postings(chunks(spark, sf), positions=True).withColumn(
-        "positions", F.concat_ws(",", F.transform("positions", lambda x: x.cast("string")))
+        "positions", F.concat_ws(",", F.col("positions").cast("array<string>"))
     ).withColumn("dl", F.col("dl").cast("bigint"))
 
 

@@ -225,3 +225,33 @@ def test_parts_grow_with_the_rows(spark):
     assert [parts_for(d, 50) for d in (few, many)] == [4, 20]
     assert [spread(d, "id", rows=50).rdd.getNumPartitions() for d in (few, many)] == [4, 20]
 
+
+
+def test_postings_with_positions_need_no_grouping(spark):
+    texts = ["Quy định của trường, quy Định 2024", "", None, "café cafe CAFÉ được x", "a b a b a"]
+    rows = [(i, f"c{i}", t, "định một") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_id string, text string, title string")
+    order = lambda d: sorted(tuple(map(str, r)) for r in d.select("doc_id", "chunk_id", "field", "term", "dl", "tf", "positions").collect())
+    got = K.build_postings(df, positions=True)
+    assert order(got) == order(K._merged_postings(df, ("text", "title"), K.KEYS, True))
+    assert "Aggregate" not in plan_of(got)
+    twice = df.union(df.filter("doc_id > 2"))
+    assert order(K.build_postings(twice, positions=True)) == order(K._merged_postings(twice, ("text", "title"), K.KEYS, True))
+
+
+def test_near_terms_are_not_broadcast(spark):
+    terms = spark.createDataFrame([(1, "alpha", 1.0), (2, "gamma", 2.0)], "query_id long, term string, weight double")
+    vocab = spark.createDataFrame([(w,) for w in ("alpha", "alphas", "gama", "beta")], "term string")
+    near = K.fuzzy_expand(terms, vocab)
+    assert sorted((r.query_id, r.term, r.edits) for r in near.collect()) == [(1, "alpha", 0), (1, "alphas", 1), (2, "gama", 1)]
+    assert "BuildLeft" in plan_of(near) and "BuildRight" not in plan_of(near)
+
+
+def test_contains_join_with_frequent_anchors(spark, monkeypatch):
+    t = spark.createDataFrame([(i, f"number {i} of the long list") for i in range(40)], "id long, body string")
+    p = spark.createDataFrame([("number 1",), ("number 12 of",), ("list",), ("none",)], "pat string")
+    want = sorted((i, q) for i in range(40) for (q,) in [("number 1",), ("number 12 of",), ("list",)] if q in f"number {i} of the long list")
+    for hot in (0, 20_000):
+        monkeypatch.setattr(M, "HOT_ROWS", hot)
+        assert sorted((r.id, r.pat) for r in M.contains_join(t, p, "body", "pat", ["id"], limit=0).collect()) == want
+    assert M._bits_for(10) == M.TABLE_BITS < M._bits_for(5_000_000) <= M.MOST_BITS
