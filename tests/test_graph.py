@@ -279,3 +279,42 @@ def test_propagated_communities_keep_the_mentions_in_place(spark):
     kept = G._bucketed(spark.range(100).withColumnRenamed("id", "e"), "e")
     other = spark.range(1000).select((F.col("id") % 100).alias("e"), "id").hint("merge")
     assert kept.join(other, "e")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def _read_again(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "ExistingRDD[type" in plan or "LocalTableScan" in plan
+
+
+def test_similar_names_of_two_and_three_edits_read_once(spark):
+    rnd = random.Random(11)
+    base = ["".join(rnd.choices("abc", k=rnd.randint(20, 38))) for _ in range(12)]
+    names = set(base)
+    for w in base:
+        for _ in range(6):
+            v = w
+            for _ in range(rnd.randint(1, 3)):
+                i = rnd.randrange(len(v))
+                v = rnd.choice([v[:i] + v[i + 1:], v[:i] + "z" + v[i:], v[:i] + "q" + v[i + 1:]])
+            names.add(v)
+    df = spark.createDataFrame([("t", n) for n in sorted(names)], "type string, name string")
+    pairs = B.similar_pairs(df, 0.9)
+    want = df.select(F.col("name").alias("a")).crossJoin(df.select(F.col("name").alias("b"))).filter("a < b").filter(B.ratio(F.col("a"), F.col("b")) >= 0.9 - 1e-9)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(r.a, r.b) for r in want.collect()}
+    assert not _read_again(pairs)
+
+
+def test_hybrid_dedupe_reads_mentions_once(spark):
+    m = spark.createDataFrame([("K", "abcdefghijkl", "abcdefghijkl", 0.8, 1), ("K", "abcdefghijkm", "abcdefghijkm", 0.9, 2)], "type string, text string, normalized string, confidence double, ord long")
+    out = B.dedupe_hybrid(m)
+    assert [(r.text, r.n_merged) for r in out.collect()] == [("abcdefghijkm", 2)]
+    assert not _read_again(out)
+
+
+def test_structure_graph_nodes_are_made_once(spark):
+    nodes = spark.createDataFrame([(1, "dieu_1", "article", "A", "x", 0), (1, "khoan_1", "clause", "B", "y", 1)], "doc_id long, id string, kind string, title string, full_text string, ord long")
+    edges = spark.createDataFrame([(1, "dieu_1", "khoan_1", "CONTAINS")], "doc_id long, source string, target string, type string")
+    n, e = B.build_structure_graph(nodes, edges, "rules")
+    assert n.count() == 3 and e.count() == 3
+    # Only the category's own row is not read back.
+    assert n._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") <= 1
