@@ -141,3 +141,28 @@ def test_labels(spark):
     assert out["x"].props == {"ma_khoa": "CNTT", "ten_khoa": "CNTT"} and out["x"].is_valid
     ents = spark.createDataFrame([("IT003", None, "MON_HOC", {"title": "CTDL"})], "text string, name string, type string, metadata map<string,string>")
     assert L.standardize_entities(ents).first().props == {"ma_mon": "IT003", "ten_mon": "CTDL", "so_tin_chi": "4"}
+
+
+def test_tables_find_articles_by_equal_windows(spark):
+    node = lambda rows: spark.createDataFrame([(d, i, "T", t, t, 1, o) for d, i, t, o in rows], NODES)
+    arts = node([(1, "dieu_1", "a", 5), (1, "dieu_12", "b", 3), (2, "dieu_1", "c", 1)])
+    tables = node([(1, "bang_dieu_12_t", "t1", 7), (1, "bang_9", "t2", 8), (2, "bang_dieu_12_t", "t3", 2)])
+    edges = spark.createDataFrame([], "doc_id long, source string, target string, type string, ord long")
+    folded, _ = X.fold_children_into_articles(arts, node([(9, "k", "k", 1)]), tables, edges)
+    got = {(r.doc_id, r.id): r.full_text for r in folded.collect()}
+    assert "t1" in got[1, "dieu_12"] and got[1, "dieu_1"] == "a" and "t3" in got[2, "dieu_1"]
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_are_normalised_once_for_both_ends(spark):
+    from quernstone.functions.text import is_blank
+
+    blanks = spark.createDataFrame([(None,), ("",), (" \n\u3000\x1c",), ("\n x",)], "t string")
+    assert [r[0] for r in blanks.select(is_blank(F.col("t"))).collect()] == [True, True, True, False]
+    docs = spark.createDataFrame([(1, "the", "the", "1-qd-abc")], "doc_id long, title string, full_text string, source_file string")
+    nodes = spark.createDataFrame([(1, "DIEU_1_x", "Article", "a", "b", 1, 0), (1, "khoan_1_dieu_1_y", "Clause", "a", "c", 1, 1)], NODES)
+    edges = spark.createDataFrame([(1, "DIEU_1_x", "khoan_1_dieu_1_y", "CONTAINS", 0)], "doc_id long, source string, target string, type string, ord long")
+    mods = spark.createDataFrame([(1, "s", "2/Q", 0)], "doc_id long, source_text_id string, target_document_signature string, ord int")
+    fixed = X.clean_extraction(docs, nodes, edges, mods, "ABC", "abc", ["the"])["edges"]
+    assert [(r.source, r.target) for r in fixed.collect()] == [("dieu_1", "khoan_1_dieu_1")]
+    assert fixed._jdf.queryExecution().optimizedPlan().toString().count("RLIKE ^khoan") <= 2
