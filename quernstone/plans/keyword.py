@@ -9,6 +9,7 @@ from quernstone.operators import keyword as K
 from quernstone.plans import sql_parts as S
 from quernstone.plans.bindings import chunks, queries_table, spread, table
 from quernstone.plans.registry import query
+from quernstone.session import stored
 
 
 @query(
@@ -127,7 +128,8 @@ _DOC_CHUNKS = "chunks AS (SELECT doc_id, doc_id AS chunk_id, text, '' AS title F
 def phrase(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     index = K.build_index(docs, ("text",), ("doc_id",))
-    found = K.phrase_matches(queries_table(spark, sf), docs, index)
+    # The few matches are found once, for both sides of the join.
+    found = stored(K.phrase_matches(queries_table(spark, sf), docs, index), "matches")
     return found.join(K.phrase_scores(found, ("doc_id",)), ["query_id", "doc_id"]).select(
         "query_id", "doc_id", "freq", F.round("phrase_score", 6).alias("phrase_score")
     )

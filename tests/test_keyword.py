@@ -255,3 +255,45 @@ def test_contains_join_with_frequent_anchors(spark, monkeypatch):
         monkeypatch.setattr(M, "HOT_ROWS", hot)
         assert sorted((r.id, r.pat) for r in M.contains_join(t, p, "body", "pat", ["id"], limit=0).collect()) == want
     assert M._bits_for(10) == M.TABLE_BITS < M._bits_for(5_000_000) <= M.MOST_BITS
+
+
+def test_row_terms_are_the_flat_forms(spark):
+    texts = ["Quy định của trường, quy Định 2024", "", None, "café cafe CAFÉ được x", "plain words only", "dé cúa để và là la", "đ\u0130x \u212b ﬁ Ωmega naïve"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for o in ({}, {"strict": True}, {"stop_words": []}, {"stop_words": ["words", "cafe"]}, {"stem": True}):
+        want = K.analyzed_fields(df, ("text",), ("doc_id",), **o).select("doc_id", "dl", F.array_sort(F.flatten("forms")).alias("terms"))
+        got = K._row_terms(df, ("text",), ("doc_id",), **o).select("doc_id", "dl", F.array_sort("terms").alias("terms"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_term_stats_need_no_grouping_by_row(spark, monkeypatch):
+    _, df = corpus(spark, 50)
+    order = lambda d: sorted(map(tuple, d.select("field", "term", "df").collect()))
+    repeated = df.unionByName(df.filter("doc_id < 5")).unionByName(df.filter("doc_id = 3").withColumn("text", F.lit("alpha omega")))
+    index = K.build_index(repeated)
+    assert order(index.term_stats) == order(K.build_term_stats(index.postings()))
+    want = order(K.build_term_stats(K.build_index(df).postings()))
+    monkeypatch.setattr(K.KeywordIndex, "postings", lambda *a: 1 / 0)
+    assert order(K.build_index(df).term_stats) == want
+
+
+def test_phrases_are_compared_only_where_all_terms_are(spark, monkeypatch):
+    rows = [(1, "alpha beta gamma"), (2, "alpha gamma"), (3, "beta x alpha"), (4, "gamma delta"), (5, "beta alpha và beta"), (6, "Alphà của beta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "alpha và beta"), (3, None), (4, "và")], "query_id long, text string")
+    index, kept = K.build_index(df, ("text",), ("doc_id",)), {}
+    monkeypatch.setattr(K, "stored", lambda d, name, f=K.stored: kept.setdefault(name, f(d, name)))
+    found = K.phrase_matches(q, df, index)
+    assert sorted((r.query_id, r.doc_id, r.freq) for r in found.collect()) == [(1, 1, 1), (2, 5, 1), (2, 6, 1)]
+    assert sorted({r.doc_id for r in kept["possible"].collect()}) == [1, 3, 5, 6]
+    assert "terms_" not in plan_of(found)  # the index is gone through once, however often the matches are read
+
+
+def test_phrases_in_rows_and_queries_given_twice(spark):
+    # A text meets a phrase once for each length under its key that has the rarest term, and once for each text of the query.
+    rows = [(1, "alpha beta gamma"), (1, "beta alpha"), (2, "alpha beta"), (2, "alpha beta"), (3, "gamma delta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (2, "gamma delta"), (3, "alpha"), (3, "")], "query_id long, text string")
+    for limit in (10_000, 0):
+        got = Counter((r.query_id, r.doc_id, r.freq) for r in K.phrase_matches(q, df, K.build_index(df, ("text",), ("doc_id",)), limit=limit).collect())
+        assert got == {(1, 1, 1): 2, (1, 2, 1): 2, (2, 3, 1): 2, (3, 1, 1): 4, (3, 1, 3): 2, (3, 1, 4): 2, (3, 2, 1): 2, (3, 2, 3): 2}
