@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.functions.text import analyze
+from quernstone.functions.terms import terms_of
+from quernstone.functions.text import mapped_lower, stop_list
 from quernstone.operators.ranking import by_score, top_k
 
 QUERY_ROWS = 4096
@@ -51,32 +53,25 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 def hash_embedding(df: DataFrame, keys: list[str], text: str, dim: int = DIM, out: str = "embedding") -> DataFrame:
     """(keys, embedding): signed term counts in ``dim`` hash buckets, L2-normalised; no model needed.
 
-    Terms are hashed in the JVM; the tasks only add up bucket numbers, batch by batch, so
-    nothing is shuffled. Rows without a term have no vector.
+    Terms are found and hashed in the tasks, each different word of a batch once, so nothing is shuffled. Rows without a term have no vector.
     """
-
-    def slot(term: Column) -> Column:
-        digest = F.md5(term)
-        bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dim
-        sign = F.lit(1) - (F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") % 2) * 2
-        return (bucket + 1) * sign
-
-    slots = df.select(*keys, F.transform(analyze(F.col(text)), slot).alias("_slots"))
+    stops = stop_list()
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("_slots"))
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            sums = np.bincount(row * dim + np.abs(flat) - 1, weights=np.sign(flat), minlength=batch.num_rows * dim)
+            col = lambda c: batch.column(batch.schema.get_field_index(c))
+            row, _, code, forms = terms_of(col("_mapped"), stops)
+            digests = [hashlib.md5(w.encode()).hexdigest() for w in forms.to_pylist()]
+            bucket = np.array([int(d[:4], 16) % dim for d in digests], np.int64)
+            sign = np.array([1.0 - int(d[4], 16) % 2 * 2 for d in digests])
+            sums = np.bincount(row * dim + bucket[code], weights=sign[code], minlength=batch.num_rows * dim)
             unit = _unit_rows(sums.reshape(batch.num_rows, dim))
             vecs = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), dim).cast(pa.list_(pa.float64()))
-            made = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keys), vecs], names=[*keys, out])
-            yield made.filter(pa.array(sizes > 0))
+            made = pa.RecordBatch.from_arrays([*(col(k) for k in keys), vecs], names=[*keys, out])
+            yield made.filter(pa.array(np.bincount(row, minlength=batch.num_rows) > 0))
 
-    return slots.mapInArrow(count, schema)
+    return df.select(*keys, mapped_lower(F.col(text)).alias("_mapped")).mapInArrow(count, schema)
 
 
 def embed_batch(

@@ -297,3 +297,37 @@ def test_phrases_in_rows_and_queries_given_twice(spark):
     for limit in (10_000, 0):
         got = Counter((r.query_id, r.doc_id, r.freq) for r in K.phrase_matches(q, df, K.build_index(df, ("text",), ("doc_id",)), limit=limit).collect())
         assert got == {(1, 1, 1): 2, (1, 2, 1): 2, (2, 3, 1): 2, (3, 1, 1): 4, (3, 1, 3): 2, (3, 1, 4): 2, (3, 2, 1): 2, (3, 2, 3): 2}
+
+
+def test_terms_of_batches_are_the_analysed_ones(spark):
+    from quernstone.functions.terms import term_lists
+
+    texts = ["Quy định của trường, quy Định 2024", "", None, "café_x  cafe\nCAFÉ được x", "plain words only", "và", "Å ﬁ Ωmega 語 naïve é", "éa İx ǅ ÿ–œ ¿q ßs ²½", "a\tb 日本 c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    for stops in (T.stop_list(), []):
+        own = None if stops else []
+        want = df.select("i", T.analyze(F.coalesce("t", F.lit("")), stop_words=own).alias("terms"))
+        got = df.select("i", T.mapped_lower(F.coalesce("t", F.lit(""))).alias("m")).select("i", term_lists(F.col("m"), stops).alias("p")).select("i", "p.terms")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_best_scores_are_those_of_the_whole_match_set(spark, monkeypatch):
+    _, df = corpus(spark)
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "kappa kappa zeta"), (3, "eta theta iota"), (4, "nowhere")], "query_id long, text string")
+    keyed = df.withColumn("kind", F.col("doc_id") % 3)
+    twice = keyed.unionByName(keyed.filter("doc_id % 10 = 7")).unionByName(keyed.filter("doc_id % 10 = 8").withColumn("text", F.lit("alpha zeta iota")))
+    lets = spark.createDataFrame([(1, 0), (1, 2), (3, None)], "query_id long, kind long")
+    terms = K.stored(K.query_terms(q), "terms")
+    order = [F.round("score", 9).desc(), F.col("doc_id"), F.col("chunk_id")]
+    best = lambda d: sorted((r.query_id, r.rank, r.doc_id, r.chunk_id, round(r.score, 6)) for r in K.top_k(d, ["query_id"], order, 7).collect())
+    index = K.build_index(twice, carry=("kind",))
+    options = {"phrases": K.stored(K.phrase_scores(K.phrase_matches(q, twice, index)), "scores"), "allowed": lets}
+    want = best(K.match_scores(terms, index, **options))
+    monkeypatch.setattr(K, "SCORED_AT_ONCE", 10)
+    assert best(K.match_scores(terms, index, k=7, **options)) == want and len(want) > 10
+    monkeypatch.setattr(K, "QUERIES_AT_ONCE", 2)
+    index = K.build_index(df)
+    got = K.match_scores(terms, index, k=7)
+    assert best(got) == best(K.match_scores(terms, index))
+    # No pair of a query and a row is joined.
+    assert "Generate" not in plan_of(got) and "Join" not in plan_of(got)
