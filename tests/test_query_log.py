@@ -106,3 +106,10 @@ def test_all_six_routes(spark):
     )
     assert [(r.branch, r.n_nodes, r.confidence) for r in found.orderBy("query_id").collect()] == [
         ("prerequisite", 1, 0.9), ("department", 2, 0.85), ("program", 1, 0.85), ("article", 1, 0.95), ("entity_related", 2, 0.85), ("general", 2, 0.7)]
+
+
+def test_compound_keywords_read_the_text_once(spark):
+    df = spark.createDataFrame([("Môn học Giải tích cần học phần nào? HỌC PHẦN",), ("hello world môn Giải Tích Hai",), (None,)], "t string")
+    got = df.select(Q.compound_keywords(F.col("t")).alias("k"))
+    assert [r.k for r in got.collect()] == [["học phần", "môn học", "giải", "tích", "nào?"], ["hello", "world", "môn", "giải", "tích", "Giải Tích Hai"], None]
+    assert got._jdf.queryExecution().analyzed().toString().count("lower(") == 1
