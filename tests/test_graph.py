@@ -318,3 +318,19 @@ def test_structure_graph_nodes_are_made_once(spark):
     assert n.count() == 3 and e.count() == 3
     # Only the category's own row is not read back.
     assert n._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") <= 1
+
+
+def test_mentions_of_far_orders_are_numbered(spark, tmp_path):
+    from quernstone.plans import graph_build as P
+
+    rows = [(1, 1, 4, 8, 3.0, 0.05), (54_000_000, 1, 4, 8, 3.0, 0.04), (54_000_000, 2, 5, 9, 3.0, 0.04)]
+    write = lambda rs, d: spark.createDataFrame(
+        rs, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{d}/lineitem.parquet")
+    place = lambda o, n, p, s, q: (((o * 10 + n) * 100000 + p) * 10000 + s) * 100 + q
+    write(rows, tmp_path / "far")
+    write(rows[:1], tmp_path / "near")
+    got = {r.normalized: (int(r.first_ord), r.n_merged, r.was_merged) for r in P.g06(spark, str(tmp_path / "far")).collect()}
+    assert got == {"entity 4": (place(1, 1, 4, 8, 3), 2, True), "entity 5": (place(54_000_000, 2, 5, 9, 3), 1, False)}
+    edges = B.resolve_semantic_edges(P.relations(spark, str(tmp_path / "far")), P.mentions(spark, str(tmp_path / "far")))[0]
+    assert sorted((r.src_text, r.dst_text) for r in edges.collect()) == [("entity 4", "entity 4"), ("entity 5", "entity 4")]
+    assert P.g06(spark, str(tmp_path / "near")).schema["first_ord"].dataType.simpleString() == "bigint"
